@@ -217,15 +217,17 @@ def piece_rows(path: str, decode: bool = True, digests: bool = False, chunk: int
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, decode: bool = True, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids and the text decoded from them for every row of docs (doc_id, text), as the sentencepiece library has them.
 
     Without begin or end ids and without sampling. Null and empty texts give no ids and an empty decoded text. With `digests`,
     ids and decoded text are given as their SHA-256 (`ids_sha256` of the decimal ids joined by commas, `decoded_sha256`),
-    which spares the way back to the JVM. No shuffle: a row in, a row out; repeated rows and any other columns don't matter.
+    which spares the way back to the JVM; without `decode` no text comes back. No shuffle: a row in, a row out; repeated rows and
+    any other columns don't matter.
     """
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return docs.select("doc_id", "text").mapInArrow(piece_rows(path, digests=digests), schema)
+    out = docs.select("doc_id", "text").mapInArrow(piece_rows(path, decode, digests), schema)
+    return out if decode or digests else out.drop("decoded")
 
 
 def model_path() -> str:

@@ -59,13 +59,13 @@ def scan_secrets(docs: DataFrame, owner: str = "source", live_owners: int = 2) -
     of all rows costs a row per task. A value held by at most `live_owners` owners looks live, one held by more is a copied
     example. `owned` candidates (long tokens of mixed letters and digits outside all base spans) are added as spans only when live;
     base spans stay in any case. Null texts are empty; repeated rows count once per owner and each get their own result. Columns:
-    doc_id, base, spans, live: arrays of (kind, start, end, value), in order of start and kind. All in built-in functions.
+    doc_id, text_key (hash of the text) and base, spans, live: arrays of (kind, start, end, value), in order of start and kind. All in built-in functions.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(spans_of(text, ASSIGN, 0, 6, 2), spans_of(text, ACCESS, 1, 20), spans_of(text, HEX, 2, 24))
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(owner).alias("owner"), text.alias("text"), base.alias("base"))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("text_key"), F.col(owner).alias("owner"), text.alias("text"), base.alias("base"))
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = found.select("row", "doc_id", "owner", "base", F.filter(spans_of(F.col("text"), TOKEN, 3, 28), apart).alias("added"))
+    found = found.select("row", "doc_id", "text_key", "owner", "base", F.filter(spans_of(F.col("text"), TOKEN, 3, 28), apart).alias("added"))
     found = materialise(found, "candidates")
     each = found.select("row", "owner", F.explode(F.concat("base", "added")).alias("s")).select("row", "owner", "s", F.xxhash64("s.value").alias("hash"))
     by_owner = each.select("hash", "owner").distinct()
@@ -74,7 +74,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", live_owners: int = 2) -
     empty = F.array().cast(f"array<{SPAN}>")
     rows = found.join(judged, "row", "left").withColumn("live", _in_order(F.coalesce("live", empty)))
     added = F.filter("live", lambda s: s["kind"] == 3)
-    return rows.select("row", "doc_id", _in_order(F.col("base")).alias("base"), _in_order(F.concat("base", added)).alias("spans"), "live")
+    return rows.select("doc_id", "text_key", _in_order(F.col("base")).alias("base"), _in_order(F.concat("base", added)).alias("spans"), "live")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
@@ -86,8 +86,9 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, owner: str = "source", live_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
     """docs with live-looking spans replaced by `mark` (overlapping spans by one); columns and rows stay, texts without such spans unchanged."""
     columns = docs.columns
-    marked = scan_secrets(docs, owner, live_owners).where(F.size("live") > 0).select(F.col("doc_id").alias("_id"), "live").groupBy("_id").agg(F.first("live").alias("_live"))
-    joined = docs.join(marked, F.col("doc_id") == F.col("_id"), "left")
+    # a text's live spans depend on the text alone, so equal texts share them
+    marked = scan_secrets(docs, owner, live_owners).where(F.size("live") > 0).groupBy(F.col("text_key").alias("_key")).agg(F.first("live").alias("_live"))
+    joined = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(marked, F.col("_text_key") == F.col("_key"), "left")
     cut = F.aggregate(
         "_live",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),

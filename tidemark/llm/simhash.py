@@ -93,8 +93,13 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest doc_id stays (all its columns; rows that repeat it whole go)."""
-    groups = simhash_groups(docs, radius)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    """docs without the near copies: of each group the row with the smallest doc_id stays, with all its columns.
+
+    Rows equal in doc_id and text count as one document and leave one row; rows with a null doc_id stay.
+    """
+    groups = materialise(simhash_groups(docs, radius), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    named = groups.where("doc_id is not null")
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
