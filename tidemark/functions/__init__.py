@@ -1 +1 @@
-
+"""Column and aggregate expressions; everything here stays in the JVM."""

@@ -1 +1 @@
-
+"""Operators on bars: each takes and returns DataFrames."""

@@ -1 +1 @@
-
+"""Where bars come from: derived from tables, generated, or read."""
