@@ -198,7 +198,7 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.nda
     return ids, counts, model
 
 
-def piece_rows(path: str, decode: bool = True, digests: bool = False, chunk: int = 4_000_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def piece_rows(path: str, decode: bool = True, digests: bool = False, chunk: int = 1_500_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_chunks(batches, chunk):
             ids, counts, model = encode_texts(rows["text"], path)
