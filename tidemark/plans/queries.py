@@ -82,7 +82,7 @@ QUERIES: dict[str, Query] = {
     "amihud": daily(microstructure.amihud, digits=9, z=6, percentile=6),
     "kyle_lambda": daily(lambda b: microstructure.kyle(microstructure.classify_volume(b))),
     "ofi_divergence": daily(lambda b: microstructure.divergence(microstructure.classify_volume(b))),
-    "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)), "symbol", F.col("bucket").cast("long").alias("bucket"), "time", "buy", "sell", "vol", tail=500),
+    "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)).withColumn("bucket", F.col("bucket").cast("long")), "symbol", "bucket", "time", "buy", "sell", "vol", tail=500),
     "vpin": daily(lambda b: microstructure.vpin(microstructure.classify_volume(b)), tail=500, z=4),
     "toxicity": daily(microstructure.report, "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, tail=500),
     "hurst_rs": daily(lambda b: fractal.rescaled_range(B.returns(b)), tail=500),

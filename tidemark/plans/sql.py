@@ -132,7 +132,7 @@ f2 AS (SELECT symbol, tau, block, greatest(regr_syy(y, rn) - regr_sxy(y, rn) * r
 SQL["hurst_dfa"] = f"WITH {TAIL}, {PROFILE}, pts AS (SELECT symbol, tau, avg(sqrt(f2)) AS f FROM f2 GROUP BY 1, 2) {fit('pts', 'f')}"
 MF = f"{PROFILE}, mq AS (SELECT symbol, tau, q, avg(CASE WHEN q <> 0 THEN pow(f2, q / 2) ELSE ln(f2) / 2 END) AS m FROM f2, (SELECT unnest([-4, -2, -1, 0, 1, 2, 4])::DOUBLE AS q) WHERE f2 > 0 GROUP BY 1, 2, 3), pts AS (SELECT symbol, tau, q, CASE WHEN q <> 0 THEN pow(m, 1 / nullif(q, 0)) ELSE exp(m) END AS f FROM mq)"
 SQL["mfdfa_spectrum"] = f"WITH {TAIL}, {MF} SELECT symbol, q, h FROM ({fit('pts', 'f', 'symbol, q')})"
-HIG = """hk AS (SELECT symbol, rn, n2, k, rn % k AS m, d FROM (SELECT symbol, rn, count(*) OVER (PARTITION BY symbol) AS n2, k, abs(lead(close, k) OVER (PARTITION BY symbol, k ORDER BY time) - close) AS d FROM b, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k))),
+HIG = """hk AS (SELECT symbol, rn, n2, k, rn % k AS m, d FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol, k ORDER BY time) - 1 AS rn, count(*) OVER (PARTITION BY symbol, k) AS n2, k, abs(lead(close, k) OVER (PARTITION BY symbol, k ORDER BY time) - close) AS d FROM b, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k))),
 hc AS (SELECT symbol, n2, k, m, coalesce(sum(d), 0) * (n2 - 1) / ((n2 - m) // k * k) / ((n2 - m - 1) // k) AS l FROM hk GROUP BY 1, 2, 3, 4), hl AS (SELECT symbol, k, sum(l) / k AS l FROM hc GROUP BY 1, 2),
 hig AS (SELECT symbol, greatest(1, least(2, regr_slope(ln(l), ln(1 / k::DOUBLE)))) AS dimension, regr_r2(ln(l), ln(1 / k::DOUBLE)) AS r2 FROM hl GROUP BY 1)"""
 SQL["higuchi"] = f"WITH {TAIL}, {HIG} SELECT symbol, round(dimension, 6) AS dimension, round(r2, 6) AS r2, CASE WHEN dimension < 1.4 THEN 'high' WHEN dimension > 1.7 THEN 'low' ELSE 'medium' END AS quality FROM hig"
