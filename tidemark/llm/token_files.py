@@ -7,6 +7,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keyed_stream, materialise, shared_dir, stream_groups, text_chunks
+from .shared import keyed_stream, materialise, ragged, shared_dir, stream_groups, text_chunks
 from .word_cache import WordCache
 
 MAGIC = b"DACF0001"
@@ -122,6 +123,22 @@ def _word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.nda
     tokenizer = Tokenizer.from_file(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def one_by_one(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [e.ids for e in batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        return np.fromiter(chain.from_iterable(runs), np.int32, int(lengths.sum())), lengths
+
+    def in_lines(words: list[bytes], width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ASCII letters, many to a call: each is one run of pieces, of which the last alone is marked as a word's end."""
+        flat, lengths = one_by_one([b" ".join(words[i : i + width]) for i in range(0, len(words), width)])
+        ends = np.flatnonzero(last[flat]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
+            return one_by_one(words)
+        return flat, np.diff(ends, prepend=0)
+
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of white-space-free words. A word of letters and closing marks has the ids of its letters, then those of its marks, as the
         tokenizer cuts there anyway; ASCII letters are folded first, as it does itself. So fewer strings reach the library."""
@@ -134,11 +151,14 @@ def _word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.nda
             else:
                 cores.append(w.lower() if w.isalpha() else w)
                 marks.append(b"")
-        new = list(dict.fromkeys(cores + [m for m in marks if m]))
+        new = sorted(dict.fromkeys(chain(cores, filter(None, marks))), key=bytes.isalpha)
         at = dict(zip(new, range(len(new))))
-        runs = [e.ids for e in batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)]
-        joined = [runs[at[c]] + runs[at[m]] if m else runs[at[c]] for c, m in zip(cores, marks)]
-        return np.array([x for r in joined for x in r], np.int32), np.fromiter(map(len, joined), np.int64, len(joined))
+        at[b""] = len(new)  # no mark: no ids
+        n_odd = len(new) - sum(map(bytes.isalpha, new))
+        flat, lengths = map(np.concatenate, zip(one_by_one(new[:n_odd]), in_lines(new[n_odd:])))
+        starts, lengths = np.append(np.cumsum(lengths) - lengths, 0), np.append(lengths, 0)
+        parts = np.array([np.fromiter(map(at.__getitem__, x), np.int64, len(x)) for x in (cores, marks)]).T
+        return ragged(flat, starts[parts].ravel(), lengths[parts].ravel()), lengths[parts].sum(axis=1)
 
     return encode
 
