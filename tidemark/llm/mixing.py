@@ -70,10 +70,10 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 def mix(docs: DataFrame, seed: int = 9, **options) -> DataFrame:
     """The mixture itself: every row of docs as many times as mix_plan() has it, all columns as they were."""
-    columns = docs.columns
-    plan = mix_plan(docs, seed=seed, **options).where("repeats > 0").groupBy(F.col("row_key").alias("_key")).agg(F.first("repeats").alias("_repeats"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(plan, F.col("_k") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*columns)
+    plan = mix_plan(docs, seed=seed, **options).where("repeats > 0").groupBy("row_key").agg(F.first("repeats").alias("repeats"))
+    # the row in one column, so that no name of its own can clash
+    keyed = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("row_key"))
+    return keyed.join(plan, "row_key").select("whole", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy")).select("whole.*")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

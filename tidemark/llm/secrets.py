@@ -85,14 +85,16 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, owner: str = "source", live_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
     """docs with live-looking spans replaced by `mark` (overlapping spans by one); columns and rows stay, texts without such spans unchanged."""
-    columns = docs.columns
     # a text's live spans depend on the text alone, so equal texts share them
-    marked = scan_secrets(docs, owner, live_owners).where(F.size("live") > 0).groupBy(F.col("text_key").alias("_key")).agg(F.first("live").alias("_live"))
-    joined = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(marked, F.col("_text_key") == F.col("_key"), "left")
+    marked = scan_secrets(docs, owner, live_owners).where(F.size("live") > 0).groupBy("text_key").agg(F.first("live").alias("live"))
+    # the row in one column, so that no name of its own can clash
+    joined = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")).join(marked, "text_key", "left")
+    text = F.col("whole.text")
+    between = lambda acc, length: F.substring(text, (acc["at"] + 1).cast("int"), length.cast("int"))
     cut = F.aggregate(
-        "_live",
+        "live",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
+        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], between(acc, s["start"] - acc["at"]), F.lit(mark)).alias("out"))),
+        lambda acc: F.concat(acc["out"], between(acc, F.length(text))),
     )
-    return joined.withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(cut)).select(*columns)
+    return joined.select(F.col("whole").withField("text", F.when(F.col("live").isNull(), text).otherwise(cut)).alias("whole")).select("whole.*")
