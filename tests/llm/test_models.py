@@ -199,3 +199,44 @@ def test_pipeline_empty(spark, tmp_path):
     folder = table(spark, [], tmp_path)
     table(spark, [], tmp_path, "doc_id long, quality int, toxic int", "labels")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def five_words(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_copies_by_similarity(spark):
+    """Planted near copies of texts of tens to hundreds of words: what stays is what all pairs at 0.8 leave."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [None, "", "  ", "two words", "Two  WORDS"]
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(30, 400))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(1, 2 + len(base) // 40)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = list(map(five_words, texts))
+    root = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    for _ in range(len(texts)):
+        moved = False
+        for i, j in pairs:
+            low = min(root[i], root[j])
+            moved |= root[i] != root[j]
+            root[i] = root[j] = low
+        if not moved:
+            break
+    assert len(set(root)) < len(texts) - 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root))

@@ -16,22 +16,28 @@ from .shared import materialise
 FP_SCHEMA = "doc_id long, fp long"
 
 
+def shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """64-bit hash of each word shingle of a text (repeats count); one of all its words where they are no more than `width`."""
+    digest = xxhash.xxh64_intdigest
+    # bytes.lower() and bytes.split() know ASCII alone: A-Z, and the six white space characters
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
 def fingerprints(texts: list[str | None], width: int = 3, seed: int = 42) -> np.ndarray:
     """64-bit SimHash of each text's word shingles (repeats count), as uint64; bit set if set in over half the hashes."""
     out = np.zeros(len(texts), np.uint64)
-    digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
-        # bytes.lower() and bytes.split() know ASCII alone: A-Z, and the six white space characters
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
+        hashes = shingles(text, width, seed)
+        if not len(hashes):
             continue
-        joined = b" ".join(words)
-        if len(words) <= width:
-            hashes = np.array([digest(joined, seed)], np.uint64)
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
         ones = np.zeros(64, np.int64)
         for k in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
             ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -92,14 +98,19 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest doc_id stays, with all its columns.
+def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without the near copies: of each group of similar_groups() the row with the smallest doc_id stays, with all its columns.
 
-    Rows equal in doc_id and text count as one document and leave one row; rows with a null doc_id stay.
+    Rows equal in doc_id and text count as one document and leave one row. Rows are told apart by doc_id and text, so other
+    texts of a doc_id are judged on their own; a row with a null doc_id stays only if its group has no other.
     """
-    groups = materialise(simhash_groups(docs, radius), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    named = groups.where("doc_id is not null")
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    from .similar import row_key, similar_groups
+
+    groups = materialise(similar_groups(docs, width, least), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = groups.groupBy("component").agg(F.min(rank)["row"].alias("first"))
+    gone = groups.join(first, "component").where(F.col("row") != F.col("first")).select("row").distinct()
+    # the row in one column, so that no name of its own can clash
+    left = docs.select(row_key().alias("row"), F.struct("*").alias("whole")).join(gone, "row", "left_anti")
+    repeated = groups.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    return (left.dropDuplicates(["row"]) if repeated else left).select("whole.*")
