@@ -240,3 +240,16 @@ def test_near_copies_by_similarity(spark):
     assert len(set(root)) < len(texts) - 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root))
+
+
+def test_pipeline_decodes(spark):
+    """The last stage gives the text of the ids back, for every row."""
+    import sentencepiece
+
+    from tidemark.llm import pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    rows = dict(corpus_pipeline.STAGES)["pieces"](spark, docs, "").collect()
+    assert len(rows) == docs.count() and all(r.decoded == library.decode(list(r.ids)) for r in rows)
+    assert sorted(r.decoded for r in rows if r.n_tokens) == sorted(d[1].replace(pieces.SPACE, " ") for d in documents() if d[1])
