@@ -253,3 +253,25 @@ def test_pipeline_decodes(spark):
     rows = dict(corpus_pipeline.STAGES)["pieces"](spark, docs, "").collect()
     assert len(rows) == docs.count() and all(r.decoded == library.decode(list(r.ids)) for r in rows)
     assert sorted(r.decoded for r in rows if r.n_tokens) == sorted(d[1].replace(pieces.SPACE, " ") for d in documents() if d[1])
+
+
+def test_row_keys(spark):
+    from tidemark.llm.shared import row_key, row_keys
+
+    rows = [(3, "a"), (-5, "naïve 漢字 " * 9), (None, "x"), (7, None), (None, None), (1 << 40, "")]
+    assert [r[0] for r in spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select(row_key()).collect()] == row_keys(*zip(*rows)).tolist()
+
+
+def test_rows_of_one_doc_id(spark):
+    """Rows that share a doc_id, or have none, are judged each by its own text."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(3, text("a") + " end"), (5, text("a")), (5, text("b")), (7, text("b") + " end"), (9, text("c")), (9, text("c") + " end"), (None, text("d")), (None, text("d") + " end"), (None, text("a") + " fin")]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in left) == [(0, "d"), (3, "a"), (5, "b"), (9, "c")]
+
+    good = [(i, "the cat sat on the mat and the dog sat on the rug " * 4, "en") for i in range(400)]
+    bad = "zq#7 %%x QJ\x01kv 9}{~" * 12
+    docs = spark.createDataFrame([*good, (900, good[0][1], "en"), (900, bad, "en"), (None, bad, "en"), (None, good[0][1], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    left = perplexity.keep_good(docs, labels).collect()
+    assert len(left) == 402 and all(r.text != bad for r in left)

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_stream, materialise, pack_texts, stream_groups, text_chunks, unpack_texts
+from .shared import keyed_stream, materialise, pack_texts, row_key, row_keys, stream_groups, text_chunks, unpack_texts
 
 ORDER = 5
 #: a natural log of a probability travels as -log(p) in steps of 1 / STEPS, two bytes each; it ends at 32
@@ -214,7 +214,8 @@ def _score_rows(shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
                 if np.isnan(logs).any():
                     raise RuntimeError("a batch of texts differs from the one that was asked for: read docs from a table")
                 sums = np.add.reduceat(logs[place], np.cumsum(counts) - counts)
-                yield pa.record_batch({"doc_id": docs.column("doc_id").combine_chunks(), "lang": docs.column("c0").combine_chunks(), "n_bytes": pa.array(counts - 1, pa.int64()), "perplexity": pa.array(np.exp(-sums / counts))})
+                keys = row_keys(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
+                yield pa.record_batch({"row": pa.array(keys, pa.int64()), "doc_id": docs.column("doc_id").combine_chunks(), "lang": docs.column("c0").combine_chunks(), "n_bytes": pa.array(counts - 1, pa.int64()), "perplexity": pa.array(np.exp(-sums / counts))})
 
     return run
 
@@ -231,7 +232,7 @@ def trusted_sample(labels: DataFrame, max_docs: int, seed: int = 4) -> DataFrame
 
 
 def perplexities(docs: DataFrame, fitted: DataFrame, shards: int = 64, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, lang, n_bytes and perplexity a byte of every row of docs (doc_id, text, lang), under a model of the fitted rows' texts.
+    """row (row_key()), doc_id, lang, n_bytes and perplexity a byte of every row of docs (doc_id, text, lang), under a model of the fitted rows' texts.
 
     fitted (doc_id) is broadcast; it must be bounded, as trusted_sample() is. The counts of their texts are summed by
     shard, where continuation counts and contexts of two bytes and more are whole; the two-byte table and the discounts
@@ -254,11 +255,11 @@ def perplexities(docs: DataFrame, fitted: DataFrame, shards: int = 64, chunk: in
     asked = slim.mapInArrow(_request_rows(shards, salts, chunk), columns)
     answers = keyed_stream(model.unionByName(asked), "key", "kind").mapInArrow(_answer_rows(backoff), "key long, shard long, body binary")
     texts = slim.mapInArrow(_text_rows(chunk), "key long, shard long, body binary")
-    return keyed_stream(texts.unionByName(answers), "key").mapInArrow(_score_rows(shards), "doc_id long, lang string, n_bytes long, perplexity double")
+    return keyed_stream(texts.unionByName(answers), "key").mapInArrow(_score_rows(shards), "row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.25, allowance: float = 3.0, max_train_docs: int = 20_000, shards: int = 64) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, kept for every row of docs, judged by its language's threshold.
+    """row (row_key()), doc_id, lang, n_bytes, perplexity, threshold, kept for every row of docs, judged by its language's threshold.
 
     The model is fitted on at most max_train_docs trusted rows; thresholds come from the scores of all other trusted rows
     (those of the model's own texts would be too low): a language's `quantile` of them, times `slack`. A short text's mean varies more, so
@@ -280,10 +281,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
 
 
 def op4_kneser_ney(spark, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the doc_ids that classify() rejects; rows with a null doc_id stay."""
-    rejected = classify(docs, labels, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """docs without the rows that classify() rejects. Rows of one doc_id, or of none, are each judged by their own text and language."""
+    rejected = classify(docs, labels, **options).where("not kept").select("row", "lang").distinct()
+    rejected = rejected.select(F.col("row").alias("_row"), F.col("lang").alias("_lang"))
+    whole = docs.select(row_key().alias("_row"), F.col("lang").cast("string").alias("_lang"), F.struct("*").alias("whole")).alias("d")
+    found = (F.col("d._row") == F.col("r._row")) & F.col("d._lang").eqNullSafe(F.col("r._lang"))
+    return whole.join(rejected.alias("r"), found, "left_anti").select("whole.*")

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def row_key() -> Column:
+    """A row of documents by doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def row_keys(doc_ids: list[int | None], texts: list[str | None]) -> np.ndarray:
+    """What row_key() gives: a null leaves the hash as it is."""
+    out = np.zeros(len(texts), np.uint64)
+    for i, (d, t) in enumerate(zip(doc_ids, texts)):
+        h = 42 if d is None else xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42)
+        out[i] = h if t is None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), h)
+    return out.view(np.int64)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

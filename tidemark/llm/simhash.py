@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import materialise, row_key
 
 FP_SCHEMA = "doc_id long, fp long"
 
@@ -104,7 +104,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
     Rows equal in doc_id and text count as one document and leave one row. Rows are told apart by doc_id and text, so other
     texts of a doc_id are judged on their own; a row with a null doc_id stays only if its group has no other.
     """
-    from .similar import row_key, similar_groups
+    from .similar import similar_groups
 
     groups = materialise(similar_groups(docs, width, least), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
