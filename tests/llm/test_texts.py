@@ -249,3 +249,13 @@ def test_repeats_nulls_and_clashing_columns(spark, tmp_path, name):
     extra(docs).repartition(2).write.parquet(f"{tmp_path}/b/documents.parquet")
     a, b = (sorted(map(repr, result(spark, f"{tmp_path}/{x}", name))) for x in "ab")
     assert a == b and len(a) == len(rows)
+
+
+def test_wrong_agenda_raises():
+    """A wrong merge is an error that counts the parts, and is not mended in silence."""
+    model = pieces.PieceModel(pieces.model_path())
+    parts = ["▁hello", "▁world", "▁a"]
+    model.encode_parts(parts)
+    model.ranks = model.ranks[::-1].copy()
+    with pytest.raises(RuntimeError, match=r"differ from the library's in [12] of 3 parts"):
+        model.encode_parts(parts)

@@ -136,7 +136,7 @@ class PieceModel:
         return np.array([x for s in symbols.tolist() for x in ([s] if s < self.size else self.bytes[list(chr(s - self.size).encode("utf-8", "surrogatepass"))].tolist())], np.int32)
 
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, lengths) of distinct parts, checked against the library in one call; parts that differ take the library's ids."""
+        """(flat ids, lengths) of distinct parts, checked against the library in one call; raises where they differ."""
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
         groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (parts, flat ids, lengths)
         for low, high in ((0, 6), (6, 10), (10, 16), (16, 32), (32, 64)):
@@ -165,7 +165,10 @@ class PieceModel:
         return self._check(parts, flat, counts[order])
 
     def _check(self, parts: list[str], flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hold the ids of all parts against the library: each part is laid on a line of its own, across which nothing merges."""
+        """Hold the ids of all parts against the library: each part is laid on a line of its own, across which nothing merges.
+
+        The ids are the agenda's; where the library has others, the error counts the parts and shows the first.
+        """
         text = "".join(["\n" + p for p in parts if p != "\n"]).replace(SPACE, " ")
         keep = np.fromiter((p != "\n" for p in parts), bool, len(parts))
         want = np.array(self.library.encode(text), np.int32)
@@ -177,11 +180,10 @@ class PieceModel:
         if not keep.any() or np.array_equal(want[1:], laid):
             return flat, counts
         runs = np.split(flat, np.cumsum(counts)[:-1])
-        for i in np.flatnonzero(keep).tolist():
-            right = np.array(self.library.encode("\n" + parts[i].replace(SPACE, " "))[2:], np.int32)
-            if not np.array_equal(right, runs[i]):
-                runs[i] = right
-        return np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs))
+        wrong = [parts[i] for i in np.flatnonzero(keep).tolist() if not np.array_equal(self.library.encode("\n" + parts[i].replace(SPACE, " "))[2:], runs[i])]
+        if wrong:
+            raise RuntimeError(f"the agenda's ids differ from the library's in {len(wrong)} of {len(parts)} parts, the first {wrong[0][:80]!r}")
+        return flat, counts
 
 
 _models: dict[str, tuple[PieceModel, WordCache]] = {}
