@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -11,11 +13,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keyed_stream, materialise, ragged, shared_dir, stream_groups, text_chunks
+from .shared import keyed_stream, materialise, ragged, shared_dir, text_chunks
 from .word_cache import WordCache
 
 MAGIC = b"DACF0001"
@@ -112,27 +115,69 @@ def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Codes]:
     return table[0], table[1].astype(bool), table[2], Codes.from_bytes(memoryview(raw)[16 + 24 * n :])
 
 
-_caches: dict[str, WordCache] = {}
-ENDS = b".,;:!?"
+_encoders: dict[str, "ByWords | WholeTexts"] = {}
 
+# What the word-level path takes for granted of a tokenizer: it folds and normalises within words, cuts at white space, and
+# takes runs of letters and runs of marks as pieces of their own, each ended by the marked piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
-def _word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+#: a word of Latin-1 letters alone (in UTF-8), and the ASCII marks behind it
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
+
+def cuts_at_words(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) treats words as the word-level path does."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": CUTS} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    rest = [p.get("type") for p in parts[1:]] == ["ByteLevel"] and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    # an added token must lie within one word, and in none that PLAIN takes apart
+    added = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) and re.match(r"[!-/:-@\[-`{-~]+[A-Za-z]", t["content"]) for t in spec.get("added_tokens", []))
+    model = spec.get("model", {})
+    return bool(spec.get("normalizer") == NORMALIZER and first and rest and added and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout"))
+
+
+def _flat(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+    return np.fromiter(chain.from_iterable(runs), np.int32, int(lengths.sum())), lengths
+
+
+class WholeTexts:
+    """Encodes texts as they are: for tokenizers whose rules the word-level path doesn't know."""
+
+    def __init__(self, batch: Callable):
+        self.batch = batch
+
+    def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.batch([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)])
+
+
+class ByWords(WordCache):
+    def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # bytes.split() knows ASCII white space alone; other white space stays within words, for the tokenizer to drop
+        return self.encode([t.split() for t in texts])
+
+
+def encoder(path: str) -> ByWords | WholeTexts:
+    """The tokenizer in a file, by words where its rules allow that."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    return ByWords(_word_encoder(tokenizer, batch)) if cuts_at_words(json.loads(tokenizer.to_str())) else WholeTexts(batch)
 
+
+def _word_encoder(tokenizer, batch: Callable) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     last = np.zeros(tokenizer.get_vocab_size(), bool)
-    last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+    last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(WORD_END)]] = True
 
     def one_by_one(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        runs = [e.ids for e in batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-        return np.fromiter(chain.from_iterable(runs), np.int32, int(lengths.sum())), lengths
+        return WholeTexts(batch).encode_texts(words)
 
     def in_lines(words: list[bytes], width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Words of ASCII letters, many to a call: each is one run of pieces, of which the last alone is marked as a word's end."""
+        """Words of letters, many to a call: each is one run of pieces, of which the last alone is marked as a word's end."""
         flat, lengths = one_by_one([b" ".join(words[i : i + width]) for i in range(0, len(words), width)])
         ends = np.flatnonzero(last[flat]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
@@ -141,83 +186,120 @@ def _word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.nda
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of white-space-free words. A word of letters and closing marks has the ids of its letters, then those of its marks, as the
-        tokenizer cuts there anyway; ASCII letters are folded first, as it does itself. So fewer strings reach the library."""
-        cores, marks = [], []
+        tokenizer cuts there anyway; letters are folded first, as it does itself. So fewer strings reach the library."""
+        plain: dict[bytes, int] = {}
+        odd: dict[bytes, int] = {b"": 0}  # no mark: no ids
+        cores, marks, is_plain, match = [], [], [], PLAIN.fullmatch
         for w in words:
-            core = w.rstrip(ENDS)
-            if core.isalpha() and len(core) < len(w):  # of bytes: ASCII letters alone
-                cores.append(core.lower())
-                marks.append(w[len(core) :])
+            m = match(w)
+            if m is None:
+                cores.append(odd.setdefault(w, len(odd)))
+                marks.append(0)
             else:
-                cores.append(w.lower() if w.isalpha() else w)
-                marks.append(b"")
-        new = sorted(dict.fromkeys(chain(cores, filter(None, marks))), key=bytes.isalpha)
-        at = dict(zip(new, range(len(new))))
-        at[b""] = len(new)  # no mark: no ids
-        n_odd = len(new) - sum(map(bytes.isalpha, new))
-        flat, lengths = map(np.concatenate, zip(one_by_one(new[:n_odd]), in_lines(new[n_odd:])))
-        starts, lengths = np.append(np.cumsum(lengths) - lengths, 0), np.append(lengths, 0)
-        parts = np.array([np.fromiter(map(at.__getitem__, x), np.int64, len(x)) for x in (cores, marks)]).T
+                core, mark = m.groups()
+                core = core.lower() if core.isascii() else core.decode().lower().encode()
+                cores.append(plain.setdefault(core, len(plain)))
+                marks.append(odd.setdefault(mark, len(odd)) if mark else 0)
+            is_plain.append(m is not None)
+        flat, lengths = map(np.concatenate, zip(one_by_one(list(odd)), in_lines(list(plain))))
+        starts = np.cumsum(lengths) - lengths
+        parts = np.stack([np.array(cores, np.int64) + np.where(is_plain, len(odd), 0), np.array(marks, np.int64)], axis=1)
         return ragged(flat, starts[parts].ravel(), lengths[parts].ravel()), lengths[parts].sum(axis=1)
 
     return encode
 
 
-def _token_rows(path: str, end_id: int, bounds: np.ndarray, chunk: int = 4_000_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def ranges_of(doc_ids: list[int | None], ties: np.ndarray, bounds: np.ndarray, nulls: int) -> np.ndarray:
+    """Range of each row in ascending order of (doc_id, tie): `nulls` ranges for rows without a doc_id, then one for each bound and one more.
+
+    bounds may repeat: a doc_id that fills several ranges is dealt over them by its rows' ties (hashes of their texts).
+    """
+    spread = lambda tie, n: ((tie >> np.uint64(32)) * np.asarray(n, np.uint64) >> np.uint64(32)).astype(np.int64)
+    known = np.array([d is not None for d in doc_ids], bool)
+    ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return np.where(known, nulls + low + spread(ties, np.maximum(high - low, 1)), spread(ties, max(nulls, 1)))
+
+
+def _token_rows(path: str, end_id: int, bounds: np.ndarray, nulls: int, chunk: int = 4_000_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _caches:
-            _caches[path] = WordCache(_word_encoder(path))
+        if path not in _encoders:
+            _encoders[path] = encoder(path)
         for rows in text_chunks(batches, chunk):
-            # bytes.split() knows ASCII white space alone; other white space stays within words, for the tokenizer to drop
-            ids, counts = _caches[path].encode([(t or "").encode("utf-8", "surrogatepass").split() for t in rows["text"]])
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
+            ids, counts = _encoders[path].encode_texts(texts)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype("<u4")
             ends += np.arange(1, len(ends) + 1)
-            # two bytes an id where all fit, else four: the flag is the length's parity by id count
+            # two bytes an id where all fit, else four
             wide = len(ids) and int(ids.max()) > 0xFFFF
             raw = ids if wide else ids.astype("<u2")
             starts = np.concatenate(([0], ends[:-1]))
-            key = np.array([0 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in rows["doc_id"]], np.int64)
-            yield pa.record_batch({"key": key, "doc_id": pa.array(rows["doc_id"], pa.int64()), "wide": pa.array(np.full(len(key), bool(wide))), "ids": pa.array([raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())})
+            ties = np.array([xxhash.xxh64_intdigest(t, 6) for t in texts], np.uint64)
+            key = ranges_of(rows["doc_id"], ties, bounds, nulls)
+            # the tie in the order of unsigned numbers, as the ranges have it
+            yield pa.record_batch({"key": key, "doc_id": pa.array(rows["doc_id"], pa.int64()), "tie": (ties ^ np.uint64(1 << 63)).view(np.int64), "wide": pa.array(np.full(len(key), bool(wide))), "ids": pa.array([raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())})
 
     return run
 
 
-def _write_rows(folder: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write_rows(folder: str, ids_per_file: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Files of about ids_per_file ids out of sorted rows; no more than a file's rows are held."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        for key, table in stream_groups(batches):
-            runs = [np.frombuffer(r, "<u4" if w else "<u2") for r, w in zip(table.column("ids").to_pylist(), table.column("wide").to_pylist())]
-            doc_ids = table.column("doc_id").combine_chunks()
-            known = np.asarray(doc_ids.is_valid())
+
+        def write(key: int, piece: int, doc_ids: list, runs: list) -> pa.RecordBatch:
+            known = np.array([d is not None for d in doc_ids], bool)
             counts = np.fromiter(map(len, runs), np.int64, len(runs))
-            raw = file_bytes(np.asarray(doc_ids.fill_null(0)), known, counts, np.concatenate(runs).astype(np.uint64))
-            name, part = f"{root}/part-{key:010d}.dac", f"{root}/.{uuid.uuid4().hex}"
+            raw = file_bytes(np.array([d or 0 for d in doc_ids], np.int64), known, counts, np.concatenate(runs).astype(np.uint64))
+            name, part = f"{root}/part-{key:06d}-{piece:06d}.dac", f"{root}/.{uuid.uuid4().hex}"
             with store.open_output_stream(part) as out:  # a task that runs twice writes the same file twice
                 out.write(raw)
             store.move(part, name)
-            yield pa.record_batch({"file": pa.array([key], pa.int64()), "n_docs": pa.array([len(runs)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64()), "n_bytes": pa.array([len(raw)], pa.int64())})
+            return pa.record_batch({"part": pa.array([key], pa.int64()), "piece": pa.array([piece], pa.int64()), "n_docs": pa.array([len(runs)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64()), "n_bytes": pa.array([len(raw)], pa.int64())})
+
+        last, piece, held, doc_ids, runs = None, 0, 0, [], []
+        for batch in batches:
+            for key, doc_id, wide, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "wide", "ids"))):
+                if runs and (key != last or held >= ids_per_file):
+                    yield write(last, piece, doc_ids, runs)
+                    piece, held, doc_ids, runs = piece + 1, 0, [], []
+                if key != last:
+                    last, piece = key, 0
+                doc_ids.append(doc_id)
+                runs.append(np.frombuffer(raw, "<u4" if wide else "<u2"))
+                held += len(runs[-1])
+        if runs:
+            yield write(last, piece, doc_ids, runs)
 
     return run
 
 
+#: ranges at most; beyond it ranges become longer, and a task writes more files one after the other
+MOST_RANGES = 1 << 15
+
+
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, chars_per_file: int = 4_000_000) -> DataFrame:
     """Encode docs (doc_id, text) and write their ids to `folder` (a URI that all executors reach) in ascending doc_id order.
 
-    Files cut the doc_ids at quantiles, part-0000000000.dac first; rows with a null doc_id come first of all, rows of one
-    doc_id follow one another by their ids. Null and empty texts have the end id alone. An empty table writes no file.
-    Texts become ids before the shuffle, at two bytes an id where they fit. Returns the manifest, a row per file: file, n_docs,
-    n_tokens, n_bytes.
+    The doc_ids are cut at quantiles into ranges of about `chars_per_file` characters (MOST_RANGES at most, so the bounds stay
+    small); each range is a task that writes its sorted rows to files of that size, part-000000-000000.dac first. Rows with
+    a null doc_id come first of all; rows of one doc_id are in order of a hash of their text, and are dealt over several ranges where they fill
+    more than one. Null and empty texts have the end id alone. An empty table writes no file. Texts become ids before
+    the shuffle, at two bytes an id where they fit. Returns the manifest, a row per file: part, piece, n_docs, n_tokens, n_bytes.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    n_files = max(1, -(-chars // chars_per_file))
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, n_files + 1)[1:-1]]), F.lit(max(10_000, 20 * n_files)))).first()[0] if n_files > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
+    chars, of_null = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0))).first()
+    per_range = max(chars_per_file, -(-chars // MOST_RANGES))
+    nulls, n = -(-of_null // per_range), max(1, -(-(chars - of_null) // per_range))
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, n + 1)[1:-1]]), F.lit(max(10_000, 20 * n)))).first()[0] if n > 1 else []
+    bounds = np.array(cuts or [], np.int64)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    rows = docs.select("doc_id", "text").mapInArrow(_token_rows(path, end_id, bounds), "key long, doc_id long, wide boolean, ids binary")
-    written = keyed_stream(rows, "key", "doc_id", "ids").mapInArrow(_write_rows(folder), "file long, n_docs long, n_tokens long, n_bytes long")
+    rows = docs.select("doc_id", "text").mapInArrow(_token_rows(path, end_id, bounds, nulls), "key long, doc_id long, tie long, wide boolean, ids binary")
+    written = keyed_stream(rows, "key", "doc_id", "tie").mapInArrow(_write_rows(folder, chars_per_file // 4), "part long, piece long, n_docs long, n_tokens long, n_bytes long")
     return materialise(written, "manifest")
 
 
@@ -228,7 +310,8 @@ def _read_rows(digest: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
                 doc_ids, known, ends, codes = read_file(raw)
                 starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 ids = codes.all().astype("<u4")
-                out = {"file": pa.array(np.full(len(ends), int(name.rsplit("part-", 1)[1][:10])), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "offset": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64())}
+                part, piece = map(int, name.rsplit("part-", 1)[1].removesuffix(".dac").split("-"))
+                out = {"part": pa.array(np.full(len(ends), part), pa.int64()), "piece": pa.array(np.full(len(ends), piece), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "offset": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64())}
                 if digest:
                     out["ids_crc32"] = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64())
                 else:
@@ -241,14 +324,16 @@ def _read_rows(digest: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
 def read_token_files(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (or, with digest, ids_crc32) of every document in the files.
 
-    Only a row per file is ordered in one place, to find where each file starts; the files are read side by side.
+    Only a row per range (MOST_RANGES at most) is ordered in one place, to find where each begins; a range's own files are
+    ordered within it, and the files are read side by side.
     """
     spark = manifest.sparkSession
-    before = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    starts = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"))
-    columns = "file long, doc_id long, offset long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("of_part"))
+    starts = manifest.select("part", "piece", before(Window.partitionBy("part").orderBy("piece")).alias("of_piece")).join(parts, "part")
+    columns = "part long, piece long, doc_id long, offset long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.dac").load(folder).select("path", "content")
-    return files.mapInArrow(_read_rows(digest), columns).join(starts, "file").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
+    return files.mapInArrow(_read_rows(digest), columns).join(starts, ["part", "piece"]).select("doc_id", (F.col("of_part") + F.col("of_piece") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
 
 
 def fetch_tokens(raw: bytes, doc_id: int, positions: list[int]) -> list[int]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
@@ -11,17 +11,25 @@ from .shared import ragged
 
 
 class WordCache:
-    """Maps words to id runs. encode_new(words) gives (flat ids, lengths); beyond `cap` words the cache starts anew (bounded memory)."""
+    """Maps words to id runs. encode_new(words) gives (flat ids, lengths). Beyond `cap` words the less used half goes (bounded memory)."""
 
     def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], cap: int = 500_000):
         self.encode_new, self.cap = encode_new, cap
-        self._reset()
-
-    def _reset(self) -> None:
         self.index: dict = {}
-        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.starts, self.lengths, self.uses = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keep the cap / 2 most used words and halve their counts, so that what was frequent long ago goes in time."""
+        n = len(self.index)
+        keep = np.zeros(n, bool)
+        keep[np.argpartition(self.uses[:n], n - self.cap // 2)[n - self.cap // 2 :]] = True
+        words = list(compress(self.index, keep.tolist()))
+        starts, lengths, uses = (a[:n][keep] for a in (self.starts, self.lengths, self.uses))
+        self.flat = ragged(self.flat, starts, lengths)
+        self.used, self.starts, self.lengths, self.uses = len(self.flat), np.cumsum(lengths) - lengths, lengths, uses // 2
+        self.index = dict(zip(words, range(len(words))))
+
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
@@ -29,22 +37,24 @@ class WordCache:
     def _add(self, words: list) -> None:
         flat, lengths = self.encode_new(words)
         n, m = len(self.index), len(words)
-        self.flat, self.starts, self.lengths = self._room(self.flat, self.used + len(flat)), self._room(self.starts, n + m), self._room(self.lengths, n + m)
+        self.flat, self.starts, self.lengths, self.uses = self._room(self.flat, self.used + len(flat)), *(self._room(a, n + m) for a in (self.starts, self.lengths, self.uses))
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + m] = lengths
+        self.uses[n : n + m] = 0
         self.used += len(flat)
         self.index.update(zip(words, range(n, n + m)))
 
     def encode(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all docs one after the other, number of ids of each doc) for docs given as lists of words."""
         if len(self.index) > self.cap:
-            self._reset()
+            self._shrink()
         words = list(chain.from_iterable(docs))
         index = self.index
         if new := [w for w in dict.fromkeys(words) if w not in index]:
             self._add(new)
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        self.uses[: len(index)] += np.bincount(at, minlength=len(index))
         lengths = self.lengths[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
         ends = np.cumsum([len(d) for d in docs]) if docs else np.zeros(0, np.int64)
