@@ -76,6 +76,19 @@ def test_op5_secrets(spark, folder):
         want.append((d, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)))))
     found = result(spark, folder, "op5")
     same(found, want, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"])
+    owners, tokens = defaultdict(set), defaultdict(list)
+    rows = read(spark, folder)
+    for i, (d, t, s) in enumerate(rows):
+        spans = [(m.start(), m.end(), m[0]) for k, (name, p, g, least) in enumerate(kinds) for m in p.finditer(t or "") if len(m[g]) >= least]
+        values = [m[g] for k, (name, p, g, least) in enumerate(kinds) for m in p.finditer(t or "") if len(m[g]) >= least]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{28,}", t or ""):
+            if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")) and not any(a < m.end() and m.start() < b for a, b, _ in spans):
+                tokens[i].append((m.start(), m.end(), m[0]))
+                values.append(m[0])
+        for v in values:
+            owners[v].add(s)
+    want = [(d, ",".join(f"owned:{a}:{b}" for a, b, v in tokens[i] if len(owners[v]) <= 2)) for i, (d, _, _) in enumerate(rows)]
+    assert sorted((r["doc_id"] or -1, ",".join(s for s in r["spans"].split(",") if s.startswith("owned"))) for r in found) == sorted((d or -1, o) for d, o in want)
     for r in found:  # base spans are among all spans
         own = [s for s in r["spans"].split(",") if s and not s.startswith("owned")]
         assert sha(",".join(own)) == r["base_sha256"]
@@ -88,6 +101,11 @@ def test_secret_ownership(spark):
     found = {r.doc_id: r for r in secrets.scan_secrets(docs, live_owners=2).collect()}
     assert not found[0].spans and found[10].spans[0].kind == 3 and [s.kind for s in found[11].live] == [0]
     texts = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert docs.count() == len(texts)
+    late = "aB" * 60 + "7" + "x" * 30  # the first digit comes late in a long token
+    assert [(s.start, s.end) for s in secrets.scan_secrets(spark.createDataFrame([(1, f"see {late}", None, "a", 1)], SCHEMA)).first().spans] == [(4, 155)]
+    forks = spark.createDataFrame([(i, f"mine {key}", "one", f"repo{i}") for i in range(5)], "doc_id long, text string, owner string, repo string")
+    assert all(r.live for r in secrets.scan_secrets(forks, "owner").collect()) and not any(r.live for r in secrets.scan_secrets(forks, "owner", "repo").collect())
     assert texts[0] == rows[0][1] and texts[10] == "mine [SECRET]" and texts[11] == texts[12] == "[SECRET]" and texts[13] is None
 
 

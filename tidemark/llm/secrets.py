@@ -11,8 +11,9 @@ from .shared import materialise
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-#: what the method adds: long mixed tokens that no base pattern names; kept only where their owners are few
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Z])(?=[A-Za-z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{28,}"
+#: what the method adds: long tokens that no base pattern names and that mix digits, capitals and small letters; kept only where their owners are few
+TOKEN = r"[A-Za-z0-9+/_-]{28,}"
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 KINDS = ("assign", "access", "hex", "owned")
 
 SPAN = "struct<kind:int,start:long,end:long,value:string>"
@@ -51,30 +52,47 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(_in_order(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", live_owners: int = 2) -> DataFrame:
-    """For every row of docs: doc_id, base (spans of the contract's patterns), spans (base and added), live (spans to redact).
+def _empty() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
-    Each candidate's value is hashed, and the hashes are counted over the whole corpus by distinct owner (`owner`; null is an
-    owner of its own): first one row per hash and owner, then per hash, both with partial sums, so that an example in a third
-    of all rows costs a row per task. A value held by at most `live_owners` owners looks live, one held by more is a copied
-    example. `owned` candidates (long tokens of mixed letters and digits outside all base spans) are added as spans only when live;
-    base spans stay in any case. Null texts are empty; repeated rows count once per owner and each get their own result. Columns:
-    doc_id, text_key (hash of the text) and base, spans, live: arrays of (kind, start, end, value), in order of start and kind. All in built-in functions.
-    """
+
+def _judged(docs: DataFrame, owner: str, repository: str | None, live_owners: int, live_repositories: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(every row with its base and added candidates, the live spans of those rows that have any)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(spans_of(text, ASSIGN, 0, 6, 2), spans_of(text, ACCESS, 1, 20), spans_of(text, HEX, 2, 24))
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("text_key"), F.col(owner).alias("owner"), text.alias("text"), base.alias("base"))
+    held = [F.struct("*").alias("whole")] if whole else []
+    place = F.col(repository if repository else owner)
+    # the row in one column, so that no name of its own can clash
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(owner).alias("owner"), place.alias("repository"), text.alias("text"), base.alias("base"), *held)
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = found.select("row", "doc_id", "text_key", "owner", "base", F.filter(spans_of(F.col("text"), TOKEN, 3, 28), apart).alias("added"))
-    found = materialise(found, "candidates")
-    each = found.select("row", "owner", F.explode(F.concat("base", "added")).alias("s")).select("row", "owner", "s", F.xxhash64("s.value").alias("hash"))
-    by_owner = each.select("hash", "owner").distinct()
-    owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    judged = each.join(owners, "hash").where(F.col("owners") <= live_owners).groupBy("row").agg(F.collect_list("s").alias("live"))
-    empty = F.array().cast(f"array<{SPAN}>")
-    rows = found.join(judged, "row", "left").withColumn("live", _in_order(F.coalesce("live", empty)))
+    mixed = lambda s: F.rlike(s["value"], F.lit(MIXED[0])) & F.rlike(s["value"], F.lit(MIXED[1])) & F.rlike(s["value"], F.lit(MIXED[2]))
+    added = F.filter(spans_of(F.col("text"), TOKEN, 3, 28), lambda s: mixed(s) & apart(s))
+    found = materialise(found.select("row", "doc_id", "owner", "repository", "base", added.alias("added"), *(["whole"] if whole else [])), "candidates")
+    each = found.select("row", "owner", "repository", F.explode(F.concat("base", "added")).alias("s")).select("row", "owner", "repository", "s", F.xxhash64("s.value").alias("hash"))
+    places = each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    spread = lambda c: F.count_distinct(F.struct(c))  # noqa: E731  # a null counts as one of its own
+    by_hash = places.groupBy("hash").agg(spread("owner").alias("owners"), spread("repository").alias("repositories"))
+    live = by_hash.where((F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories))
+    judged = each.join(live, "hash").groupBy("row").agg(F.collect_list("s").alias("live"))
+    return found, judged
+
+
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None = None, live_owners: int = 2, live_repositories: int = 2) -> DataFrame:
+    """For every row of docs: doc_id, base (spans of the contract's patterns), spans (base and added), live (spans to redact).
+
+    Each candidate's value is hashed, and the hashes are counted over the whole corpus by distinct owner and distinct repository
+    (columns of docs; without a repository column an owner is one repository; null counts as one of its own): first one row per hash,
+    owner and repository, with partial sums, so that an example in a third of all rows costs a row per task; then per hash. A
+    value held by at most `live_owners` owners and `live_repositories` repositories looks live, one held by more is a copied example. Only live
+    hashes go back to the rows. `owned` candidates (runs of TOKEN with a digit, a capital and a small letter, of any length, outside all
+    base spans) are added as spans only when live; base spans stay in any case. Null texts are empty; repeated rows count once per owner
+    and each get their own result; an empty table gives none. base, spans and live are arrays of (kind, start, end, value), in order
+    of start and kind. All in built-in functions.
+    """
+    found, judged = _judged(docs, owner, repository, live_owners, live_repositories, False)
+    rows = found.join(judged, "row", "left").withColumn("live", _in_order(F.coalesce("live", _empty())))
     added = F.filter("live", lambda s: s["kind"] == 3)
-    return rows.select("doc_id", "text_key", _in_order(F.col("base")).alias("base"), _in_order(F.concat("base", added)).alias("spans"), "live")
+    return rows.select("doc_id", _in_order(F.col("base")).alias("base"), _in_order(F.concat("base", added)).alias("spans"), "live")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
@@ -83,12 +101,13 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
     return scan_secrets(docs).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"))
 
 
-def redact(docs: DataFrame, owner: str = "source", live_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
-    """docs with live-looking spans replaced by `mark` (overlapping spans by one); columns and rows stay, texts without such spans unchanged."""
-    # a text's live spans depend on the text alone, so equal texts share them
-    marked = scan_secrets(docs, owner, live_owners).where(F.size("live") > 0).groupBy("text_key").agg(F.first("live").alias("live"))
-    # the row in one column, so that no name of its own can clash
-    joined = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")).join(marked, "text_key", "left")
+def redact(docs: DataFrame, owner: str = "source", repository: str | None = None, live_owners: int = 2, live_repositories: int = 2, mark: str = "[SECRET]") -> DataFrame:
+    """docs with live-looking spans replaced by `mark` (overlapping spans by one); columns and rows stay, texts without such spans unchanged.
+
+    Rows without any candidate are not shuffled; the others are joined to their live spans by row.
+    """
+    found, judged = _judged(docs, owner, repository, live_owners, live_repositories, True)
+    suspect = (F.size("base") > 0) | (F.size("added") > 0)
     text = F.col("whole.text")
     between = lambda acc, length: F.substring(text, (acc["at"] + 1).cast("int"), length.cast("int"))
     cut = F.aggregate(
@@ -97,4 +116,6 @@ def redact(docs: DataFrame, owner: str = "source", live_owners: int = 2, mark: s
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], between(acc, s["start"] - acc["at"]), F.lit(mark)).alias("out"))),
         lambda acc: F.concat(acc["out"], between(acc, F.length(text))),
     )
-    return joined.select(F.col("whole").withField("text", F.when(F.col("live").isNull(), text).otherwise(cut)).alias("whole")).select("whole.*")
+    marked = found.where(suspect).select("row", "whole").join(judged.select("row", _in_order(F.col("live")).alias("live")), "row", "left")
+    marked = marked.select(F.col("whole").withField("text", F.when(F.col("live").isNull(), text).otherwise(cut)).alias("whole"))
+    return marked.unionByName(found.where(~suspect).select("whole")).select("whole.*")
