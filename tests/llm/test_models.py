@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import mixing, perplexity, preferences, secrets, simhash, vectors
@@ -39,11 +41,34 @@ def test_op2_against_all_pairs(spark, tmp_path):
 def test_op2_estimates_are_unbiased():
     rng = np.random.default_rng(6)
     x = vectors.unit(rng.standard_normal((400, 64)))
-    signs, factor = vectors.encode(x, 2)
-    est, width = vectors.estimate(signs, factor, x, 2, 5.0)
+    signs, factor = vectors.encode(x, 160, 2)
+    assert signs.shape[1] == 192
+    est = vectors.estimate(signs, factor, vectors.rotated(x, 160, 2))
     off = est - x @ x.T
     np.fill_diagonal(off, 0)
-    assert abs(off.mean()) < 0.003 and (np.abs(off) <= width).mean() > 0.999
+    assert abs(off.mean()) < 0.003 and (np.abs(off) <= vectors.half_width(factor, 192, 5.0)[:, None]).mean() > 0.9999
+
+
+def test_op2_null_ids_and_clashing_columns(spark):
+    """Rows without an id are nodes like any other; they link and are counted, and name nothing."""
+    a, b = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0]
+    rows = [(None, a), (None, a), (5, b), (6, b), (None, [0.0, 1.0, 0.0]), (9, None), (9, [0.0, 0.0, 2.0]), (9, [0.0, 0.0, 1.0])]
+    found = vectors.near_vectors(extra(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")))).collect()
+    assert sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in found) == [(0, 0, 0, True), (0, 3, 5, False), (0, 3, 5, False), (5, 3, 5, True), (6, 3, 5, False), (9, 0, 9, True), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+@pytest.mark.parametrize("n", [3000, 30000])
+def test_op2_recall(spark, n):
+    """All links of planted pairs about the threshold, at two sizes (other numbers of bits and tables), against brute force in blocks."""
+    rng = np.random.default_rng(n)
+    base = vectors.unit(rng.standard_normal((n // 3, 48)))
+    x = vectors.unit(np.concatenate([base, *(base + s * rng.standard_normal(base.shape) / np.sqrt(48) for s in (0.2, 0.33))]))
+    want = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 1000):
+        want[lo : lo + 1000] = (x[lo : lo + 1000] @ x.T >= 0.95).sum(axis=1) - 1
+    docs = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 48).cast(pa.list_(pa.float64()))}))
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(docs).select("vec_id", "n_links").collect()}
+    assert want.sum() > n // 2 and sum(found[i] != w for i, w in enumerate(want.tolist())) <= 2 and sum(found.values()) >= 0.9999 * want.sum()
 
 
 @pytest.mark.parametrize("name", ["op2_near_vectors", "op3_preferences"])
