@@ -59,11 +59,33 @@ def test_op1_substring_dedup(spark, folder):
 
 
 def test_op1_small_groups_and_batches(spark, tmp_path):
-    """Any number of groups and any batches give the same result: frequent prefixes are split further."""
+    """Any number of groups and any batches give the same result: frequent prefixes are split further, large groups into subtrees."""
     rows = [(d, t) for d, t, *_ in documents()] + [(None, "alpha " * 40), (7, "alpha " * 40)]
     docs = spark.read.parquet(f"{table(spark, rows, tmp_path, 'doc_id long, text string')}/documents.parquet")
-    look = lambda **o: sorted(map(repr, substring_dedup.dedup_substrings(docs, **o).select("doc_id", "n_words", "n_removed", "kept_text").collect()))
-    assert look() == look(chars_per_group=600, chunk=2000)
+    look = lambda **o: sorted(map(repr, substring_dedup.dedup_substrings(docs, **o).select("doc_id", "n_words", "n_removed", "kept_text", "spans").collect()))
+    assert look() == look(chars_per_group=600, chunk=2000) == look(chars_per_group=600, chunk=2000, most_groups=3)
+
+
+def test_op1_long_words_of_two_letters(spark, tmp_path):
+    """Words on which polynomial hashes modulo a power of two agree, and words beyond the table's length."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other, rest = thue.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (3, f"{'x' * 70}a {rest}"), (4, f"{'x' * 70}b {rest}"), (5, f"{'x' * 70}b {rest}")]
+    docs = spark.read.parquet(f"{table(spark, rows, tmp_path, 'doc_id long, text string')}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+
+
+def test_op1_maximal_repeats(spark, tmp_path):
+    """Repeats that overlap or abut, from different documents, are spans of their own; each is as long as it can be."""
+    import random
+
+    rng = random.Random(17)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    one, two, three = ([word() for _ in range(n)] for n in (40, 30, 25))
+    texts = {1: one, 2: two, 3: [word(), *three], 4: [word(), *one[5:30], *two[3:20], word(), *three, word(), *one[10:40]]}
+    docs = spark.read.parquet(f"{table(spark, [(d, ' '.join(w)) for d, w in texts.items()], tmp_path, 'doc_id long, text string')}/documents.parquet")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in substring_dedup.dedup_substrings(docs, chunk=300).collect()}
+    assert found == {1: [], 2: [], 3: [], 4: [(1, 26, 1, 5), (26, 43, 2, 3), (44, 69, 3, 1), (70, 100, 1, 10)]}
 
 
 def test_op5_secrets(spark, folder):
