@@ -140,14 +140,26 @@ def test_op4_model(spark, tmp_path):
 
 
 def test_op4_accuracy(spark, data):
-    """Held-out labels: good documents stay, most bad ones go."""
-    sf = os.path.join(os.path.dirname(data), "sf0.01")
+    """Held-out labels: good documents stay, most bad ones go; the threshold is the held-out fold's quantile by language."""
+    sf = os.path.join(os.path.dirname(data), "sf0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    scored = queries()["op4_kneser_ney"](spark, sf).join(labels, "doc_id").select("quality", "kept").collect()
-    share = lambda q: np.mean([r.kept for r in scored if r.quality == q])
-    assert share(1) >= 0.99 and share(0) <= 0.35
-    none = perplexity.classify(spark.createDataFrame(documents()[:9], SCHEMA), labels.limit(0))
-    assert all(r.kept for r in none.collect())
+    rows = queries()["op4_kneser_ney"](spark, sf).join(labels, "doc_id", "left").join(perplexity.trusted(labels), "doc_id", "left").collect()
+    share = lambda q: np.mean([r.kept for r in rows if r.quality == q])
+    assert share(1) >= 0.985 and share(0) <= 0.3
+    for lang in {r.lang for r in rows}:
+        held = sorted(r.perplexity for r in rows if r.lang == lang and r.fold == 4 and r.n_bytes)
+        (threshold,) = {r.threshold for r in rows if r.lang == lang}
+        assert held[math.ceil(0.995 * len(held)) - 1] == pytest.approx(threshold)
+        assert all(r.kept == (r.perplexity <= threshold or not r.n_bytes) for r in rows if r.lang == lang)
+
+
+def test_op4_without_labels_or_documents(spark):
+    labels = "doc_id long, quality int, toxic int"
+    none, docs = spark.createDataFrame([], labels), spark.createDataFrame(documents()[:9], SCHEMA)
+    assert all(r.kept for r in perplexity.classify(docs, none).collect())
+    assert perplexity.classify(docs.limit(0), spark.createDataFrame([(0, 1, 0)], labels)).collect() == []
+    mixed = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, 1, None), (3, 1, 0), (4, None, 0), (None, 1, 0)]
+    assert [r.doc_id for r in perplexity.trusted(spark.createDataFrame(mixed, labels)).collect()] == [3]
 
 
 def fill(sizes: list[float], weights: list[float], total: float) -> list[float]:

@@ -220,21 +220,16 @@ def _score_rows(shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def trusted(labels: DataFrame) -> DataFrame:
-    """doc_ids labelled good and not toxic."""
-    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-
-
-def trusted_sample(labels: DataFrame, max_docs: int, seed: int = 4) -> DataFrame:
-    """Four fifths of the trusted doc_ids, at most max_docs of them in a seeded hash order: the bounded sample that the model is fitted on."""
-    drawn = F.xxhash64(F.lit(seed), "doc_id")
-    return trusted(labels).where(F.pmod(drawn, F.lit(5)) < 4).orderBy(drawn, "doc_id").limit(max_docs)
+def trusted(labels: DataFrame, seed: int = 4) -> DataFrame:
+    """doc_id and fold (0 to 4, by a seeded hash) of the documents that all their labels call good and none toxic."""
+    sums = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    return sums.where("good = 1 and toxic = 0").select("doc_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(5)).alias("fold"))
 
 
 def perplexities(docs: DataFrame, fitted: DataFrame, shards: int = 64, chunk: int = CHUNK) -> DataFrame:
     """row (row_key()), doc_id, lang, n_bytes and perplexity a byte of every row of docs (doc_id, text, lang), under a model of the fitted rows' texts.
 
-    fitted (doc_id) is broadcast; it must be bounded, as trusted_sample() is. The counts of their texts are summed by
+    fitted (doc_id, no repeats) may be as large as docs. The counts of all their texts are summed by
     shard, where continuation counts and contexts of two bytes and more are whole; the two-byte table and the discounts
     are bounded by 65,536 numbers and go to every task. Then each batch of texts asks each shard for its distinct n-grams
     (a row per batch and shard), and the answers meet the batch's texts, packed, again. Requests of one shard
@@ -244,7 +239,7 @@ def perplexities(docs: DataFrame, fitted: DataFrame, shards: int = 64, chunk: in
     slim = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     chars = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     salts = max(1, -(-chars // (1000 * chunk)))
-    chosen = slim.join(F.broadcast(fitted.select("doc_id")), "doc_id", "left_semi").select("text")
+    chosen = slim.join(fitted.select("doc_id"), "doc_id", "left_semi").select("text")
     parts = chosen.mapInArrow(_count_rows(shards, chunk), "key long, codes binary, counts binary")
     counts = materialise(keyed_stream(parts, "key").mapInArrow(_sum_rows, "key long, codes binary, counts binary"), "counts")
     stats = counts.mapInArrow(_stat_rows, "ord long, k long, n long").groupBy("ord", "k").agg(F.sum("n").alias("n"))
@@ -258,26 +253,22 @@ def perplexities(docs: DataFrame, fitted: DataFrame, shards: int = 64, chunk: in
     return keyed_stream(texts.unionByName(answers), "key").mapInArrow(_score_rows(shards), "row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.25, allowance: float = 3.0, max_train_docs: int = 20_000, shards: int = 64) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, shards: int = 64) -> DataFrame:
     """row (row_key()), doc_id, lang, n_bytes, perplexity, threshold, kept for every row of docs, judged by its language's threshold.
 
-    The model is fitted on at most max_train_docs trusted rows; thresholds come from the scores of all other trusted rows
-    (those of the model's own texts would be too low): a language's `quantile` of them, times `slack`. A short text's mean varies more, so
-    perplexities are judged after division by exp(allowance / sqrt(n_bytes)), on both sides.
-    A language (or null) without trusted rows takes the quantile over all; without any, all rows are
-    kept. Rows without bytes have no perplexity to judge and are kept for other rules. Repeated doc_ids each get their row.
+    The model is fitted on all trusted rows of four folds in five, so it grows with the corpus; thresholds come from the fifth, whose texts
+    the model hasn't seen: a language's `quantile` of their perplexities. A document whose labels contradict one another isn't trusted.
+    A language (or null) without held-out rows takes the quantile over all; without any, all rows are kept. Rows without bytes have no
+    perplexity to judge and are kept for other rules. Repeated doc_ids each get their row; empty tables give none.
     """
-    fitted = materialise(trusted_sample(labels, max_train_docs), "fitted")
-    scores = materialise(perplexities(docs, fitted, shards), "scores")
-    held_out = trusted(labels).join(F.broadcast(fitted), "doc_id", "left_anti")  # fitted has at most max_train_docs rows
-    seen = scores.where("n_bytes > 0").join(held_out, "doc_id", "left_semi")
-    judged_by = F.col("perplexity") * F.exp(-allowance / F.sqrt(F.greatest("n_bytes", F.lit(1))))
-    cut = F.percentile_approx(judged_by, F.lit(quantile), F.lit(100_000)) * slack
+    known = materialise(trusted(labels), "trusted")
+    scores = materialise(perplexities(docs, known.where("fold < 4"), shards), "scores")
+    seen = scores.where("n_bytes > 0").join(known.where("fold = 4"), "doc_id", "left_semi")
+    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     by_lang = seen.groupBy(F.col("lang").alias("_lang")).agg(cut.alias("_cut"))
     overall = seen.agg(cut).first()[0]
-    limits = by_lang.select(F.col("_lang"), F.col("_cut"))
-    judged = scores.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("_cut", F.lit(overall).cast("double"))).drop("_lang", "_cut")
-    return judged.withColumn("kept", F.coalesce((F.col("n_bytes") == 0) | (judged_by <= F.col("threshold")), F.lit(True)))
+    judged = scores.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("_cut", F.lit(overall).cast("double"))).drop("_lang", "_cut")
+    return judged.withColumn("kept", F.coalesce((F.col("n_bytes") == 0) | (F.col("perplexity") <= F.col("threshold")), F.lit(True)))
 
 
 def op4_kneser_ney(spark, sf_dir: str) -> DataFrame:
