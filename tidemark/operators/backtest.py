@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import columns as C
 from ..sources.bars import numbered
+from ..sources.tables import kept
 from .rolling import max_drawdown
 from .strategies import STRATEGIES, Position, signals, strategy
 
@@ -80,25 +81,36 @@ def run(pdf: pd.DataFrame, code: str, cfg: Config) -> pd.DataFrame:
     if position:
         close(len(closes) - 1, closes[-1] - spread if position.long else closes[-1] + spread, "end of data")
     peak = np.maximum.accumulate(np.maximum(curve, cfg.capital)) if len(curve) else curve
-    out = pd.DataFrame(trades, columns=["time", "entry_time", "side", "entry_price", "exit_price", "bars", "pnl", "reason"]).assign(kind="trade", equity=None, drawdown=None)
-    line = pd.DataFrame({"time": times, "equity": curve, "drawdown": np.where(peak > 0, (peak - curve) / np.where(peak > 0, peak, 1), 0.0)}).assign(kind="equity", entry_time=pd.NaT, side=None, entry_price=None, exit_price=None, bars=None, pnl=None, reason=None)
-    both = pd.concat([x for x in (out, line) if len(x)], ignore_index=True) if len(out) or len(line) else out
-    both["strategy"], both["symbol"], both["bars"] = code, symbol, both["bars"].astype("Int32")
-    return both[[c.split()[0] for c in LEDGER.split(", ")]]
+    done, n, m = list(zip(*trades)) or [()] * 8, len(trades), len(times)
+    whole = lambda head, tail, kind: pd.array([*head, *tail], dtype=kind)
+    columns = {
+        "strategy": [code] * (n + m), "symbol": [symbol] * (n + m), "kind": ["trade"] * n + ["equity"] * m,
+        "time": whole(done[0], times, "datetime64[us]"), "entry_time": whole(done[1], [None] * m, "datetime64[us]"), "side": [*done[2], *[None] * m],
+        "entry_price": whole(done[3], [None] * m, "Float64"), "exit_price": whole(done[4], [None] * m, "Float64"), "bars": whole(done[5], [None] * m, "Int32"), "pnl": whole(done[6], [None] * m, "Float64"), "reason": [*done[7], *[None] * m],
+        "equity": whole([None] * n, curve, "Float64"), "drawdown": whole([None] * n, np.where(peak > 0, (peak - curve) / np.where(peak > 0, peak, 1), 0.0), "Float64"),
+    }
+    return pd.DataFrame(columns)
 
 
-def runner(code: str, cfg: Config) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: run(pdf, code, cfg)
+def runner(cfg: Config) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: run(pdf, pdf["strategy"].iloc[0], cfg)
 
 
 def ledger(bars: DataFrame, codes: list[str] | None = None, cfg: Config = Config()) -> DataFrame:
-    """Trades and equity of every strategy on every symbol; each pair is a group of its own, with the columns its rule reads and no others."""
-    parts = None
-    for code in codes or list(STRATEGIES):
-        rows = signals(bars, code).select("symbol", "time", "open", "close", "action", "strength", "stop", *strategy(code).columns)
-        got = rows.groupBy("symbol").applyInPandas(runner(code, cfg), LEDGER)
-        parts = got if parts is None else parts.unionByName(got)
-    return parts
+    """Trades and equity of every strategy on every symbol; each pair is a group of its own, with the columns its rule reads and no others.
+
+    All indicators are windows over one sort of the bars; one grouped stage runs all pairs. Symbols without bars have no rows.
+    """
+    codes = list(STRATEGIES) if codes is None else codes
+    names = sorted({c for code in codes for c in strategy(code).columns})
+    base, rows, packed = ["symbol", "time", "open", "high", "low", "close", "volume"], bars, []
+    for k, code in enumerate(codes):
+        rows = signals(rows, code)
+        values = [(F.col(c).cast("double") if c in strategy(code).columns else F.lit(None).cast("double")).alias(c) for c in names]
+        rows = rows.select(*base, *packed, F.struct(F.lit(code).alias("strategy"), "action", F.col("strength").cast("double").alias("strength"), F.col("stop").cast("double").alias("stop"), *values).alias(f"_s{k}"))
+        packed.append(f"_s{k}")
+    rows = rows.select("symbol", "time", "open", "close", F.explode(F.array(*packed)).alias("s")).select("symbol", "time", "open", "close", "s.*")
+    return rows.groupBy("strategy", "symbol").applyInPandas(runner(cfg), LEDGER)
 
 
 def trade_stats(trades: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -134,8 +146,8 @@ def stats(bars: DataFrame, book: DataFrame, cfg: Config = Config()) -> DataFrame
 
 
 def suite(bars: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All strategies on all symbols: the ledger is used four times, so it is kept for the run."""
-    return stats(bars, ledger(bars, None, cfg).persist(), cfg)
+    """All strategies on all symbols: the ledger is used four times, so it becomes a table."""
+    return stats(bars, kept(ledger(bars, None, cfg), "ledger"), cfg)
 
 
 def recent_trades(book: DataFrame, n: int = 200) -> DataFrame:

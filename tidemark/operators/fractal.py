@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import columns as C
-from ..sources.bars import numbered, resample, returns
+from ..sources.bars import numbered, returns
 
 Q_VALUES = (-4.0, -2.0, -1.0, 0.0, 1.0, 2.0, 4.0)
 
@@ -116,17 +116,20 @@ def curve_dimension(bars: DataFrame, *keys: str, k_max: int = 8, by_step: bool =
 TIMEFRAMES = (("1H", 1), ("4H", 4), ("1D", 24))
 
 
-def timeframes(bars: DataFrame) -> DataFrame:
-    """Both Hurst exponents by symbol and timeframe (those with 32 returns or more), their mean and distance from the first timeframe's."""
-    parts = None
-    for place, (name, factor) in enumerate(TIMEFRAMES):
-        own = bars if factor == 1 else resample(bars, factor)
-        own = returns(own).select("symbol", F.lit(name).alias("timeframe"), F.lit(place).alias("place"), "rn", "r", "n").where(F.col("n") >= 32)
-        parts = own if parts is None else parts.unionByName(own)
-    keys = ("symbol", "timeframe", "place")
-    both = rescaled_range(parts, *keys).select(*keys, F.col("h").alias("rs")).join(detrended(parts, *keys).select(*keys, F.col("h").alias("dfa")), list(keys))
-    both = both.withColumn("h", (F.col("rs") + F.col("dfa")) / 2)
-    base = F.min_by("h", "place").over(Window.partitionBy("symbol"))
+def timeframes(bars: DataFrame, *keys: str) -> DataFrame:
+    """Both Hurst exponents by key and timeframe (those with 32 returns or more), their mean and distance from the first timeframe's.
+
+    A bar goes to a block of each timeframe at once; a block's bar is its aggregate.
+    """
+    keys = keys or ("symbol",)
+    frames = F.array(*[F.struct(F.lit(name).alias("timeframe"), F.lit(place).alias("place"), F.lit(factor).alias("factor")) for place, (name, factor) in enumerate(TIMEFRAMES)])
+    rows = numbered(bars, *keys).select(*keys, "rn", "time", "close", F.explode(frames).alias("f"))
+    each = (*keys, "timeframe", "place")
+    blocks_ = rows.groupBy(*keys, F.col("f.timeframe").alias("timeframe"), F.col("f.place").alias("place"), F.floor(F.col("rn") / F.col("f.factor")).alias("block")).agg(F.min("time").alias("time"), F.max_by("close", "time").alias("close"))
+    own = returns(blocks_, *each).select(*each, "rn", "r", "n").where(F.col("n") >= 32)
+    both = rescaled_range(own, *each).select(*each, F.col("h").alias("rs")).join(detrended(own, *each).select(*each, F.col("h").alias("dfa")), list(each))
+    both = both.withColumn("h", (F.col("rs") + F.col("dfa")) / 2).withColumn("regime", C.regime_of_hurst(F.col("h")))
+    base = F.min_by("h", "place").over(Window.partitionBy(*keys))
     return both.withColumn("dislocation", F.abs(F.col("h") - base))
 
 

@@ -45,16 +45,16 @@ def transfer_series(pair: DataFrame, bins: int = 4, n: int = 120) -> DataFrame:
     w = Window.orderBy("rn")
     rows = rows.withColumn("xn", F.lead("xq").over(w)).withColumn("yn", F.lead("yq").over(w)).where(F.col("xn").isNotNull())
     low, high = F.greatest(F.lit(n), F.col("rn") + 2), F.least(F.col("rn") + n, F.col("n") - 1)
-    rows = rows.where(low <= high).withColumn("end", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    forth = entropy_of_triples(rows.select("end", F.col("yn").alias("a"), F.col("yq").alias("b"), F.col("xq").alias("c")), ["end"])
-    back = entropy_of_triples(rows.select("end", F.col("xn").alias("a"), F.col("xq").alias("b"), F.col("yq").alias("c")), ["end"])
-    return forth.withColumnRenamed("te", "x_to_y").join(back.withColumnRenamed("te", "y_to_x"), "end")
+    rows = rows.where(low <= high).withColumn("end_at", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    forth = entropy_of_triples(rows.select("end_at", F.col("yn").alias("a"), F.col("yq").alias("b"), F.col("xq").alias("c")), ["end_at"])
+    back = entropy_of_triples(rows.select("end_at", F.col("xn").alias("a"), F.col("xq").alias("b"), F.col("yq").alias("c")), ["end_at"])
+    return forth.withColumnRenamed("te", "x_to_y").join(back.withColumnRenamed("te", "y_to_x"), "end_at")
 
 
 def transfer(pair: DataFrame, bins: int = 4, n: int = 120) -> DataFrame:
     """One row: last x_to_y and y_to_x, net, who leads, z of the leading direction's last value and whether it spikes."""
     rows = transfer_series(pair, bins, n)
-    last = rows.agg(F.max_by(F.struct("x_to_y", "y_to_x"), "end").alias("l"), F.avg("x_to_y").alias("mx"), F.avg("y_to_x").alias("my"), C.std0(F.col("x_to_y")).alias("sx"), C.std0(F.col("y_to_x")).alias("sy")).select("l.*", "mx", "my", "sx", "sy")
+    last = rows.agg(F.max_by(F.struct("x_to_y", "y_to_x"), "end_at").alias("l"), F.avg("x_to_y").alias("mx"), F.avg("y_to_x").alias("my"), C.std0(F.col("x_to_y")).alias("sx"), C.std0(F.col("y_to_x")).alias("sy")).select("l.*", "mx", "my", "sx", "sy")
     last = last.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in last.columns])
     net = F.col("x_to_y") - F.col("y_to_x")
     z = F.when(net >= 0, (F.col("x_to_y") - F.col("mx")) / C.or_tiny(F.col("sx"))).otherwise((F.col("y_to_x") - F.col("my")) / C.or_tiny(F.col("sy")))
@@ -74,10 +74,10 @@ def permutation_series(rets: DataFrame, *keys: str, m: int = 4, n: int = 100) ->
     rows = rets.select(*keys, "rn", "n", pattern(F.array("r", *[F.lead("r", i).over(w) for i in range(1, m)]), m).alias("p"), F.lead("r", m - 1).over(w).alias("_l"))
     rows = rows.where(F.col("_l").isNotNull() & (F.col("n") >= n + m))
     low, high = F.greatest(F.lit(n), F.col("rn") + m), F.least(F.col("rn") + n, F.col("n"))
-    rows = rows.where(low <= high).withColumn("end", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    counts = rows.groupBy(*keys, "end", "p").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.where(low <= high).withColumn("end_at", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    counts = rows.groupBy(*keys, "end_at", "p").agg(F.count(F.lit(1)).alias("c"))
     share = F.col("c") / F.lit(float(n - m + 1))
-    return counts.groupBy(*keys, "end").agg((-F.sum(share * F.log2(share)) / math.log2(math.factorial(m))).alias("pe"))
+    return counts.groupBy(*keys, "end_at").agg((-F.sum(share * F.log2(share)) / math.log2(math.factorial(m))).alias("pe"))
 
 
 def permutation(rets: DataFrame, *keys: str, m: int = 4, n: int = 100) -> DataFrame:
@@ -85,7 +85,7 @@ def permutation(rets: DataFrame, *keys: str, m: int = 4, n: int = 100) -> DataFr
     from .microstructure import latest
 
     keys = keys or ("symbol",)
-    found = latest(permutation_series(rets, *keys, m=m, n=n), "pe", "end", n, *keys)
+    found = latest(permutation_series(rets, *keys, m=m, n=n), "pe", "end_at", n, *keys)
     out = rets.select(*keys).distinct().join(found, list(keys), "left")
     out = out.select(*keys, F.coalesce("value", F.lit(1.0)).alias("pe"), F.coalesce("mean", F.lit(1.0)).alias("mean"), F.coalesce("percentile", F.lit(0.5)).alias("percentile"))
     state = F.when(F.col("percentile") < 0.2, "predictable").when(F.col("percentile") > 0.8, "random").otherwise("normal")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, fractal, information, microstructure, rolling, statarb, strategies, volatility
 from ..sources import bars as B
+from ..sources.tables import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +18,12 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     return df.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def daily(f: Callable[[DataFrame], DataFrame], *columns: str, digits: int = 6, tail: int | None = None, **other: int) -> Query:
-    """A query over daily bars, or the last `tail` of each symbol."""
+def daily(f: Callable[[DataFrame], DataFrame], *columns: str, digits: int = 6, tail: int | None = None, keep: bool = False, **other: int) -> Query:
+    """A query over daily bars, or the last `tail` of each symbol. What reads its bars many times starts from a table of them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = B.daily_bars(spark, sf_dir)
-        out = f(B.tail(bars, tail) if tail else bars)
+        bars = B.daily_bars(spark, sf_dir, tail)
+        out = f(kept(bars, "bars") if keep else bars)
         return rounded(out.select(*columns) if columns else out, digits, **other)
 
     return run
@@ -84,32 +85,32 @@ QUERIES: dict[str, Query] = {
     "ofi_divergence": daily(lambda b: microstructure.divergence(microstructure.classify_volume(b))),
     "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)).withColumn("bucket", F.col("bucket").cast("long")), "symbol", "bucket", "time", "buy", "sell", "vol", tail=500),
     "vpin": daily(lambda b: microstructure.vpin(microstructure.classify_volume(b)), tail=500, z=4),
-    "toxicity": daily(microstructure.report, "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, tail=500),
+    "toxicity": daily(microstructure.report, "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, keep=True, tail=500),
     "hurst_rs": daily(lambda b: fractal.rescaled_range(B.returns(b)), tail=500),
     "hurst_dfa": daily(lambda b: fractal.detrended(B.returns(b)), tail=500),
-    "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), tail=500),
+    "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), keep=True, tail=500),
     "higuchi": daily(fractal.curve_dimension, tail=500),
-    "fractal_gate": daily(fractal.report, tail=500),
+    "fractal_gate": daily(fractal.report, keep=True, tail=500),
     "transfer_entropy_rolling": daily(lambda b: information.transfer_series(pair_of(b)), tail=500),
-    "cross_asset_edge": daily(lambda b: information.cross_edge(pair_of(b), "A", "R"), tail=500, z=5, leader_return=9),
+    "cross_asset_edge": daily(lambda b: information.cross_edge(pair_of(b), "A", "R"), keep=True, tail=500, z=5, leader_return=9),
     "permutation_entropy_rolling": daily(lambda b: information.permutation_series(B.returns(b)), tail=500),
     "permutation_state": daily(lambda b: information.permutation(B.returns(b)), tail=500),
-    "mutual_info_rank": daily(lambda b: information.mutual(information.information_features(b, pair_of(b), "R")), tail=500),
+    "mutual_info_rank": daily(lambda b: information.mutual(information.information_features(b, pair_of(b), "R")), keep=True, tail=500),
     "bipower_jumps": daily(lambda b: volatility.jumps(B.returns(b)), z=4),
-    "garch_fit": daily(garch_row, "symbol", "omega", "alpha", "beta", "log_lik", "vol", "long_run_vol", "regime", tail=500, omega=9, log_lik=4),
+    "garch_fit": daily(garch_row, "symbol", "omega", "alpha", "beta", "log_lik", "vol", "long_run_vol", "regime", keep=True, tail=500, omega=9, log_lik=4),
     "hmm_features": daily(volatility.hmm_features, "symbol", "time", "f0", "f1", "f2", "f3", digits=4, tail=500),
     "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4, tail=500),
-    "vol_regime": daily(volatility.report, tail=500),
+    "vol_regime": daily(volatility.report, keep=True, tail=500),
     "ou_fit": daily(ols_spread, z=5),
     "cointegration": daily(lambda b: statarb.cointegration(statarb.log_pair(b, "A", "R")), t=5, trace=5),
     "kalman_beta": daily(lambda b: statarb.kalman(statarb.log_pair(b, "A", "R")), kalman_z=5),
-    "statarb_gate": daily(lambda b: statarb.report(b, "A", "R"), "hedge_ratio", "kalman_z", "z", "half_life", "half_life_valid", "cointegrated", "composite", "gate", digits=5, hedge_ratio=6),
+    "statarb_gate": daily(lambda b: statarb.report(b, "A", "R"), "hedge_ratio", "kalman_z", "z", "half_life", "half_life_valid", "cointegrated", "composite", "gate", digits=5, keep=True, hedge_ratio=6),
     "zscore_mr_signal": daily(lambda b: strategies.signals(b, "zscore-mr"), "symbol", "time", "action", "strength", "stop", digits=5),
     "decay_mom_signal": daily(lambda b: strategies.signals(b, "decay-mom"), "symbol", "time", "action", "strength", "stop", digits=5, stop=6),
     "vol_breakout_signal": daily(lambda b: strategies.signals(b, "vol-breakout"), "symbol", "time", "action", "strength", "stop", digits=5),
     "carry_signal": daily(lambda b: strategies.signals(b, "carry-proxy"), "symbol", "time", "action", "strength", "stop", digits=5),
-    "backtest_trades": daily(lambda b: backtest.ledger(b, None, CFG).where("kind = 'trade'").drop("equity", "drawdown", "kind")),
-    "backtest_stats": daily(lambda b: backtest.suite(b, CFG)),
+    "backtest_trades": daily(lambda b: backtest.ledger(b, None, CFG).where("kind = 'trade'").drop("equity", "drawdown", "kind"), keep=True),
+    "backtest_stats": daily(lambda b: backtest.suite(b, CFG), keep=True),
     "deflated_sharpe": daily(deflated),
     "symbol_config": lambda s, d: B.symbol_config(s),
     "strategy_catalogue": lambda s, d: strategies.catalogue(s),

@@ -147,24 +147,24 @@ def binned(v: str, bins: int) -> str:
 
 
 def te(a: str, b: str, c: str, name: str) -> str:
-    return f"{name} AS (SELECT \"end\", greatest(0, sum(c3 / n * log2((c3 / cbc) / (cab / cb)))) AS te FROM (SELECT \"end\", c3::DOUBLE AS c3, sum(c3) OVER (PARTITION BY \"end\", b, c)::DOUBLE AS cbc, sum(c3) OVER (PARTITION BY \"end\", a, b)::DOUBLE AS cab, sum(c3) OVER (PARTITION BY \"end\", b)::DOUBLE AS cb, sum(c3) OVER (PARTITION BY \"end\")::DOUBLE AS n FROM (SELECT \"end\", {a} AS a, {b} AS b, {c} AS c, count(*) AS c3 FROM win GROUP BY 1, 2, 3, 4)) GROUP BY 1)"
+    return f"{name} AS (SELECT end_at, greatest(0, sum(c3 / n * log2((c3 / cbc) / (cab / cb)))) AS te FROM (SELECT end_at, c3::DOUBLE AS c3, sum(c3) OVER (PARTITION BY end_at, b, c)::DOUBLE AS cbc, sum(c3) OVER (PARTITION BY end_at, a, b)::DOUBLE AS cab, sum(c3) OVER (PARTITION BY end_at, b)::DOUBLE AS cb, sum(c3) OVER (PARTITION BY end_at)::DOUBLE AS n FROM (SELECT end_at, {a} AS a, {b} AS b, {c} AS c, count(*) AS c3 FROM win GROUP BY 1, 2, 3, 4)) GROUP BY 1)"
 
 
 TE = f"""{pair('A', 'R')}, bn AS (SELECT rn, n, {binned('x', 4)} AS xq, {binned('y', 4)} AS yq FROM pr), nx AS (SELECT *, lead(xq) OVER (ORDER BY rn) AS xn, lead(yq) OVER (ORDER BY rn) AS yn FROM bn),
-win AS (SELECT nx.*, w."end" FROM nx JOIN (SELECT unnest(range(120, (SELECT max(n) FROM pr))) AS "end") w ON nx.rn BETWEEN w."end" - 120 AND w."end" - 2),
-{te('yn', 'yq', 'xq', 'fw')}, {te('xn', 'xq', 'yq', 'bw')}, ts AS (SELECT "end", fw.te AS x_to_y, bw.te AS y_to_x FROM fw JOIN bw USING ("end"))"""
-SQL["transfer_entropy_rolling"] = f"WITH {TAIL}, {TE} SELECT \"end\", {r6('x_to_y', 'y_to_x')} FROM ts"
-EDGE = """tl AS (SELECT last(x_to_y ORDER BY "end") AS x_to_y, last(y_to_x ORDER BY "end") AS y_to_x, avg(x_to_y) AS mx, avg(y_to_x) AS my, stddev_samp(x_to_y) AS sx, stddev_samp(y_to_x) AS sy FROM ts),
+win AS (SELECT nx.*, w.end_at FROM nx JOIN (SELECT unnest(range(120, (SELECT max(n) FROM pr))) AS end_at) w ON nx.rn BETWEEN w.end_at - 120 AND w.end_at - 2),
+{te('yn', 'yq', 'xq', 'fw')}, {te('xn', 'xq', 'yq', 'bw')}, ts AS (SELECT end_at, fw.te AS x_to_y, bw.te AS y_to_x FROM fw JOIN bw USING (end_at))"""
+SQL["transfer_entropy_rolling"] = f"WITH {TAIL}, {TE} SELECT end_at, {r6('x_to_y', 'y_to_x')} FROM ts"
+EDGE = """tl AS (SELECT last(x_to_y ORDER BY end_at) AS x_to_y, last(y_to_x ORDER BY end_at) AS y_to_x, avg(x_to_y) AS mx, avg(y_to_x) AS my, stddev_samp(x_to_y) AS sx, stddev_samp(y_to_x) AS sy FROM ts),
 tz AS (SELECT *, x_to_y - y_to_x AS net, CASE WHEN x_to_y >= y_to_x THEN (x_to_y - mx) / sx ELSE (y_to_x - my) / sy END AS z FROM tl),
 edge AS (SELECT *, CASE WHEN abs(net) < 0.02 THEN 'balanced' WHEN net > 0 THEN 'x' ELSE 'y' END AS leader, z > 2 AS spike, (SELECT last(x ORDER BY rn) FROM pr) AS lx, (SELECT last(y ORDER BY rn) FROM pr) AS ly FROM tz)"""
 SQL["cross_asset_edge"] = f"""WITH {TAIL}, {TE}, {EDGE} SELECT {r6('x_to_y', 'y_to_x', 'net')}, leader, round(z, 5) AS z, spike, CASE WHEN spike AND leader = 'x' THEN 'R' WHEN spike AND leader = 'y' THEN 'A' END AS target,
   CASE WHEN spike AND leader <> 'balanced' THEN CASE WHEN CASE WHEN leader = 'x' THEN lx ELSE ly END > 0 THEN 'long' ELSE 'short' END ELSE 'none' END AS edge, round(CASE WHEN leader = 'x' THEN lx ELSE ly END, 9) AS leader_return FROM edge"""
 PE = """p0 AS (SELECT symbol, rn, n, r AS r0, lead(r, 1) OVER w AS r1, lead(r, 2) OVER w AS r2, lead(r, 3) OVER w AS r3 FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
 p1 AS (SELECT symbol, rn, n, ((r1 < r0)::INT + (r2 < r0)::INT + (r3 < r0)::INT) * 64 + ((r0 <= r1)::INT + (r2 < r1)::INT + (r3 < r1)::INT) * 16 + ((r0 <= r2)::INT + (r1 <= r2)::INT + (r3 < r2)::INT) * 4 + ((r0 <= r3)::INT + (r1 <= r3)::INT + (r2 <= r3)::INT) AS p FROM p0 WHERE r3 IS NOT NULL),
-p2 AS (SELECT symbol, "end", p, count(*) AS c FROM p1 JOIN (SELECT unnest(range(100, 501)) AS "end") e ON "end" <= n AND rn BETWEEN "end" - 100 AND "end" - 4 GROUP BY 1, 2, 3),
-pe AS (SELECT symbol, "end", -sum(c / 97 * log2(c / 97::DOUBLE)) / log2(24) AS pe FROM p2 GROUP BY 1, 2)"""
-SQL["permutation_entropy_rolling"] = f"WITH {TAIL}, {PE} SELECT symbol, \"end\", round(pe, 6) AS pe FROM pe"
-SQL["permutation_state"] = f"""WITH {TAIL}, {PE}, l AS (SELECT * FROM {latest('pe', 'pe', '"end"', 100)}) SELECT symbol, round(value, 6) AS pe, round(mean, 6) AS mean, round(percentile, 6) AS percentile,
+p2 AS (SELECT symbol, end_at, p, count(*) AS c FROM p1 JOIN (SELECT unnest(range(100, 501)) AS end_at) e ON end_at <= n AND rn BETWEEN end_at - 100 AND end_at - 4 GROUP BY 1, 2, 3),
+pe AS (SELECT symbol, end_at, -sum(c / 97 * log2(c / 97::DOUBLE)) / log2(24) AS pe FROM p2 GROUP BY 1, 2)"""
+SQL["permutation_entropy_rolling"] = f"WITH {TAIL}, {PE} SELECT symbol, end_at, round(pe, 6) AS pe FROM pe"
+SQL["permutation_state"] = f"""WITH {TAIL}, {PE}, l AS (SELECT * FROM {latest('pe', 'pe', 'end_at', 100)}) SELECT symbol, round(value, 6) AS pe, round(mean, 6) AS mean, round(percentile, 6) AS percentile,
   CASE WHEN percentile < 0.2 THEN 'predictable' WHEN percentile > 0.8 THEN 'random' ELSE 'normal' END AS state, CASE WHEN percentile < 0.2 THEN 1.25::DOUBLE WHEN percentile > 0.8 THEN 0.5 ELSE 1 END AS multiplier FROM l"""
 MI = f"""{pair('A', 'R')}, mf AS (SELECT pr.rn, x, y, lead(y) OVER (ORDER BY pr.rn) AS nxt, sqrt(sum(y * y) OVER (ORDER BY pr.rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) / 20) AS vol, (high - low) / close AS spread, volume FROM pr JOIN bars ON bars.time = pr.time AND bars.symbol = 'R'),
 ml AS (SELECT f.feature, f.value, nxt AS target FROM (SELECT *, unnest([{{'feature': 'log-return', 'value': y}}, {{'feature': 'realized-vol', 'value': vol}}, {{'feature': 'leader-return', 'value': x}}, {{'feature': 'spread-proxy', 'value': spread}}, {{'feature': 'volume', 'value': volume}}]) AS f FROM mf WHERE rn >= 20 AND nxt IS NOT NULL)),
