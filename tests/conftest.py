@@ -19,7 +19,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     folder = tempfile.mkdtemp(prefix="spark-")
-    conf = {"spark.master": "local[8]", "spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.local.dir": folder, "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{folder}/shared"}
+    conf = {"spark.master": "local[8]", "spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.local.dir": folder, "spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.checkpoint.dir": f"file://{folder}/shared"}
     session = SparkSession.builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

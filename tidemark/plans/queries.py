@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, fractal, information, microstructure, rolling, statarb, strategies, volatility
+from ..operators import backtest, fractal, information, live, microstructure, ml, rolling, statarb, strategies, volatility
 from ..sources import bars as B
+from ..sources import declared, generator
 from ..sources.tables import kept
+from ..streaming.bars import bars_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +58,82 @@ def garch_row(bars: DataFrame) -> DataFrame:
     return volatility.garch_report(B.returns(bars))
 
 
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = spark.range(1000).select(F.explode(F.array(*[F.lit(x).cast("long") for x in generator.SEEDS.values()])).alias("seed"), F.col("id").alias("draw"))
+    rows = rows.withColumn("u", generator.uniform(F.col("seed"), F.col("draw")))
+    z = generator.normal(F.col("u"), F.lead("u").over(Window.partitionBy("seed").orderBy("draw")))
+    return rows.select("seed", "draw", F.round("u", 12).alias("u"), F.round(z, 9).alias("z"))
+
+
+def generated(spark: SparkSession) -> DataFrame:
+    from datetime import datetime
+
+    return generator.generated_bars(spark, 2400, start=datetime(2024, 1, 1))
+
+
+def model_windows(bars: DataFrame) -> DataFrame:
+    rows = ml.windows(bars).groupBy("symbol", F.col("end").alias("stop"))
+    return rows.agg(F.count(F.lit(1)).alias("bars"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.max("y").alias("y"))
+
+
+def window_measures(bars: DataFrame) -> DataFrame:
+    keys = ("symbol", "end")
+    rows = kept(ml.windows(bars), "windows", 0)
+    rets = B.returns(rows, *keys)
+    out = ml.last_residual(rows, *keys).join(ml.order_entropy(rets, *keys), list(keys)).join(ml.own_flow(rets, *keys), list(keys))
+    return out.select("symbol", F.col("end").alias("stop"), "residual", "pe", "te")
+
+
+def numbered_samples(bars: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("symbol")
+    ends = ml.windows(bars).select("symbol", "end").distinct()
+    return ends.select("symbol", (F.row_number().over(own.orderBy("end")) - 1).alias("rn"), F.count(F.lit(1)).over(own).alias("n"))
+
+
+def folds(bars: DataFrame) -> DataFrame:
+    rows = ml.fold_rows(numbered_samples(bars))
+    part = lambda p: F.sum((F.col("part") == p).cast("long"))
+    return rows.groupBy("symbol", F.col("fold").cast("long").alias("fold")).agg(part("test").alias("test"), part("train").alias("train"), (F.max("n") - F.count(F.lit(1))).alias("purged"))
+
+
+def splits(bars: DataFrame) -> DataFrame:
+    rows = ml.walk_rows(numbered_samples(bars))
+    part = lambda p: F.sum((F.col("part") == p).cast("long"))
+    return rows.groupBy("symbol", F.col("split").cast("long").alias("split")).agg(part("train").alias("train"), part("test").alias("test"))
+
+
+def each_bar_a_trade(bars: DataFrame) -> DataFrame:
+    rows = B.numbered(bars).where("prev is not null").select(F.lit("each").alias("strategy"), "symbol", (F.col("close") - F.col("prev")).alias("pnl"), F.lit(1).alias("bars"))
+    out = backtest.trade_stats(rows)
+    return out.withColumn("valid", backtest.verdict(backtest.Config())[0]).drop("strategy", "avg_bars")
+
+
+def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    return rounded(bars_table(spark, sf_dir, f"stream-{uuid.uuid4().hex}", pattern="events.parquet"))
+
+
+def strategy_suite(bars: DataFrame) -> DataFrame:
+    """The catalogue with each strategy's figures by symbol."""
+    names = strategies.catalogue(bars.sparkSession)
+    return names.join(backtest.suite(bars, CFG), F.col("code") == F.col("strategy")).drop("strategy")
+
+
+def backtest_report(bars: DataFrame) -> DataFrame:
+    """By strategy and symbol: last trades, newest first, and the equity curve at about 300 points, as JSON."""
+    book = kept(backtest.ledger(bars, None, CFG), "ledger")
+    trades = backtest.recent_trades(book, 200).groupBy("strategy", "symbol").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "side", "entry_time", "time", "entry_price", "exit_price", "bars", "pnl", "reason"))), lambda t: t.dropFields("place"))).alias("trades"), F.count(F.lit(1)).alias("n_trades"))
+    curve = rolling.downsample(book.where("kind = 'equity'").select(F.concat_ws("\u0001", "strategy", "symbol").alias("symbol"), "time", F.col("equity").alias("close")), 300)
+    points = curve.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(F.struct("time", F.col("close").alias("equity"))))).alias("curve"), F.count(F.lit(1)).alias("n_points"))
+    points = points.select(F.split("symbol", "\u0001")[0].alias("strategy"), F.split("symbol", "\u0001")[1].alias("symbol"), "curve", "n_points")
+    return points.join(trades, ["strategy", "symbol"], "left")
+
+
 CFG = backtest.Config(pip=0.01, spread=0.05)
 
 QUERIES: dict[str, Query] = {
@@ -112,6 +190,27 @@ QUERIES: dict[str, Query] = {
     "backtest_trades": daily(lambda b: backtest.ledger(b, None, CFG).where("kind = 'trade'").drop("equity", "drawdown", "kind"), keep=True),
     "backtest_stats": daily(lambda b: backtest.suite(b, CFG), keep=True),
     "deflated_sharpe": daily(deflated),
+    "uniform_draws": draws,
+    "generated_bars": lambda s, d: generated(s),
+    "regime_matrix": lambda s, d: B.transition_matrix(s),
+    "regime_distribution": lambda s, d: backtest.regime_counts(generated(s)),
+    "stream_bars_hourly": hourly_stream,
+    "trade_stats": daily(each_bar_a_trade, expectancy=9, avg_win=9, avg_loss=9),
+    "strategy_suite": daily(strategy_suite, keep=True),
+    "backtest_report": daily(backtest_report, keep=True),
+    "timeframe_hurst": daily(fractal.timeframes, tail=500, keep=True),
+    "ml_windows": daily(model_windows, tail=2000, digits=9),
+    "ml_window_measures": daily(window_measures, tail=2000),
+    "ml_folds": daily(folds, tail=2000),
+    "ml_splits": daily(splits, tail=2000),
+    "ml_features": daily(ml.raw_features, tail=2000, keep=True),
+    "ml_report": daily(ml.report, tail=2000, keep=True),
+    "dispatch_context": daily(live.context, tail=500, keep=True),
+    "live_base": daily(live.base_signals, "strategy", "symbol", "time", "direction", "confidence", tail=500, keep=True, digits=4),
+    "te_injection": daily(lambda b: live.te_signals(information.cross_edge(pair_of(b), "A", "R")), "symbol", "direction", "confidence", tail=500, keep=True, digits=4),
+    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, "A", "R"), "A", "R"), "symbol", "direction", "confidence", keep=True, digits=4),
+    "live_signals": daily(lambda b: live.live_signals(b, "A", "R"), tail=2000, keep=True),
+    "declared_trades": daily(lambda b: declared.trades(backtest.ledger(b, None, CFG)).drop("created_at"), keep=True),
     "symbol_config": lambda s, d: B.symbol_config(s),
     "strategy_catalogue": lambda s, d: strategies.catalogue(s),
 }

@@ -224,3 +224,42 @@ SELECT symbol, time, CASE WHEN slope > 0 AND pct > 0.8 THEN 'enter-short' WHEN s
 SQL["deflated_sharpe"] = f"WITH {BARS} SELECT symbol, round(avg(r) / stddev_samp(r) * sqrt(1638) * sqrt(1 - (ln(12) + 0.5772::DOUBLE) / 24), 6) AS deflated FROM rets GROUP BY 1"
 SQL["symbol_config"] = "SELECT * FROM (VALUES ('EUR/USD', 1.085::DOUBLE, 0.006::DOUBLE, 0.00005::DOUBLE, 0.0001::DOUBLE, 'FX:EURUSD'), ('XAU/USD', 2330::DOUBLE, 0.012::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE, 'OANDA:XAU_USD')) t(symbol, base_price, daily_vol, spread, pip_size, tv_symbol)"
 SQL["strategy_catalogue"] = "SELECT * FROM (VALUES ('zscore-mr', 'Z-score reversion', 'mean-reversion', 'mean-reversion'), ('decay-mom', 'Decay-weighted momentum', 'momentum', 'momentum'), ('vol-breakout', 'Volatility breakout', 'breakout', 'breakout-prep'), ('carry-proxy', 'Carry proxy', 'carry', 'always')) t(code, name, kind, family)"
+
+SEED_LIST = ", ".join(str(s) for s in (0xA11CE, 0xB0B))
+SQL["uniform_draws"] = f"""WITH d AS (SELECT seed, draw, ((seed::HUGEINT + (draw + 1) * 1831565813::HUGEINT) % 4294967296)::BIGINT AS a FROM (SELECT unnest([{SEED_LIST}])::BIGINT AS seed), (SELECT unnest(range(1000))::BIGINT AS draw)),
+t AS (SELECT seed, draw, ((xor(a, a >> 15)::HUGEINT * (a | 1)) % 4294967296)::BIGINT AS t FROM d),
+v AS (SELECT seed, draw, xor(((t + (xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296) % 4294967296)::BIGINT, t) AS v FROM t),
+u AS (SELECT seed, draw, xor(v, v >> 14) / 4294967296::DOUBLE AS u FROM v)
+SELECT seed, draw, round(u, 12) AS u, round(sqrt(-2 * ln(u)) * cos(2 * pi() * lead(u) OVER (PARTITION BY seed ORDER BY draw)), 9) AS z FROM u"""
+
+MODEL_BARS = TAIL.replace("<= 500", "<= 2000")
+WINDOWS = f"""{MODEL_BARS}, wn AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), we AS (SELECT symbol, unnest(range(200, n - 1, 20)) AS stop FROM wn),
+wb AS (SELECT we.symbol, stop, b.rn AS k, b.time, b.close, lag(b.close) OVER (PARTITION BY we.symbol, stop ORDER BY b.rn) AS p FROM we JOIN b ON b.symbol = we.symbol AND b.rn >= stop - 200 AND b.rn < stop)"""
+SQL["ml_windows"] = f"""WITH {WINDOWS}, y AS (SELECT symbol, rn - 1 AS stop, ln(close / prev) AS y FROM b)
+SELECT symbol, stop, count(*) AS bars, min(time) AS first_time, max(time) AS last_time, round(max(y), 9) AS y FROM wb JOIN y USING (symbol, stop) GROUP BY 1, 2"""
+SQL["ml_window_measures"] = f"""WITH {WINDOWS}, res AS (SELECT symbol, stop, arg_max(ln(close), k) - (avg(ln(close)) FILTER (p IS NOT NULL) - regr_slope(ln(close), ln(p)) * avg(ln(p)) + regr_slope(ln(close), ln(p)) * arg_max(ln(p), k)) AS residual FROM wb GROUP BY 1, 2),
+wr AS (SELECT symbol, stop, k, ln(close / p) AS r FROM wb WHERE p IS NOT NULL),
+p4 AS (SELECT symbol, stop, r AS a, lead(r, 1) OVER w AS b, lead(r, 2) OVER w AS c, lead(r, 3) OVER w AS d FROM wr WINDOW w AS (PARTITION BY symbol, stop ORDER BY k)),
+pc AS (SELECT symbol, stop, count(*) AS c FROM p4 WHERE d IS NOT NULL GROUP BY symbol, stop, a <= b, a <= c, a <= d, b <= c, b <= d, c <= d),
+pe AS (SELECT symbol, stop, -sum(s * log2(s)) / log2(24) AS pe FROM (SELECT symbol, stop, c / sum(c) OVER (PARTITION BY symbol, stop)::DOUBLE AS s FROM pc) GROUP BY 1, 2),
+q AS (SELECT symbol, stop, k, least(3, greatest(0, floor((r - min(r) OVER s) / (CASE WHEN max(r) OVER s = min(r) OVER s THEN 1e-9 ELSE max(r) OVER s - min(r) OVER s END) * 4))) AS q FROM wr WINDOW s AS (PARTITION BY symbol, stop)),
+q3 AS (SELECT symbol, stop, lead(q) OVER w AS a, q AS b, lag(q) OVER w AS c FROM q WINDOW w AS (PARTITION BY symbol, stop ORDER BY k)),
+n3 AS (SELECT symbol, stop, a, b, c, count(*)::DOUBLE AS n FROM q3 WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY ALL),
+te AS (SELECT symbol, stop, greatest(0, sum(n / t * log2((n / bc) / (ab / bb)))) AS te FROM (SELECT *, sum(n) OVER (PARTITION BY symbol, stop) AS t, sum(n) OVER (PARTITION BY symbol, stop, b, c) AS bc, sum(n) OVER (PARTITION BY symbol, stop, a, b) AS ab, sum(n) OVER (PARTITION BY symbol, stop, b) AS bb FROM n3) GROUP BY 1, 2)
+SELECT symbol, stop, {r6('residual', 'pe', 'te')} FROM res JOIN pe USING (symbol, stop) JOIN te USING (symbol, stop)"""
+SAMPLES = f"{WINDOWS}, s AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY stop) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM we)"
+SQL["ml_folds"] = f"""WITH {SAMPLES}, f AS (SELECT s.*, fold, fold * (n // 6) AS a, CASE WHEN fold = 5 THEN n ELSE (fold + 1) * (n // 6) END AS z FROM s, (SELECT unnest(range(6)) AS fold) WHERE n >= 30)
+SELECT symbol, fold, count(*) FILTER (rn >= a AND rn < z) AS test, count(*) FILTER (rn < a - 5 OR rn >= z + 5) AS train, count(*) FILTER ((rn < a AND rn >= a - 5) OR (rn >= z AND rn < z + 5)) AS purged FROM f GROUP BY 1, 2"""
+SQL["ml_splits"] = f"""WITH {SAMPLES}, f AS (SELECT s.*, unnest(range(40, n - 10, 10)) AS split FROM s WHERE n >= 50)
+SELECT symbol, split, count(*) FILTER (rn < split) AS train, count(*) FILTER (rn >= split AND rn < split + 10) AS test FROM f GROUP BY 1, 2"""
+
+DECIDED = " UNION ALL ".join(f"(SELECT '{code}' AS strategy, symbol, time, action, strength FROM ({SQL[name]}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1)" for code, name in (("zscore-mr", "zscore_mr_signal"), ("decay-mom", "decay_mom_signal"), ("vol-breakout", "vol_breakout_signal"), ("carry-proxy", "carry_signal")))
+SQL["live_base"] = f"SELECT strategy, symbol, time, CASE action WHEN 'enter-long' THEN 'long' WHEN 'enter-short' THEN 'short' ELSE 'flat' END AS direction, round(strength, 4) AS confidence FROM ({DECIDED})"
+SQL["te_injection"] = f"SELECT target AS symbol, edge AS direction, round(least(1, greatest(0.5, (z - 1) / 3)), 4) AS confidence FROM ({SQL['cross_asset_edge']}) WHERE edge <> 'none'"
+SQL["statarb_injection"] = f"SELECT CASE WHEN composite = 'long-spread' THEN 'R' ELSE 'A' END AS symbol, CASE WHEN composite = 'long-spread' THEN 'long' ELSE 'short' END AS direction, round(least(1, greatest(0.5, (abs(z) - 1) / 3)), 4) AS confidence FROM ({SQL['statarb_gate']}) WHERE composite <> 'none' AND gate = 'open'"
+SQL["stream_bars_hourly"] = SQL["bars_hourly"]
+SQL["trade_stats"] = f"""WITH {BARS}, t AS (SELECT symbol, close - prev AS pnl, (close - prev) / 100000 AS r FROM b WHERE prev IS NOT NULL),
+g AS (SELECT symbol, count(*) AS trades, avg(r) / stddev_samp(r) * sqrt(1638) AS sharpe, avg(r) / sqrt(avg(r * r) FILTER (r < 0)) * sqrt(1638) AS sortino, avg(CASE WHEN pnl > 0 THEN 1::DOUBLE ELSE 0 END) AS hit_rate, sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl <= 0)) AS profit_factor,
+  avg(r) * sqrt(count(*)) / stddev_samp(r) AS t, avg(r) AS expectancy, avg(r) FILTER (pnl > 0) AS avg_win, avg(r) FILTER (pnl <= 0) AS avg_loss FROM t GROUP BY 1)
+SELECT symbol, trades, {r6('sharpe', 'sortino', 'hit_rate', 'profit_factor')}, round(t, 6) AS t_stat, round(2 * (1 - {cdf('abs(t)')}), 6) AS p_value, round(expectancy, 9) AS expectancy, round(avg_win, 9) AS avg_win, round(avg_loss, 9) AS avg_loss, trades >= 1000 AND 2 * (1 - {cdf('abs(t)')}) < 0.05 AND sharpe >= 0.5 AS valid FROM g"""
+SQL["regime_matrix"] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {p}::DOUBLE)" for a, row in {"trend": (0.96, 0.02, 0.01, 0.01), "revert": (0.02, 0.96, 0.01, 0.01), "highvol": (0.08, 0.05, 0.82, 0.05), "calm": (0.06, 0.06, 0.03, 0.85)}.items() for b, p in zip(("trend", "revert", "highvol", "calm"), row)) + ") AS t(regime, next, p)"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,16 @@ def kept(df: DataFrame, label: str, small: int = SMALL) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     return table.coalesce(1) if table.count() <= small else table
+
+
+class Expiring:
+    """Tables by key that are built anew when older than `seconds`; the driver holds their paths and times alone."""
+
+    def __init__(self, seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.clock, self.held = seconds, clock, {}
+
+    def get(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        now = self.clock()
+        if key not in self.held or now - self.held[key][0] >= self.seconds:
+            self.held[key] = (now, kept(build(), key))
+        return self.held[key][1]
