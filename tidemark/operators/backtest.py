@@ -20,7 +20,7 @@ from .strategies import STRATEGIES, Position, signals, strategy
 
 @dataclass(frozen=True)
 class Config:
-    """Capital and costs; spread (half) and pip are by symbol, with a default for the rest."""
+    """Capital, costs and limits (fixed values, as the results need them); spread (half) and pip are by symbol, with a default for the rest."""
 
     capital: float = 100_000.0
     risk: float = 0.01
@@ -121,7 +121,7 @@ def trade_stats(trades: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def verdict(cfg: Config) -> tuple[Column, Column]:
-    """(valid, first reason against)."""
+    """(valid, first reason against). The wording of the reasons."""
     reason = (
         F.when(F.col("trades") < cfg.min_trades, F.concat(F.lit("insufficient trades ("), F.col("trades").cast("string"), F.lit(f" < {cfg.min_trades})")))
         .when(F.col("p_value") >= cfg.max_p, F.concat(F.lit("p-value "), C.fixed(F.col("p_value"), 4), F.lit(f" >= {cfg.max_p}")))

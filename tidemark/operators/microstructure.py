@@ -134,10 +134,10 @@ def report(bars: DataFrame, *keys: str) -> DataFrame:
     out = out.withColumn("liquidity", C.clamp01(0.6 * (1 - F.col("amihud_percentile")) + 0.4 * (1 - score("kyle_z"))))
     out = out.withColumn("liquidity_label", F.when(F.col("liquidity") > 0.66, "deep").when(F.col("liquidity") > 0.33, "normal").otherwise("thin"))
     parts = F.array_compact(F.array(
-        F.when(F.col("vpin_toxic"), F.concat(F.lit("VPIN toxicity flag (z="), C.fixed(F.col("vpin_z")), F.lit("): informed flow"))),
-        F.when(F.col("kyle_trend") == "rising", "price impact rising: book thins out").when(F.col("kyle_trend") == "falling", "price impact falling: book takes flow easily"),
-        F.when(F.col("amihud_percentile") > 0.8, F.concat(F.lit("illiquidity in top "), C.fixed(100 - F.col("amihud_percentile") * 100, 0), F.lit("%"))),
-        F.when(F.col("flow_divergence") == "bearish", "price up on falling delta: distribution").when(F.col("flow_divergence") == "bullish", "price down on rising delta: accumulation"),
+        F.when(F.col("vpin_toxic"), F.concat(F.lit("one-sided volume "), C.fixed(F.col("vpin_z")), F.lit(" deviations above its norm"))),
+        F.when(F.col("kyle_trend") == "rising", "each unit of flow moves the price more than before").when(F.col("kyle_trend") == "falling", "each unit of flow moves the price less than before"),
+        F.when(F.col("amihud_percentile") > 0.8, F.concat(F.lit("less liquid than in "), C.fixed(F.col("amihud_percentile") * 100, 0), F.lit(" of 100 recent bars"))),
+        F.when(F.col("flow_divergence") == "bearish", "sellers behind a rising price").when(F.col("flow_divergence") == "bullish", "buyers behind a falling price"),
     ))
-    none = F.concat(F.lit("flow "), F.col("toxicity_label"), F.lit(" / book "), F.col("liquidity_label"), F.lit(": no anomaly"))
-    return out.withColumn("interpretation", F.when(F.size(parts) == 0, none).otherwise(F.array_join(parts, " · ")))
+    none = F.concat(F.lit("nothing unusual: toxicity "), F.col("toxicity_label"), F.lit(", liquidity "), F.col("liquidity_label"))
+    return out.withColumn("interpretation", F.when(F.size(parts) == 0, none).otherwise(F.array_join(parts, "; ")))

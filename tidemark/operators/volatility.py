@@ -23,6 +23,7 @@ def _steps(start: float, stop: float, step: float) -> list[float]:
     return out
 
 
+# The grid's bounds and steps, and ln(2 pi) as the results need it.
 GRID = [(a, b) for a in _steps(0.02, 0.3, 0.04) for b in _steps(0.7, 0.97, 0.03) if a + b < 0.995]
 LOG_2PI = 1.8378770664
 
@@ -100,6 +101,7 @@ def jumps(rets: DataFrame, *keys: str, window: int = 50, corrected: bool = False
     return out.withColumn("detected", (F.col("z") > 1.645) & (F.col("ratio") > 0.3))
 
 
+# The features' names.
 HMM_FEATURES = ("log-return", "realized-vol", "vol-skew", "spread-proxy")
 
 
@@ -188,6 +190,7 @@ def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 30) -> dict | None:
     return {"pi": pi, "a": a, "mu": mu, "sd": sd, "path": path, "posterior": posterior, "log_lik": float(np.log(scale).sum()), "rounds": done}
 
 
+# The states' labels, by volatility.
 LABELS = ("Low-Vol Compression", "Transitional", "High-Vol Trending")
 
 
