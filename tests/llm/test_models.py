@@ -94,6 +94,27 @@ def test_op3_edges(spark):
     assert found[1].rejected[span.start : span.end] == "b<|end|>"
 
 
+def test_op3_empty_repeats_long_and_clashing_columns(spark):
+    """No rows give none; repeated turns stay; a very long text is rendered whole; columns with names of its own don't matter."""
+    schema = "pair_id long, side string, turn long, role string, text string"
+    assert preferences.format_preferences(spark.createDataFrame([], schema)).collect() == []
+    long_text = "word " * 200_000
+    rows = [(1, s, 0, "user", "hi") for s in ("chosen", "rejected")] * 2 + [(1, "chosen", 1, "assistant", long_text), (1, "rejected", 1, "assistant", None), (2, "chosen", 0, "user", ""), (2, "rejected", 0, "user", "")]
+    turns = spark.createDataFrame(rows, schema)
+    named = turns.select("*", *[F.lit("x").alias(n) for n in ("prompt", "chosen", "rejected", "n_shared", "usable", "_p", "_c", "_nc", "at", "out")])
+    plain, clashing = ({r.pair_id: r for r in preferences.format_preferences(t).collect()} for t in (turns, named))
+    assert plain == clashing and plain[1].n_shared == 2 and plain[1].prompt == "<|user|>\nhi<|end|>\n" * 2 and long_text in plain[1].chosen
+    assert plain[1].usable and not plain[2].usable and plain[2].n_shared == 1 and plain[2].chosen == plain[2].rejected == ""
+
+
+def test_op9_odd_rows(spark, tmp_path):
+    """Repeated rows and rows without a doc_id, source or text each get their row; the same again in a second run."""
+    rows = documents()[:20] * 2 + [(None, "a b c", "en", None, 1), (None, None, None, None, None), (None, "a b c", "en", None, 1)]
+    folder = table(spark, rows, tmp_path)
+    found = sorted(map(repr, queries()["op9_mix_sources"](spark, folder).collect()))
+    assert len(found) == len(rows) and found == sorted(map(repr, queries()["op9_mix_sources"](spark, folder).collect()))
+
+
 def brute_model(texts: list[str]):
     """Interpolated modified Kneser-Ney over bytes, straight from its definition."""
     n = perplexity.ORDER
