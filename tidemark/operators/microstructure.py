@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.bars import numbered
-from .rolling import upper_median
 
 
 def classify_volume(bars: DataFrame, *keys: str, n: int = 20) -> DataFrame:
@@ -19,28 +20,32 @@ def classify_volume(bars: DataFrame, *keys: str, n: int = 20) -> DataFrame:
     return rows.withColumn("delta", F.when(F.col("rn") == 0, 0.0).otherwise(F.col("buy") - F.col("sell"))).drop("_up")
 
 
-BUCKET = "struct<time:timestamp_ntz,buy:double,sell:double,vol:double>"
-
-
 def volume_buckets(classified: DataFrame, *keys: str) -> DataFrame:
     """Buckets of at least a symbol's (upper) median bar volume each: place, time (of the bar that closed the one before), buy, sell, vol.
 
-    A closing bar keeps its overshoot, so buckets are a fold over the bars in order: an array per symbol, for a bounded
-    look back of bars. The last bucket may be short.
+    A closing bar keeps its overshoot, so where a bucket ends follows from where the one before ended: one pass over a symbol's bars in
+    order, in Arrow batches, linear in their number. The last bucket may be short.
     """
     keys = keys or ("symbol",)
-    gathered = classified.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("time", "buy", "sell", F.col("volume").alias("vol")))).alias("rows"), upper_median(F.col("volume")).alias("size"))
-    gathered = gathered.withColumn("size", F.when(F.coalesce(F.col("size"), F.lit(0.0)) == 0, F.lit(1000.0)).otherwise(F.col("size")))
-    empty = lambda t: F.struct(t.alias("time"), F.lit(0.0).alias("buy"), F.lit(0.0).alias("sell"), F.lit(0.0).alias("vol")).cast(BUCKET)
-    start = F.struct(empty(F.element_at("rows", 1)["time"]).alias("cur"), F.array().cast(f"array<{BUCKET}>").alias("done"))
-
-    def step(acc: Column, r: Column) -> Column:
-        grown = F.struct(acc["cur"]["time"].alias("time"), (acc["cur"]["buy"] + r["buy"]).alias("buy"), (acc["cur"]["sell"] + r["sell"]).alias("sell"), (acc["cur"]["vol"] + r["vol"]).alias("vol")).cast(BUCKET)
-        full = grown["vol"] >= F.col("size")
-        return F.struct(F.when(full, empty(r["time"])).otherwise(grown).alias("cur"), F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"))
-
-    folded = gathered.withColumn("buckets", F.aggregate("rows", start, step, lambda acc: F.when(acc["cur"]["vol"] > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])))
-    return folded.select(*keys, F.posexplode("buckets").alias("bucket", "b")).select(*keys, "bucket", "b.*")
+    rows = classified.select(*keys, "time", "buy", "sell", F.coalesce("volume", F.lit(0.0)).alias("vol"))
+    types = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in keys)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time", ignore_index=True)
+        size = float(np.sort(pdf["vol"].to_numpy())[len(pdf) // 2]) or 1000.0
+        starts, held = [0], 0.0
+        for i, v in enumerate(pdf["vol"].tolist()):
+            held += v
+            if held >= size:
+                starts.append(i + 1)
+                held = 0.0
+        # what follows the last full bucket is one only where it has volume
+        stop = len(pdf) if held > 0 else starts.pop()
+        sums = {c: np.add.reduceat(pdf[c].to_numpy(float)[:stop], starts) if starts else [] for c in ("buy", "sell", "vol")}
+        opened = pdf["time"].iloc[np.maximum(np.array(starts, int) - 1, 0)].to_numpy()
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "bucket": np.arange(len(starts), dtype=np.int32), "time": opened, **sums})
+
+    return rows.groupBy(*keys).applyInPandas(fill, f"{types}, bucket int, time timestamp_ntz, buy double, sell double, vol double")
 
 
 def vpin_series(classified: DataFrame, *keys: str, n: int = 50) -> DataFrame:

@@ -99,11 +99,3 @@ def downsample(bars: DataFrame, points: int = 300) -> DataFrame:
 def fit_close_on_time(bars: DataFrame) -> DataFrame:
     """Least-squares line of close on bar number, per symbol."""
     return numbered(bars).groupBy("symbol").agg(A.slope0(F.col("close"), F.col("rn")).alias("slope"), F.coalesce(F.regr_intercept("close", "rn"), F.avg("close")).alias("intercept"), F.coalesce(F.regr_r2("close", "rn"), F.lit(0.0)).alias("r2"))
-
-
-def upper_median(values: Column) -> Column:
-    """Aggregate: the sorted value at floor(n / 2) from 0; bounded input only, as the values are gathered."""
-    every = F.array_sort(F.collect_list(values))
-    return F.try_element_at(every, (F.floor(F.size(every) / 2) + 1).cast("int"))
-
-

@@ -12,10 +12,12 @@ from ..functions import columns as C
 INF = float("inf")
 
 
-def log_pair(bars: DataFrame, x: str, y: str, n: int = 500) -> DataFrame:
-    """Log closes of two symbols at their last n common times: time, rn, x, y, n."""
+def log_pair(bars: DataFrame, x: str, y: str, n: int | None = None) -> DataFrame:
+    """Log closes of two symbols at all their common times, or the last n: time, rn, x, y, n."""
     one = lambda s, name: bars.where(F.col("symbol") == s).select("time", F.ln("close").alias(name))
-    both = one(x, "x").join(one(y, "y"), "time").orderBy(F.col("time").desc()).limit(n)
+    both = one(x, "x").join(one(y, "y"), "time")
+    if n:
+        both = both.orderBy(F.col("time").desc()).limit(n)
     return both.withColumn("rn", F.row_number().over(Window.orderBy("time")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
 
 
@@ -23,25 +25,25 @@ def kalman(pair: DataFrame, q: float = 1e-4, r: float = 1e-3, warmup: int = 30)
     """One row: hedge ratio of y on x after the last bar, its variance, last innovation with mean, deviation and z, signal.
 
     Both series are demeaned; the ratio starts at the least-squares slope of the first `warmup` bars and then walks, one fold
-    over the pair's (bounded) look back. Fewer than 40 bars give the slope alone.
+    over the pair's bars into a few numbers. Fewer than 40 bars give the slope alone.
     """
     every = Window.partitionBy()
     d = pair.select("rn", (F.col("x") - F.avg("x").over(every)).alias("x"), (F.col("y") - F.avg("y").over(every)).alias("y"))
     first = F.col("rn") < warmup
     rows = d.agg(F.array_sort(F.collect_list(F.when(~first, F.struct("rn", "x", "y")))).alias("rows"), F.coalesce(F.regr_slope(F.when(first, F.col("y")), F.when(first, F.col("x"))), F.lit(0.0)).alias("b0"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("n"))
-    start = F.struct(F.col("b0").alias("b"), (F.greatest(F.col("b0") * 0.01, F.lit(0.01)) + 0.01).alias("p"), F.array().cast("array<double>").alias("e"))
+    start = F.struct(F.col("b0").alias("b"), (F.greatest(F.col("b0") * 0.01, F.lit(0.01)) + 0.01).alias("p"), *[F.lit(0.0).alias(c) for c in ("e", "m", "mean", "ss")])
 
     def step(acc: Column, s: Column) -> Column:
         p = acc["p"] + q
         gain = p * s["x"] / (s["x"] * s["x"] * p + r)
         err = s["y"] - s["x"] * acc["b"]
-        return F.struct((acc["b"] + gain * err).alias("b"), F.greatest((1 - gain * s["x"]) * p, F.lit(0.0)).alias("p"), F.concat(acc["e"], F.array(err)).alias("e"))
+        m = acc["m"] + 1
+        mean = acc["mean"] + (err - acc["mean"]) / m
+        return F.struct((acc["b"] + gain * err).alias("b"), F.greatest((1 - gain * s["x"]) * p, F.lit(0.0)).alias("p"), err.alias("e"), m.alias("m"), mean.alias("mean"), (acc["ss"] + (err - acc["mean"]) * (err - mean)).alias("ss"))
 
     k = rows.withColumn("k", F.aggregate("rows", start, step)).select("n", "slope", "k.*")
-    m = F.size("e")
-    k = k.withColumn("mean", F.coalesce(F.try_divide(F.aggregate("e", F.lit(0.0), lambda a, v: a + v), m), F.lit(0.0)))
-    k = k.withColumn("std", F.greatest(F.coalesce(F.sqrt(F.try_divide(F.aggregate("e", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))), m - 1)), F.lit(0.0)), F.lit(1e-9)))
-    last = F.coalesce(F.try_element_at("e", F.lit(-1)), F.lit(0.0))
+    k = k.withColumn("std", F.greatest(F.coalesce(F.sqrt(F.try_divide(F.col("ss"), F.col("m") - 1)), F.lit(0.0)), F.lit(1e-9)))
+    last = F.col("e")
     enough = F.col("n") >= 40
     z = F.when(enough, (last - F.col("mean")) / F.col("std")).otherwise(0.0)
     return k.select(F.when(enough, F.col("b")).otherwise(F.col("slope")).alias("hedge_ratio"), F.when(enough, F.col("p")).otherwise(0.0).alias("variance"), F.when(enough, last).otherwise(0.0).alias("residual"), z.alias("kalman_z"), F.when(z > 2, "short-residual").when(z < -2, "long-residual").otherwise("none").alias("kalman_signal"))

@@ -31,8 +31,9 @@ LOG_2PI = 1.8378770664
 def garch(rets: DataFrame, *keys: str) -> DataFrame:
     """GARCH(1,1) with targeted variance by key, the best of GRID by likelihood (the first of equal ones); null for fewer than 30 returns.
 
-    Columns: omega, alpha, beta, log_lik, persistence, long_run_vol, vols (conditional deviations in order). The variance of a return uses its own
-    square. A key's squared returns are an array (a bounded look back); each grid point folds over it on its own row.
+    Columns: omega, alpha, beta, log_lik, persistence, long_run_vol, var0 (the variance before the first return), vol, mean_vol, std_vol (the last
+    conditional deviation, mean and deviation of all). The variance of a return uses its own square. A key's squared returns are one
+    array; each grid point folds over it on its own row into a few numbers, so the work is linear in the number of returns.
     """
     keys = keys or ("symbol",)
     r2 = F.transform(F.array_sort(F.collect_list(F.struct("rn", (F.col("r") * F.col("r")).alias("v")))), lambda s: s["v"])
@@ -48,13 +49,36 @@ def garch(rets: DataFrame, *keys: str) -> DataFrame:
     best = tried.groupBy(*keys).agg(F.max_by(F.struct("omega", F.col("g.a").alias("alpha"), F.col("g.b").alias("beta"), F.col("ll").alias("log_lik")), F.struct("ll", -F.col("g.i"))).alias("b"))
     fit = series.join(best.select(*keys, "b.*"), list(keys)).withColumn("persistence", F.col("alpha") + F.col("beta"))
     fit = fit.withColumn("long_run_vol", F.sqrt(F.col("omega") / F.greatest(1 - F.col("persistence"), F.lit(1e-4))))
-    start = F.struct(F.col("var").alias("s2"), F.array().cast("array<double>").alias("out"))
+    start = F.struct(F.col("var").alias("s2"), F.lit(0.0).alias("k"), F.lit(0.0).alias("vol"), F.lit(0.0).alias("m"), F.lit(0.0).alias("ss"))
 
     def walk(acc: Column, x: Column) -> Column:
-        s2 = F.col("omega") + F.col("alpha") * x + F.col("beta") * acc["s2"]
-        return F.struct(s2.alias("s2"), F.concat(acc["out"], F.array(F.sqrt(F.greatest(s2, F.lit(1e-12))))).alias("out"))
+        s2, k = F.col("omega") + F.col("alpha") * x + F.col("beta") * acc["s2"], acc["k"] + 1
+        vol = F.sqrt(F.greatest(s2, F.lit(1e-12)))
+        m = acc["m"] + (vol - acc["m"]) / k
+        return F.struct(s2.alias("s2"), k.alias("k"), vol.alias("vol"), m.alias("m"), (acc["ss"] + (vol - acc["m"]) * (vol - m)).alias("ss"))
 
-    return fit.withColumn("vols", F.aggregate("r2", start, walk, lambda acc: acc["out"])).drop("r2", "var")
+    fit = fit.withColumn("w", F.aggregate("r2", start, walk)).withColumn("vol", F.col("w.vol")).withColumn("mean_vol", F.col("w.m"))
+    return fit.withColumn("std_vol", F.sqrt(F.col("w.ss") / (F.col("w.k") - 1))).withColumnRenamed("var", "var0").drop("r2", "w")
+
+
+def garch_series(rets: DataFrame, *keys: str) -> DataFrame:
+    """time, rn, vol and regime of each return under its key's GARCH fit; none for keys that have no fit. One pass over a key's returns in Arrow batches."""
+    keys = keys or ("symbol",)
+    fit = garch(rets, *keys).select(*keys, "omega", "alpha", "beta", "var0", "long_run_vol")
+    rows = rets.select(*keys, "time", "rn", "r").join(fit, list(keys))
+    types = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in (*keys, "time", "rn"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        omega, alpha, beta, s2 = (float(pdf[c].iloc[0]) for c in ("omega", "alpha", "beta", "var0"))
+        out = []
+        for r in pdf["r"].tolist():
+            s2 = omega + alpha * (r * r) + beta * s2
+            out.append(s2)
+        return pdf[[*keys, "time", "rn"]].assign(vol=np.sqrt(np.maximum(out, 1e-12)), long_run_vol=pdf["long_run_vol"])
+
+    walked = rows.groupBy(*keys).applyInPandas(walk, f"{types}, vol double, long_run_vol double")
+    return walked.withColumn("regime", vol_regime(F.col("vol"), F.col("long_run_vol")))
 
 
 def vol_regime(vol: Column, long_run: Column) -> Column:
@@ -67,16 +91,13 @@ def garch_report(rets: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("symbol",)
     fit = garch(rets, *keys)
     plain = rets.groupBy(*keys).agg(C.std0(F.col("r")).alias("_sd"))
-    n = F.size("vols")
-    mean = F.aggregate("vols", F.lit(0.0), lambda a, x: a + x) / n
-    fit = fit.withColumn("vol", F.element_at("vols", -1)).withColumn("_m", mean)
-    fit = fit.withColumn("_s", C.or_tiny(F.sqrt(F.aggregate("vols", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / (n - 1))))
+    fit = fit.withColumn("_m", F.col("mean_vol")).withColumn("_s", C.or_tiny(F.col("std_vol")))
     out = plain.join(fit, list(keys), "left").withColumn("vol", F.coalesce("vol", "_sd")).withColumn("long_run_vol", F.coalesce("long_run_vol", "_sd"))
     out = out.withColumn("regime", vol_regime(F.col("vol"), F.col("long_run_vol")))
     z = (F.col("vol") - F.coalesce("_m", "_sd")) / F.coalesce("_s", F.lit(1e-9))
     off = F.abs(F.col("vol") / F.greatest("long_run_vol", F.lit(1e-9)) - 1)
     p = F.when(F.col("regime") == "high-vol", 1 - C.normal_cdf(z)).when(F.col("regime") == "low-vol", C.normal_cdf(z)).otherwise(C.normal_cdf(F.when(off < 0.001, 0.0).otherwise((1 - off) * 2)))
-    return out.withColumn("probability", C.clamp(p, 0.05, 0.98)).select(*keys, "omega", "alpha", "beta", "log_lik", "persistence", "vol", "long_run_vol", "regime", "probability", "vols")
+    return out.withColumn("probability", C.clamp(p, 0.05, 0.98)).select(*keys, "omega", "alpha", "beta", "log_lik", "persistence", "vol", "long_run_vol", "regime", "probability")
 
 
 def jump_series(rets: DataFrame, *keys: str, window: int = 50, corrected: bool = False) -> DataFrame:
@@ -220,7 +241,7 @@ def report(bars: DataFrame, *keys: str) -> DataFrame:
     """GARCH, jumps and hidden state of each key's look back, with the family of strategies they call for; the GARCH regime stands in where no state could be fitted."""
     keys = keys or ("symbol",)
     rets = returns(bars, *keys)
-    g = garch_report(rets, *keys).drop("vols").withColumnRenamed("regime", "vol_regime").withColumnRenamed("probability", "vol_probability").drop("log_lik")
+    g = garch_report(rets, *keys).withColumnRenamed("regime", "vol_regime").withColumnRenamed("probability", "vol_probability").drop("log_lik")
     j = jumps(rets, *keys).select(*keys, F.col("jump").alias("jump_component"), F.col("ratio").alias("jump_ratio"), F.col("z").alias("jump_z"), F.col("detected").alias("jump_detected"))
     out = bars.groupBy(*keys).agg(F.max("time").alias("time")).join(g, list(keys), "left").join(j, list(keys), "left").join(hmm(bars, *keys), list(keys), "left")
     stand_in = F.when(F.col("vol_regime") == "low-vol", 0).when(F.col("vol_regime") == "high-vol", 2).otherwise(1)

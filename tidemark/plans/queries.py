@@ -161,23 +161,24 @@ QUERIES: dict[str, Query] = {
     "amihud": daily(microstructure.amihud, digits=9, z=6, percentile=6),
     "kyle_lambda": daily(lambda b: microstructure.kyle(microstructure.classify_volume(b))),
     "ofi_divergence": daily(lambda b: microstructure.divergence(microstructure.classify_volume(b))),
-    "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)).withColumn("bucket", F.col("bucket").cast("long")), "symbol", "bucket", "time", "buy", "sell", "vol", tail=500),
-    "vpin": daily(lambda b: microstructure.vpin(microstructure.classify_volume(b)), tail=500, z=4),
+    "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)).withColumn("bucket", F.col("bucket").cast("long")), "symbol", "bucket", "time", "buy", "sell", "vol"),
+    "vpin": daily(lambda b: microstructure.vpin(microstructure.classify_volume(b)), z=4),
     "toxicity": daily(microstructure.report, "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, keep=True, tail=500),
-    "hurst_rs": daily(lambda b: fractal.rescaled_range(B.returns(b)), tail=500),
-    "hurst_dfa": daily(lambda b: fractal.detrended(B.returns(b)), tail=500),
-    "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), keep=True, tail=500),
-    "higuchi": daily(fractal.curve_dimension, tail=500),
+    "hurst_rs": daily(lambda b: fractal.rescaled_range(B.returns(b))),
+    "hurst_dfa": daily(lambda b: fractal.detrended(B.returns(b))),
+    "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), keep=True),
+    "higuchi": daily(fractal.curve_dimension),
     "fractal_gate": daily(fractal.report, keep=True, tail=500),
-    "transfer_entropy_rolling": daily(lambda b: information.transfer_series(pair_of(b)), tail=500),
+    "transfer_entropy_rolling": daily(lambda b: information.transfer_series(pair_of(b))),
     "cross_asset_edge": daily(lambda b: information.cross_edge(pair_of(b), "A", "R"), keep=True, tail=500, z=5, leader_return=9),
-    "permutation_entropy_rolling": daily(lambda b: information.permutation_series(B.returns(b)), tail=500),
+    "permutation_entropy_rolling": daily(lambda b: information.permutation_series(B.returns(b))),
     "permutation_state": daily(lambda b: information.permutation(B.returns(b)), tail=500),
     "mutual_info_rank": daily(lambda b: information.mutual(information.information_features(b, pair_of(b), "R")), keep=True, tail=500),
     "bipower_jumps": daily(lambda b: volatility.jumps(B.returns(b)), z=4),
-    "garch_fit": daily(garch_row, "symbol", "omega", "alpha", "beta", "log_lik", "vol", "long_run_vol", "regime", keep=True, tail=500, omega=9, log_lik=4),
-    "hmm_features": daily(volatility.hmm_features, "symbol", "time", "f0", "f1", "f2", "f3", digits=4, tail=500),
-    "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4, tail=500),
+    "garch_fit": daily(garch_row, "symbol", "omega", "alpha", "beta", "log_lik", "vol", "long_run_vol", "regime", keep=True, omega=9, log_lik=4),
+    "garch_regimes": daily(lambda b: volatility.garch_series(B.returns(b)), "symbol", "time", "vol", "regime", keep=True),
+    "hmm_features": daily(volatility.hmm_features, "symbol", "time", "f0", "f1", "f2", "f3", digits=4),
+    "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4),
     "vol_regime": daily(volatility.report, keep=True, tail=500),
     "ou_fit": daily(ols_spread, z=5),
     "cointegration": daily(lambda b: statarb.cointegration(statarb.log_pair(b, "A", "R")), t=5, trace=5),

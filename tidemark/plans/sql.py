@@ -98,9 +98,9 @@ walk(symbol, rn, bucket, t0, time, buy, sell, vol, closed) AS (
     CASE WHEN w.closed THEN q.buy ELSE w.buy + q.buy END, CASE WHEN w.closed THEN q.sell ELSE w.sell + q.sell END, CASE WHEN w.closed THEN q.volume ELSE w.vol + q.volume END,
     CASE WHEN w.closed THEN q.volume ELSE w.vol + q.volume END >= size.size FROM walk w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn + 1 JOIN size ON size.symbol = q.symbol),
 buckets AS (SELECT symbol, bucket, t0 AS time, buy, sell, vol FROM walk QUALIFY row_number() OVER (PARTITION BY symbol, bucket ORDER BY rn DESC) = 1)"""
-SQL["volume_buckets"] = f"WITH RECURSIVE {TAIL}, {FLOW}, {BUCKETS} SELECT symbol, bucket, time, {r6('buy', 'sell', 'vol')} FROM buckets"
+SQL["volume_buckets"] = f"WITH RECURSIVE {BARS}, {FLOW}, {BUCKETS} SELECT symbol, bucket, time, {r6('buy', 'sell', 'vol')} FROM buckets"
 VPIN = """vp AS (SELECT symbol, bucket, sum(abs(buy - sell)) OVER w / sum(vol) OVER w AS vpin FROM buckets WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"""
-SQL["vpin"] = f"WITH RECURSIVE {TAIL}, {FLOW}, {BUCKETS}, {VPIN} SELECT symbol, round(value, 6) AS vpin, {r6('mean', 'std')}, round((value - mean) / std, 4) AS z, (value - mean) / std > 2 AS toxic FROM {latest('vp', 'vpin', 'bucket', 100)}"
+SQL["vpin"] = f"WITH RECURSIVE {BARS}, {FLOW}, {BUCKETS}, {VPIN} SELECT symbol, round(value, 6) AS vpin, {r6('mean', 'std')}, round((value - mean) / std, 4) AS z, (value - mean) / std > 2 AS toxic FROM {latest('vp', 'vpin', 'bucket', 100)}"
 AM = "am AS (SELECT symbol, time, abs(close / prev - 1) / greatest(volume, 1) AS illiq FROM b WHERE prev IS NOT NULL)"
 CL = "greatest(0, least(1, ({} + 2) / 4))"
 SQL["toxicity"] = f"""WITH RECURSIVE {TAIL}, {FLOW}, {BUCKETS}, {VPIN}, {KYLE}, {OFI}, {AM},
@@ -112,7 +112,7 @@ SELECT symbol, round(tox, 5) AS toxicity, CASE WHEN tox > 0.75 THEN 'extreme' WH
 TAUS = "SELECT unnest([{}]) AS tau"
 
 
-def blocks(value: str, top: int = 250) -> str:
+def blocks(value: str, top: int = 1 << 19) -> str:
     from ..operators.fractal import scales
 
     taus = ", ".join(map(str, scales(top)))
@@ -126,16 +126,16 @@ def fit(points: str, y: str, keys: str = "symbol") -> str:
 RS = f"""src AS (SELECT * FROM rets), {blocks('r')}, x AS (SELECT *, r - avg(r) OVER (PARTITION BY symbol, tau, block) AS dev FROM blk),
 y AS (SELECT *, sum(dev) OVER (PARTITION BY symbol, tau, block ORDER BY rn) AS cum FROM x), e AS (SELECT symbol, tau, block, max(cum) - min(cum) AS rng, sqrt(sum(dev * dev) / tau) AS sd FROM y GROUP BY 1, 2, 3),
 pts AS (SELECT symbol, tau, avg(rng / sd) AS f FROM e WHERE sd > 0 GROUP BY 1, 2)"""
-SQL["hurst_rs"] = f"WITH {TAIL}, {RS} {fit('pts', 'f')}"
+SQL["hurst_rs"] = f"WITH {BARS}, {RS} {fit('pts', 'f')}"
 PROFILE = f"""dm AS (SELECT *, r - avg(r) OVER (PARTITION BY symbol) AS d FROM rets), src AS (SELECT symbol, rn, n, sum(d) OVER (PARTITION BY symbol ORDER BY rn) AS y FROM dm), {blocks('y')},
 f2 AS (SELECT symbol, tau, block, greatest(regr_syy(y, rn) - regr_sxy(y, rn) * regr_sxy(y, rn) / regr_sxx(y, rn), 0) / tau AS f2 FROM blk GROUP BY 1, 2, 3)"""
-SQL["hurst_dfa"] = f"WITH {TAIL}, {PROFILE}, pts AS (SELECT symbol, tau, avg(sqrt(f2)) AS f FROM f2 GROUP BY 1, 2) {fit('pts', 'f')}"
+SQL["hurst_dfa"] = f"WITH {BARS}, {PROFILE}, pts AS (SELECT symbol, tau, avg(sqrt(f2)) AS f FROM f2 GROUP BY 1, 2) {fit('pts', 'f')}"
 MF = f"{PROFILE}, mq AS (SELECT symbol, tau, q, avg(CASE WHEN q <> 0 THEN pow(f2, q / 2) ELSE ln(f2) / 2 END) AS m FROM f2, (SELECT unnest([-4, -2, -1, 0, 1, 2, 4])::DOUBLE AS q) WHERE f2 > 0 GROUP BY 1, 2, 3), pts AS (SELECT symbol, tau, q, CASE WHEN q <> 0 THEN pow(m, 1 / nullif(q, 0)) ELSE exp(m) END AS f FROM mq)"
-SQL["mfdfa_spectrum"] = f"WITH {TAIL}, {MF} SELECT symbol, q, h FROM ({fit('pts', 'f', 'symbol, q')})"
+SQL["mfdfa_spectrum"] = f"WITH {BARS}, {MF} SELECT symbol, q, h FROM ({fit('pts', 'f', 'symbol, q')})"
 HIG = """hk AS (SELECT symbol, rn, n2, k, rn % k AS m, d FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol, k ORDER BY time) - 1 AS rn, count(*) OVER (PARTITION BY symbol, k) AS n2, k, abs(lead(close, k) OVER (PARTITION BY symbol, k ORDER BY time) - close) AS d FROM b, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k))),
 hc AS (SELECT symbol, n2, k, m, coalesce(sum(d), 0) * (n2 - 1) / ((n2 - m) // k * k) / ((n2 - m - 1) // k) AS l FROM hk GROUP BY 1, 2, 3, 4), hl AS (SELECT symbol, k, sum(l) / k AS l FROM hc GROUP BY 1, 2),
 hig AS (SELECT symbol, greatest(1, least(2, regr_slope(ln(l), ln(1 / k::DOUBLE)))) AS dimension, regr_r2(ln(l), ln(1 / k::DOUBLE)) AS r2 FROM hl GROUP BY 1)"""
-SQL["higuchi"] = f"WITH {TAIL}, {HIG} SELECT symbol, round(dimension, 6) AS dimension, round(r2, 6) AS r2, CASE WHEN dimension < 1.4 THEN 'high' WHEN dimension > 1.7 THEN 'low' ELSE 'medium' END AS quality FROM hig"
+SQL["higuchi"] = f"WITH {BARS}, {HIG} SELECT symbol, round(dimension, 6) AS dimension, round(r2, 6) AS r2, CASE WHEN dimension < 1.4 THEN 'high' WHEN dimension > 1.7 THEN 'low' ELSE 'medium' END AS quality FROM hig"
 
 
 def pair(x: str, y: str, table: str = "rets", value: str = "r") -> str:
@@ -153,7 +153,7 @@ def te(a: str, b: str, c: str, name: str) -> str:
 TE = f"""{pair('A', 'R')}, bn AS (SELECT rn, n, {binned('x', 4)} AS xq, {binned('y', 4)} AS yq FROM pr), nx AS (SELECT *, lead(xq) OVER (ORDER BY rn) AS xn, lead(yq) OVER (ORDER BY rn) AS yn FROM bn),
 win AS (SELECT nx.*, w.end_at FROM nx JOIN (SELECT unnest(range(120, (SELECT max(n) FROM pr))) AS end_at) w ON nx.rn BETWEEN w.end_at - 120 AND w.end_at - 2),
 {te('yn', 'yq', 'xq', 'fw')}, {te('xn', 'xq', 'yq', 'bw')}, ts AS (SELECT end_at, fw.te AS x_to_y, bw.te AS y_to_x FROM fw JOIN bw USING (end_at))"""
-SQL["transfer_entropy_rolling"] = f"WITH {TAIL}, {TE} SELECT end_at, {r6('x_to_y', 'y_to_x')} FROM ts"
+SQL["transfer_entropy_rolling"] = f"WITH {BARS}, {TE} SELECT end_at, {r6('x_to_y', 'y_to_x')} FROM ts"
 EDGE = """tl AS (SELECT last(x_to_y ORDER BY end_at) AS x_to_y, last(y_to_x ORDER BY end_at) AS y_to_x, avg(x_to_y) AS mx, avg(y_to_x) AS my, stddev_samp(x_to_y) AS sx, stddev_samp(y_to_x) AS sy FROM ts),
 tz AS (SELECT *, x_to_y - y_to_x AS net, CASE WHEN x_to_y >= y_to_x THEN (x_to_y - mx) / sx ELSE (y_to_x - my) / sy END AS z FROM tl),
 edge AS (SELECT *, CASE WHEN abs(net) < 0.02 THEN 'balanced' WHEN net > 0 THEN 'x' ELSE 'y' END AS leader, z > 2 AS spike, (SELECT last(x ORDER BY rn) FROM pr) AS lx, (SELECT last(y ORDER BY rn) FROM pr) AS ly FROM tz)"""
@@ -161,9 +161,9 @@ SQL["cross_asset_edge"] = f"""WITH {TAIL}, {TE}, {EDGE} SELECT {r6('x_to_y', 'y_
   CASE WHEN spike AND leader <> 'balanced' THEN CASE WHEN CASE WHEN leader = 'x' THEN lx ELSE ly END > 0 THEN 'long' ELSE 'short' END ELSE 'none' END AS edge, round(CASE WHEN leader = 'x' THEN lx ELSE ly END, 9) AS leader_return FROM edge"""
 PE = """p0 AS (SELECT symbol, rn, n, r AS r0, lead(r, 1) OVER w AS r1, lead(r, 2) OVER w AS r2, lead(r, 3) OVER w AS r3 FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
 p1 AS (SELECT symbol, rn, n, ((r1 < r0)::INT + (r2 < r0)::INT + (r3 < r0)::INT) * 64 + ((r0 <= r1)::INT + (r2 < r1)::INT + (r3 < r1)::INT) * 16 + ((r0 <= r2)::INT + (r1 <= r2)::INT + (r3 < r2)::INT) * 4 + ((r0 <= r3)::INT + (r1 <= r3)::INT + (r2 <= r3)::INT) AS p FROM p0 WHERE r3 IS NOT NULL),
-p2 AS (SELECT symbol, end_at, p, count(*) AS c FROM p1 JOIN (SELECT unnest(range(100, 501)) AS end_at) e ON end_at <= n AND rn BETWEEN end_at - 100 AND end_at - 4 GROUP BY 1, 2, 3),
+p2 AS (SELECT symbol, end_at, p, count(*) AS c FROM p1 JOIN (SELECT unnest(range(100, (SELECT max(n) + 1 FROM rets))) AS end_at) e ON end_at <= n AND rn BETWEEN end_at - 100 AND end_at - 4 GROUP BY 1, 2, 3),
 pe AS (SELECT symbol, end_at, -sum(c / 97 * log2(c / 97::DOUBLE)) / log2(24) AS pe FROM p2 GROUP BY 1, 2)"""
-SQL["permutation_entropy_rolling"] = f"WITH {TAIL}, {PE} SELECT symbol, end_at, round(pe, 6) AS pe FROM pe"
+SQL["permutation_entropy_rolling"] = f"WITH {BARS}, {PE} SELECT symbol, end_at, round(pe, 6) AS pe FROM pe"
 SQL["permutation_state"] = f"""WITH {TAIL}, {PE}, l AS (SELECT * FROM {latest('pe', 'pe', 'end_at', 100)}) SELECT symbol, round(value, 6) AS pe, round(mean, 6) AS mean, round(percentile, 6) AS percentile,
   CASE WHEN percentile < 0.2 THEN 'predictable' WHEN percentile > 0.8 THEN 'random' ELSE 'normal' END AS state, CASE WHEN percentile < 0.2 THEN 1.25::DOUBLE WHEN percentile > 0.8 THEN 0.5 ELSE 1 END AS multiplier FROM l"""
 MI = f"""{pair('A', 'R')}, mf AS (SELECT pr.rn, x, y, lead(y) OVER (ORDER BY pr.rn) AS nxt, sqrt(sum(y * y) OVER (ORDER BY pr.rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) / 20) AS vol, (high - low) / close AS spread, volume FROM pr JOIN bars ON bars.time = pr.time AND bars.symbol = 'R'),
@@ -188,13 +188,16 @@ def garch_cte() -> str:
     return GA.format(grid="[" + ", ".join(f"{{'i': {i}, 'a': {a!r}::DOUBLE, 'b': {b!r}::DOUBLE}}" for i, (a, b) in enumerate(GRID)) + "]").replace("{{", "{").replace("}}", "}")
 
 
-SQL["garch_fit"] = f"WITH {TAIL}, {garch_cte()} SELECT symbol, round(omega, 9) AS omega, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(log_lik, 4) AS log_lik, round(sqrt(s2), 6) AS vol, round(sqrt(omega / greatest(1 - alpha - beta, 1e-4)), 6) AS long_run_vol, CASE WHEN sqrt(s2) / sqrt(omega / greatest(1 - alpha - beta, 1e-4)) < 0.7 THEN 'low-vol' WHEN sqrt(s2) / sqrt(omega / greatest(1 - alpha - beta, 1e-4)) > 1.4 THEN 'high-vol' ELSE 'transitional' END AS regime FROM gb"
+SQL["garch_fit"] = f"WITH {BARS}, {garch_cte()} SELECT symbol, round(omega, 9) AS omega, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(log_lik, 4) AS log_lik, round(sqrt(s2), 6) AS vol, round(sqrt(omega / greatest(1 - alpha - beta, 1e-4)), 6) AS long_run_vol, CASE WHEN sqrt(s2) / sqrt(omega / greatest(1 - alpha - beta, 1e-4)) < 0.7 THEN 'low-vol' WHEN sqrt(s2) / sqrt(omega / greatest(1 - alpha - beta, 1e-4)) > 1.4 THEN 'high-vol' ELSE 'transitional' END AS regime FROM gb"
+SQL["garch_regimes"] = f"""WITH RECURSIVE {BARS}, {garch_cte()}, gw(symbol, rn, s2, long_run) AS (SELECT symbol, -1::BIGINT, v, sqrt(omega / greatest(1 - alpha - beta, 1e-4)) FROM gb
+  UNION ALL SELECT w.symbol, rets.rn, gb.omega + gb.alpha * (rets.r * rets.r) + gb.beta * w.s2, w.long_run FROM gw w JOIN gb ON gb.symbol = w.symbol JOIN rets ON rets.symbol = w.symbol AND rets.rn = w.rn + 1)
+SELECT symbol, time, round(sqrt(s2), 6) AS vol, CASE WHEN sqrt(s2) / long_run < 0.7 THEN 'low-vol' WHEN sqrt(s2) / long_run > 1.4 THEN 'high-vol' ELSE 'transitional' END AS regime FROM gw JOIN rets USING (symbol, rn)"""
 HMMF = f"""h0 AS (SELECT *, CASE WHEN prev IS NOT NULL THEN ln(close / prev) END AS lr FROM b), h1 AS (SELECT *, coalesce(lr, 0) AS g0, sqrt(coalesce(avg(lr * lr) OVER {last(20)}, 0)) AS g1, avg(volume) OVER {last(50)} AS vm, avg(volume * volume) OVER {last(50)} AS v2, avg(volume * volume * volume) OVER {last(50)} AS v3, CASE WHEN rn > 0 THEN (high - low) / close ELSE 0 END AS g3 FROM h0),
 h2 AS (SELECT *, CASE WHEN rn >= 50 THEN (v3 - 3 * vm * v2 + 2 * vm * vm * vm) / pow(v2 - vm * vm, 1.5) ELSE 0 END AS g2 FROM h1),
 hf AS (SELECT symbol, time, {', '.join(f"(g{d} - avg(g{d}) FILTER (rn >= 50) OVER w) / stddev_samp(g{d}) FILTER (rn >= 50) OVER w AS f{d}" for d in range(4))} FROM h2 WINDOW w AS (PARTITION BY symbol))"""
-SQL["hmm_features"] = f"WITH {TAIL}, {HMMF} SELECT symbol, time, {', '.join(f'round(f{d}, 4) AS f{d}' for d in range(4))} FROM hf"
-LP = f"lp AS (SELECT symbol, time, ln(close) AS r FROM all_b), {pair('A', 'R', 'lp')}".replace("pr AS (", "pr0 AS (") + ", pr AS (SELECT x, y, row_number() OVER (ORDER BY rn) - 1 AS rn, count(*) OVER () AS n FROM (SELECT * FROM pr0 ORDER BY rn DESC LIMIT 500))"
-LP = BARS + ", " + LP.replace("all_b", "b")
+SQL["hmm_features"] = f"WITH {BARS}, {HMMF} SELECT symbol, time, {', '.join(f'round(f{d}, 4) + 0 AS f{d}' for d in range(4))} FROM hf"
+LP = BARS + ", lp AS (SELECT symbol, time, ln(close) AS r FROM b), " + pair("A", "R", "lp")
+LP_TAIL = LP.replace("pr AS (", "pr0 AS (") + ", pr AS (SELECT x, y, row_number() OVER (ORDER BY rn) - 1 AS rn, count(*) OVER () AS n FROM (SELECT * FROM pr0 ORDER BY rn DESC LIMIT 500))"
 KAL = """kd AS (SELECT rn, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM pr), k0 AS (SELECT regr_slope(y, x) AS b0 FROM kd WHERE rn < 30),
 kf(rn, bb, p, e) AS (SELECT 29::BIGINT, b0, greatest(b0 * 0.01::DOUBLE, 0.01::DOUBLE) + 0.01::DOUBLE, NULL::DOUBLE FROM k0
   UNION ALL SELECT kd.rn, kf.bb + (kf.p + 1e-4) * kd.x / (kd.x * kd.x * (kf.p + 1e-4) + 1e-3) * (kd.y - kd.x * kf.bb), greatest((1 - (kf.p + 1e-4) * kd.x / (kd.x * kd.x * (kf.p + 1e-4) + 1e-3) * kd.x) * (kf.p + 1e-4), 0), kd.y - kd.x * kf.bb FROM kf JOIN kd ON kd.rn = kf.rn + 1),
@@ -209,7 +212,7 @@ SQL["ou_fit"] = f"WITH {LP}, sp AS (SELECT rn, y - (SELECT regr_slope(y, x) FROM
 COI = f"""cf AS (SELECT regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM pr), ce AS (SELECT rn, y - (alpha + beta * x) AS e, alpha, beta FROM pr, cf), cl AS (SELECT *, lag(e) OVER (ORDER BY rn) AS ep FROM ce),
 cg AS (SELECT regr_slope(e - ep, ep) AS g FROM cl), cs AS (SELECT stddev_samp((e - ep) - g * ep) / sqrt(sum(ep * ep)) AS se FROM cl, cg WHERE ep IS NOT NULL), coi AS (SELECT alpha, beta, g / se AS t, greatest(0, -g / se * 3) AS trace, -g / se * 3 > 12.25 AND g / se < -2.86 AS cointegrated FROM cf, cg, cs)"""
 SQL["cointegration"] = f"WITH {LP}, {COI} SELECT {r6('alpha', 'beta')}, round(t, 5) AS t, round(trace, 5) AS trace, round({cdf('t')}, 6) AS p, cointegrated FROM coi"
-SQL["statarb_gate"] = f"""WITH RECURSIVE {LP}, {KAL}, {COI}, sp AS (SELECT rn, y - ((SELECT alpha FROM coi) + (SELECT hedge_ratio FROM ks) * x) AS s FROM pr), {OU}
+SQL["statarb_gate"] = f"""WITH RECURSIVE {LP_TAIL}, {KAL}, {COI}, sp AS (SELECT rn, y - ((SELECT alpha FROM coi) + (SELECT hedge_ratio FROM ks) * x) AS s FROM pr), {OU}
 SELECT round(hedge_ratio, 6) AS hedge_ratio, round(kalman_z, 5) AS kalman_z, round(z, 5) AS z, round(half_life, 5) AS half_life, half_life_valid, cointegrated,
   CASE WHEN signal <> 'none' AND {KSIG} <> 'none' AND (signal = 'long-spread') = ({KSIG} = 'long-residual') THEN signal ELSE 'none' END AS composite, CASE WHEN half_life_valid AND cointegrated THEN 'open' ELSE 'closed' END AS gate FROM ks, coi, ou"""
 ZS = f"s0 AS (SELECT *, avg(close) OVER {last(48)} AS mean, stddev_samp(close) OVER {last(48)} AS sd, coalesce(regr_slope(close - prev, prev) OVER {last(47)}, 0) AS slope FROM b), s1 AS (SELECT *, {life('slope')} AS hl, CASE WHEN rn >= 58 AND sd > 0 THEN (close - mean) / sd END AS z FROM s0), s2 AS (SELECT *, CASE WHEN hl > 0 AND hl < 60 THEN z END AS zz FROM s1)"
