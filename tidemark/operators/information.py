@@ -8,19 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.bars import PAIR, in_pair_order, returns, side_by_side
 
 
-def paired(rets: DataFrame, x: str, y: str) -> DataFrame:
-    """Returns of two symbols side by side at the times that both have: time, rn, x, y."""
-    one = lambda s, name: rets.where(F.col("symbol") == s).select("time", F.col("r").alias(name))
-    both = one(x, "x").join(one(y, "y"), "time")
-    return both.withColumn("rn", F.row_number().over(Window.orderBy("time")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+def paired(rets: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Returns of the symbols of each pair side by side at the times that both have: x_symbol, y_symbol, time, rn, x, y, n."""
+    return in_pair_order(side_by_side(rets, F.col("r"), pairs))
 
 
 def binned(rows: DataFrame, names: list[str], bins: int) -> DataFrame:
-    every = Window.partitionBy()
+    own = Window.partitionBy(*PAIR)
     for c in names:
-        rows = rows.withColumn(f"{c}q", C.bin_of(F.col(c), F.min(c).over(every), F.max(c).over(every), bins))
+        rows = rows.withColumn(f"{c}q", C.bin_of(F.col(c), F.min(c).over(own), F.max(c).over(own), bins))
     return rows
 
 
@@ -37,29 +36,29 @@ def entropy_of_triples(triples: DataFrame, key: list[str]) -> DataFrame:
 
 
 def transfer_series(pair: DataFrame, bins: int = 4, n: int = 120) -> DataFrame:
-    """Transfer entropy x to y and y to x of the n pairs before each end (n to the last but one): end, x_to_y, y_to_x.
+    """Transfer entropy x to y and y to x of the n pairs before each end (n to the last but one): the key of the pair, end_at, x_to_y, y_to_x.
 
-    Each pair is sent to the windows it lies in, at most n of them: windows are keys, so they are counted side by side.
+    Each row is sent to the windows it lies in, at most n of them: windows are keys, so they are counted side by side.
     """
     rows = binned(pair, ["x", "y"], bins)
-    w = Window.orderBy("rn")
+    w = Window.partitionBy(*PAIR).orderBy("rn")
     rows = rows.withColumn("xn", F.lead("xq").over(w)).withColumn("yn", F.lead("yq").over(w)).where(F.col("xn").isNotNull())
     low, high = F.greatest(F.lit(n), F.col("rn") + 2), F.least(F.col("rn") + n, F.col("n") - 1)
     rows = rows.where(low <= high).withColumn("end_at", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    forth = entropy_of_triples(rows.select("end_at", F.col("yn").alias("a"), F.col("yq").alias("b"), F.col("xq").alias("c")), ["end_at"])
-    back = entropy_of_triples(rows.select("end_at", F.col("xn").alias("a"), F.col("xq").alias("b"), F.col("yq").alias("c")), ["end_at"])
-    return forth.withColumnRenamed("te", "x_to_y").join(back.withColumnRenamed("te", "y_to_x"), "end_at")
+    forth = entropy_of_triples(rows.select(*PAIR, "end_at", F.col("yn").alias("a"), F.col("yq").alias("b"), F.col("xq").alias("c")), [*PAIR, "end_at"])
+    back = entropy_of_triples(rows.select(*PAIR, "end_at", F.col("xn").alias("a"), F.col("xq").alias("b"), F.col("yq").alias("c")), [*PAIR, "end_at"])
+    return forth.withColumnRenamed("te", "x_to_y").join(back.withColumnRenamed("te", "y_to_x"), [*PAIR, "end_at"])
 
 
 def transfer(pair: DataFrame, bins: int = 4, n: int = 120) -> DataFrame:
-    """One row: last x_to_y and y_to_x, net, who leads, z of the leading direction's last value and whether it spikes."""
+    """A row a pair: last x_to_y and y_to_x, net, who leads, z of the leading direction's last value and whether it spikes."""
     rows = transfer_series(pair, bins, n)
-    last = rows.agg(F.max_by(F.struct("x_to_y", "y_to_x"), "end_at").alias("l"), F.avg("x_to_y").alias("mx"), F.avg("y_to_x").alias("my"), C.std0(F.col("x_to_y")).alias("sx"), C.std0(F.col("y_to_x")).alias("sy")).select("l.*", "mx", "my", "sx", "sy")
-    last = last.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in last.columns])
+    last = rows.groupBy(*PAIR).agg(F.max_by(F.struct("x_to_y", "y_to_x"), "end_at").alias("l"), F.avg("x_to_y").alias("mx"), F.avg("y_to_x").alias("my"), C.std0(F.col("x_to_y")).alias("sx"), C.std0(F.col("y_to_x")).alias("sy")).select(*PAIR, "l.*", "mx", "my", "sx", "sy")
+    last = pair.select(*PAIR).distinct().join(last, list(PAIR), "left").fillna(0.0)  # a pair shorter than a window has no flow
     net = F.col("x_to_y") - F.col("y_to_x")
     z = F.when(net >= 0, (F.col("x_to_y") - F.col("mx")) / C.or_tiny(F.col("sx"))).otherwise((F.col("y_to_x") - F.col("my")) / C.or_tiny(F.col("sy")))
     lead = F.when(F.abs(net) < 0.02, "balanced").when(net > 0, "x").otherwise("y")
-    return last.select("x_to_y", "y_to_x", net.alias("net"), lead.alias("leader"), z.alias("z"), (z > 2).alias("spike"))
+    return last.select(*PAIR, "x_to_y", "y_to_x", net.alias("net"), lead.alias("leader"), z.alias("z"), (z > 2).alias("spike"))
 
 
 def pattern(values: Column, m: int) -> Column:
@@ -93,32 +92,50 @@ def permutation(rets: DataFrame, *keys: str, m: int = 4, n: int = 100) -> DataFr
 
 
 def mutual(rows: DataFrame, bins: int = 5) -> DataFrame:
-    """Mutual information in bits of each feature with the target, from rows (feature, value, target): feature, mi, rank; 10 rows at least."""
-    own = Window.partitionBy("feature")
-    q = rows.select("feature", C.bin_of(F.col("value"), F.min("value").over(own), F.max("value").over(own), bins).alias("x"), C.bin_of(F.col("target"), F.min("target").over(own), F.max("target").over(own), bins).alias("y"))
-    cells = q.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    part = lambda *cs: F.sum("c").over(Window.partitionBy("feature", *cs))
-    cells = cells.select("feature", "c", part("x").alias("cx"), part("y").alias("cy"), part().alias("n"))
-    mi = cells.groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy"))))).alias("mi"), F.max("n").alias("n")).where(F.col("n") >= 10)
-    place = F.row_number().over(Window.orderBy(F.col("mi").desc(), "feature")) - 1
-    k = F.count(F.lit(1)).over(Window.partitionBy())
-    return mi.withColumn("rank", F.when(k > 1, 1 - place / F.nullif(k - 1, F.lit(0))).otherwise(1.0)).select("feature", "mi", "rank", (F.col("mi") > 0.05).alias("informative"))
-
-
-def information_features(bars: DataFrame, pair: DataFrame, target: str) -> DataFrame:
-    """Rows (feature, value, target) of five features of the target symbol (y of the pair) and its next return, from the 21st return on to the last but one."""
-    w = Window.orderBy("rn")
-    own = bars.where(F.col("symbol") == target).select("time", "high", "low", "close", "volume")
-    rows = pair.join(own, "time").withColumn("next", F.lead("y").over(w)).withColumn("vol", F.sqrt(F.sum(F.col("y") * F.col("y")).over(w.rowsBetween(-19, 0)) / 20))
+    """Mutual information in bits of each feature of a pair with the target, from rows (x_symbol, y_symbol, feature, value, target): feature, mi, rank; 10 rows at least."""
+    key = [*PAIR, "feature"]
+    own = Window.partitionBy(*key)
+    q = rows.select(*key, C.bin_of(F.col("value"), F.min("value").over(own), F.max("value").over(own), bins).alias("x"), C.bin_of(F.col("target"), F.min("target").over(own), F.max("target").over(own), bins).alias("y"))
+    cells = q.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    part = lambda *cs: F.sum("c").over(Window.partitionBy(*key, *cs))
+    cells = cells.select(*key, "c", part("x").alias("cx"), part("y").alias("cy"), part().alias("n"))
+    mi = cells.groupBy(*key).agg(F.greatest(F.lit(0.0), F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy"))))).alias("mi"), F.max("n").alias("n")).where(F.col("n") >= 10)
+    of_pair = Window.partitionBy(*PAIR)
+    place = F.row_number().over(of_pair.orderBy(F.col("mi").desc(), "feature")) - 1
+    k = F.count(F.lit(1)).over(of_pair)
+    return mi.withColumn("rank", F.when(k > 1, 1 - place / F.nullif(k - 1, F.lit(0))).otherwise(1.0)).select(*key, "mi", "rank", (F.col("mi") > 0.05).alias("informative"))
+
+
+def information_features(bars: DataFrame, pair: DataFrame) -> DataFrame:
+    """Rows (x_symbol, y_symbol, feature, value, target) of five features of each pair's y and its next return, from the 21st return on to the last but one."""
+    w = Window.partitionBy(*PAIR).orderBy("rn")
+    own = bars.select(F.col("symbol").alias("y_symbol"), "time", "high", "low", "close", "volume")
+    rows = pair.join(own, ["y_symbol", "time"]).withColumn("next", F.lead("y").over(w)).withColumn("vol", F.sqrt(F.sum(F.col("y") * F.col("y")).over(w.rowsBetween(-19, 0)) / 20))
     rows = rows.where((F.col("rn") >= 20) & F.col("next").isNotNull())
     features = {"log-return": F.col("y"), "realized-vol": F.col("vol"), "leader-return": F.col("x"), "spread-proxy": (F.col("high") - F.col("low")) / F.col("close"), "volume": F.col("volume")}
-    return rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in features.items()])).alias("f"), F.col("next").alias("target")).select("f.feature", "f.value", "target")
+    return rows.select(*PAIR, F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in features.items()])).alias("f"), F.col("next").alias("target")).select(*PAIR, "f.feature", "f.value", "target")
 
 
-def cross_edge(pair: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: which symbol the other should follow, and in which direction, if transfer entropy spikes; 'none' otherwise."""
-    last = pair.agg(F.max_by(F.struct("x", "y"), "rn").alias("l")).select(F.col("l.x").alias("last_x"), F.col("l.y").alias("last_y"))
-    rows = transfer(pair).withColumn("k", F.lit(1)).join(last.withColumn("k", F.lit(1)), "k").drop("k")
+def cross_edge(pair: DataFrame) -> DataFrame:
+    """A row a pair: which symbol the other should follow, and in which direction, if transfer entropy spikes; 'none' otherwise."""
+    last = pair.groupBy(*PAIR).agg(F.max_by(F.struct("x", "y"), "rn").alias("l")).select(*PAIR, F.col("l.x").alias("last_x"), F.col("l.y").alias("last_y"))
+    rows = transfer(pair).join(last, list(PAIR))
     live = F.col("spike") & (F.col("leader") != "balanced")
     moved = F.when(F.col("leader") == "x", F.col("last_x")).otherwise(F.col("last_y"))
-    return rows.select("x_to_y", "y_to_x", "net", "leader", "z", "spike", F.when(live, F.when(F.col("leader") == "x", y).otherwise(x)).alias("target"), F.when(live, F.when(moved > 0, "long").otherwise("short")).otherwise("none").alias("edge"), F.coalesce(moved, F.lit(0.0)).alias("leader_return"))
+    follows = F.when(F.col("leader") == "x", F.col("y_symbol")).otherwise(F.col("x_symbol"))
+    return rows.select(*PAIR, "x_to_y", "y_to_x", "net", "leader", "z", "spike", F.when(live, follows).alias("target"), F.when(live, F.when(moved > 0, "long").otherwise("short")).otherwise("none").alias("edge"), F.coalesce(moved, F.lit(0.0)).alias("leader_return"))
+
+
+def report(bars: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """A row a pair over its bounded look back: transfer entropy and the edge it gives, entropy of both symbols, the feature that tells most
+    about y's next return and the number of informative ones, with a sentence on the edge."""
+    rets = returns(bars)
+    pair = paired(rets, pairs)
+    order = permutation(rets).select("symbol", "pe", F.col("state").alias("pe_state"))
+    mi = mutual(information_features(bars, pair)).groupBy(*PAIR).agg(F.max_by("feature", "rank").alias("top_feature"), F.max("mi").alias("top_mi"), F.sum(F.col("informative").cast("long")).alias("informative"))
+    out = cross_edge(pair).join(bars.groupBy("symbol").agg(F.max("time").alias("time")).withColumnRenamed("symbol", "y_symbol"), "y_symbol").join(mi, list(PAIR), "left")
+    for side in "xy":
+        out = out.join(order.select(F.col("symbol").alias(f"{side}_symbol"), F.col("pe").alias(f"{side}_pe"), F.col("pe_state").alias(f"{side}_pe_state")), f"{side}_symbol", "left")
+    moved = F.when(F.col("edge") == "long", "up").otherwise("down")
+    led = F.concat(F.when(F.col("leader") == "x", F.col("x_symbol")).otherwise(F.col("y_symbol")), F.lit(" leads (z "), C.fixed(F.col("z")), F.lit(") and went "), moved, F.lit(": "), F.col("edge"), F.lit(" "), F.col("target"))
+    return out.withColumn("rationale", F.when(F.col("edge") == "none", "neither symbol leads").otherwise(led))

@@ -83,11 +83,11 @@ def te_signals(edge: DataFrame) -> DataFrame:
     return edge.where("edge <> 'none'").select(F.col("target").alias("symbol"), F.col("edge").alias("direction"), between((F.col("z") - 1) / 3, 0.5).alias("confidence"), "z", "net", "leader", "leader_return")
 
 
-def statarb_signals(rep: DataFrame, x: str, y: str) -> DataFrame:
-    """(symbol, direction, confidence, ...) of an open pair: long spreads buy y, short ones sell x; no row otherwise."""
+def statarb_signals(rep: DataFrame) -> DataFrame:
+    """(symbol, direction, confidence, ...) of each open pair: long spreads buy y, short ones sell x; no row otherwise."""
     rows = rep.where("composite <> 'none' and gate = 'open'")
     up = F.col("composite") == "long-spread"
-    return rows.select(F.when(up, y).otherwise(x).alias("symbol"), F.when(up, "long").otherwise("short").alias("direction"), between((F.abs("z") - 1) / 3, 0.5).alias("confidence"), "composite", "z", "half_life", "kalman_z", "hedge_ratio")
+    return rows.select(F.when(up, F.col("y_symbol")).otherwise(F.col("x_symbol")).alias("symbol"), F.when(up, "long").otherwise("short").alias("direction"), between((F.abs("z") - 1) / 3, 0.5).alias("confidence"), "composite", "z", "half_life", "kalman_z", "hedge_ratio")
 
 
 def ml_signals(rep: DataFrame, symbol: str) -> DataFrame:
@@ -103,11 +103,11 @@ def live_signals(bars: DataFrame, x: str, y: str, with_model: bool = True) -> Da
     recent = kept(tail(bars, LOOKBACK), "recent")
     ctx = kept(context(recent), "context")
     out = gated(base_signals(recent), ctx)
-    edge = te_signals(information.cross_edge(information.paired(returns(recent), x, y), x, y))
+    edge = te_signals(information.cross_edge(information.paired(returns(recent), [(x, y)])))
     leader = F.when(F.col("leader") == "x", x).otherwise(y)
     said = F.concat(F.lit("TE spike z="), C.fixed(F.col("z")), F.lit(" · "), leader, F.when(F.col("leader_return") >= 0, " rising").otherwise(" falling"), F.lit(" → "), F.col("symbol"), F.lit(" "), F.col("direction"))
     out = out.unionByName(injected(edge, ctx, "cross-asset-te", "Cross-Asset Transfer Entropy Edge", "cross-asset", F.col("confidence"), "TE edge", said, True))
-    spread = statarb_signals(statarb.report(recent, x, y), x, y)
+    spread = statarb_signals(statarb.report(recent, [(x, y)]))
     said = F.concat(F.lit("stat-arb spread "), F.col("composite"), F.lit(" (OU z="), C.fixed(F.col("z")), F.lit(", HL="), C.fixed(F.col("half_life"), 1), F.lit("b, Kalman z="), C.fixed(F.col("kalman_z")), F.lit(")"))
     out = out.unionByName(injected(spread, ctx, "stat-arb-ou", "Stat-Arb Spread Reversion (OU + Kalman)", "stat-arb", F.col("confidence"), "stat-arb", said))
     if with_model:

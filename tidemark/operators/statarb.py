@@ -8,29 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.bars import PAIR, in_pair_order, side_by_side, tail
 
 INF = float("inf")
 
 
-def log_pair(bars: DataFrame, x: str, y: str, n: int | None = None) -> DataFrame:
-    """Log closes of two symbols at all their common times, or the last n: time, rn, x, y, n."""
-    one = lambda s, name: bars.where(F.col("symbol") == s).select("time", F.ln("close").alias(name))
-    both = one(x, "x").join(one(y, "y"), "time")
-    if n:
-        both = both.orderBy(F.col("time").desc()).limit(n)
-    return both.withColumn("rn", F.row_number().over(Window.orderBy("time")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+def log_pair(bars: DataFrame, pairs: list[tuple[str, str]], n: int | None = None) -> DataFrame:
+    """Log closes of the symbols of each pair at all their common times, or the last n: x_symbol, y_symbol, time, rn, x, y, n."""
+    both = side_by_side(bars, F.ln("close"), pairs)
+    return in_pair_order(tail(both, n, *PAIR) if n else both)
 
 
 def kalman(pair: DataFrame, q: float = 1e-4, r: float = 1e-3, warmup: int = 30) -> DataFrame:
-    """One row: hedge ratio of y on x after the last bar, its variance, last innovation with mean, deviation and z, signal.
+    """A row a pair: hedge ratio of y on x after the last bar, its variance, last innovation with mean, deviation and z, signal.
 
     Both series are demeaned; the ratio starts at the least-squares slope of the first `warmup` bars and then walks, one fold
     over the pair's bars into a few numbers. Fewer than 40 bars give the slope alone.
     """
-    every = Window.partitionBy()
-    d = pair.select("rn", (F.col("x") - F.avg("x").over(every)).alias("x"), (F.col("y") - F.avg("y").over(every)).alias("y"))
+    every = Window.partitionBy(*PAIR)
+    d = pair.select(*PAIR, "rn", (F.col("x") - F.avg("x").over(every)).alias("x"), (F.col("y") - F.avg("y").over(every)).alias("y"))
     first = F.col("rn") < warmup
-    rows = d.agg(F.array_sort(F.collect_list(F.when(~first, F.struct("rn", "x", "y")))).alias("rows"), F.coalesce(F.regr_slope(F.when(first, F.col("y")), F.when(first, F.col("x"))), F.lit(0.0)).alias("b0"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("n"))
+    rows = d.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.when(~first, F.struct("rn", "x", "y")))).alias("rows"), F.coalesce(F.regr_slope(F.when(first, F.col("y")), F.when(first, F.col("x"))), F.lit(0.0)).alias("b0"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("n"))
     start = F.struct(F.col("b0").alias("b"), (F.greatest(F.col("b0") * 0.01, F.lit(0.01)) + 0.01).alias("p"), *[F.lit(0.0).alias(c) for c in ("e", "m", "mean", "ss")])
 
     def step(acc: Column, s: Column) -> Column:
@@ -41,18 +39,18 @@ def kalman(pair: DataFrame, q: float = 1e-4, r: float = 1e-3, warmup: int = 30)
         mean = acc["mean"] + (err - acc["mean"]) / m
         return F.struct((acc["b"] + gain * err).alias("b"), F.greatest((1 - gain * s["x"]) * p, F.lit(0.0)).alias("p"), err.alias("e"), m.alias("m"), mean.alias("mean"), (acc["ss"] + (err - acc["mean"]) * (err - mean)).alias("ss"))
 
-    k = rows.withColumn("k", F.aggregate("rows", start, step)).select("n", "slope", "k.*")
+    k = rows.withColumn("k", F.aggregate("rows", start, step)).select(*PAIR, "n", "slope", "k.*")
     k = k.withColumn("std", F.greatest(F.coalesce(F.sqrt(F.try_divide(F.col("ss"), F.col("m") - 1)), F.lit(0.0)), F.lit(1e-9)))
     last = F.col("e")
     enough = F.col("n") >= 40
     z = F.when(enough, (last - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return k.select(F.when(enough, F.col("b")).otherwise(F.col("slope")).alias("hedge_ratio"), F.when(enough, F.col("p")).otherwise(0.0).alias("variance"), F.when(enough, last).otherwise(0.0).alias("residual"), z.alias("kalman_z"), F.when(z > 2, "short-residual").when(z < -2, "long-residual").otherwise("none").alias("kalman_signal"))
+    return k.select(*PAIR, F.when(enough, F.col("b")).otherwise(F.col("slope")).alias("hedge_ratio"), F.when(enough, F.col("p")).otherwise(0.0).alias("variance"), F.when(enough, last).otherwise(0.0).alias("residual"), z.alias("kalman_z"), F.when(z > 2, "short-residual").when(z < -2, "long-residual").otherwise("none").alias("kalman_signal"))
 
 
 def ou(spread: DataFrame, max_holding: int = 48) -> DataFrame:
-    """One row from rows (rn, s): theta, mu, sigma, half_life, z of the last value, whether the half-life suits the holding, signal."""
-    rows = spread.withColumn("p", F.lag("s").over(Window.orderBy("rn")))
-    fit = rows.agg(F.coalesce(F.regr_slope("s", "p"), F.lit(0.0)).alias("b"), F.coalesce(F.regr_intercept("s", "p"), F.avg("s")).alias("a"), F.count(F.lit(1)).alias("n"), F.avg("s").alias("m"), C.std0(F.col("s")).alias("sd"), F.max_by("s", "rn").alias("last"), F.regr_syy("s", "p").alias("syy"), F.regr_sxy("s", "p").alias("sxy"))
+    """A row a pair from rows (x_symbol, y_symbol, rn, s): theta, mu, sigma, half_life, z of the last value, whether the half-life suits the holding, signal."""
+    rows = spread.withColumn("p", F.lag("s").over(Window.partitionBy(*PAIR).orderBy("rn")))
+    fit = rows.groupBy(*PAIR).agg(F.coalesce(F.regr_slope("s", "p"), F.lit(0.0)).alias("b"), F.coalesce(F.regr_intercept("s", "p"), F.avg("s")).alias("a"), F.count(F.lit(1)).alias("n"), F.avg("s").alias("m"), C.std0(F.col("s")).alias("sd"), F.max_by("s", "rn").alias("last"), F.regr_syy("s", "p").alias("syy"), F.regr_sxy("s", "p").alias("sxy"))
     # the residuals of a line with intercept have mean zero: their squares sum to syy - b * sxy
     enough, reverts = F.col("n") >= 30, (F.col("b") > 0) & (F.col("b") < 1)
     b_in = F.when(reverts, F.col("b"))
@@ -60,34 +58,32 @@ def ou(spread: DataFrame, max_holding: int = 48) -> DataFrame:
     life = F.when(enough & reverts, -math.log(2) / F.ln(b_in)).otherwise(F.lit(INF))
     mu = F.when(enough & (F.col("b") != 1), F.try_divide(F.col("a"), 1 - F.col("b"))).otherwise(F.col("m"))
     resid = F.greatest(F.sqrt(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1))), F.lit(1e-9))
-    out = fit.select(theta.alias("theta"), mu.alias("mu"), F.when(enough, resid).otherwise(F.col("sd")).alias("sigma"), life.alias("half_life"), "last", enough.alias("_ok"))
+    out = fit.select(*PAIR, theta.alias("theta"), mu.alias("mu"), F.when(enough, resid).otherwise(F.col("sd")).alias("sigma"), life.alias("half_life"), "last", enough.alias("_ok"))
     out = out.withColumn("z", F.when(F.col("_ok"), (F.col("last") - F.col("mu")) / F.col("sigma")).otherwise(0.0)).withColumn("half_life_valid", F.col("_ok") & (F.col("theta") > 0) & (F.col("half_life") >= 1) & (F.col("half_life") <= max_holding))
     return out.withColumn("signal", F.when(F.col("half_life_valid") & (F.col("z") > 2), "short-spread").when(F.col("half_life_valid") & (F.col("z") < -2), "long-spread").otherwise("none")).drop("_ok")
 
 
 def cointegration(pair: DataFrame) -> DataFrame:
-    """One row: slope and intercept of y on x, t of the residuals' own reversion, trace (-3 t), p, verdict; none for fewer than 50 bars."""
-    every = Window.partitionBy()
+    """A row a pair: slope and intercept of y on x, t of the residuals' own reversion, trace (-3 t), p, verdict; none for fewer than 50 bars."""
+    every = Window.partitionBy(*PAIR)
     rows = pair.withColumn("b", F.regr_slope("y", "x").over(every)).withColumn("a", F.regr_intercept("y", "x").over(every))
-    rows = rows.withColumn("e", F.col("y") - (F.col("a") + F.col("b") * F.col("x"))).withColumn("ep", F.lag("e").over(Window.orderBy("rn")))
+    rows = rows.withColumn("e", F.col("y") - (F.col("a") + F.col("b") * F.col("x"))).withColumn("ep", F.lag("e").over(every.orderBy("rn")))
     d = rows.withColumn("de", F.col("e") - F.col("ep")).where(F.col("ep").isNotNull())
-    fit = d.agg(F.max("a").alias("alpha"), F.max("b").alias("beta"), F.count(F.lit(1)).alias("m"), F.coalesce(F.regr_slope("de", "ep"), F.lit(0.0)).alias("g"), F.regr_syy("de", "ep").alias("syy"), F.regr_sxy("de", "ep").alias("sxy"), F.sum(F.col("ep") * F.col("ep")).alias("sxx"))
+    fit = d.groupBy(*PAIR).agg(F.max("a").alias("alpha"), F.max("b").alias("beta"), F.count(F.lit(1)).alias("m"), F.coalesce(F.regr_slope("de", "ep"), F.lit(0.0)).alias("g"), F.regr_syy("de", "ep").alias("syy"), F.regr_sxy("de", "ep").alias("sxy"), F.sum(F.col("ep") * F.col("ep")).alias("sxx"))
     resid = C.or_tiny(F.sqrt(F.greatest(F.col("syy") - F.col("g") * F.col("sxy"), F.lit(0.0)) / (F.col("m") - 1)))
     t = C.over(F.col("g"), resid / F.sqrt(F.col("sxx")))
-    out = fit.select("alpha", "beta", F.when(F.col("m") + 1 < 50, F.lit(None)).otherwise(t).alias("t"))
-    return out.select("alpha", "beta", F.coalesce("t", F.lit(0.0)).alias("t"), F.greatest(F.lit(0.0), F.coalesce(-F.col("t") * 3, F.lit(0.0))).alias("trace"), F.coalesce(C.normal_cdf(F.col("t")), F.lit(1.0)).alias("p"), F.coalesce((-F.col("t") * 3 > 12.25) & (F.col("t") < -2.86), F.lit(False)).alias("cointegrated"))
+    out = fit.select(*PAIR, "alpha", "beta", F.when(F.col("m") + 1 < 50, F.lit(None)).otherwise(t).alias("t"))
+    return out.select(*PAIR, "alpha", "beta", F.coalesce("t", F.lit(0.0)).alias("t"), F.greatest(F.lit(0.0), F.coalesce(-F.col("t") * 3, F.lit(0.0))).alias("trace"), F.coalesce(C.normal_cdf(F.col("t")), F.lit(1.0)).alias("p"), F.coalesce((-F.col("t") * 3 > 12.25) & (F.col("t") < -2.86), F.lit(False)).alias("cointegrated"))
 
 
-def report(bars: DataFrame, x: str, y: str, n: int = 500, max_holding: int = 48) -> DataFrame:
-    """One row: hedge ratio, spread fit, cointegration, the signal that spread and residual agree on, and whether it may trade.
+def report(bars: DataFrame, pairs: list[tuple[str, str]], n: int = 500, max_holding: int = 48) -> DataFrame:
+    """A row a pair: hedge ratio, spread fit, cointegration, the signal that spread and residual agree on, and whether it may trade.
 
     The spread takes the intercept of the least-squares line and the Kalman ratio.
     """
-    pair = log_pair(bars, x, y, n)
-    k, c = kalman(pair), cointegration(pair)
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    params = one(k).join(one(c.select("alpha", "beta", "t", "trace", "p", "cointegrated")), "_k")
-    spread = one(pair).join(F.broadcast(params.select("_k", "alpha", "hedge_ratio")), "_k").select("rn", (F.col("y") - (F.col("alpha") + F.col("hedge_ratio") * F.col("x"))).alias("s"))
-    out = params.join(one(ou(spread, max_holding)), "_k").drop("_k")
+    pair, key = log_pair(bars, pairs, n), list(PAIR)
+    params = kalman(pair).join(cointegration(pair), key)
+    spread = pair.join(params.select(*key, "alpha", "hedge_ratio"), key).select(*key, "rn", (F.col("y") - (F.col("alpha") + F.col("hedge_ratio") * F.col("x"))).alias("s"))
+    out = params.join(ou(spread, max_holding), key)
     agree = (F.col("signal") != "none") & (F.col("kalman_signal") != "none") & ((F.col("signal") == "long-spread") == (F.col("kalman_signal") == "long-residual"))
     return out.withColumn("composite", F.when(agree, F.col("signal")).otherwise("none")).withColumn("gate", F.when(F.col("half_life_valid") & F.col("cointegrated"), "open").otherwise("closed")).withColumnRenamed("p", "p_value")

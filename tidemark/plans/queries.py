@@ -31,8 +31,12 @@ def daily(f: Callable[[DataFrame], DataFrame], *columns: str, digits: int = 6, t
     return run
 
 
+AR = [("A", "R")]
+PAIRS = [("A", "N"), ("A", "R"), ("N", "R")]
+
+
 def pair_of(bars: DataFrame) -> DataFrame:
-    return information.paired(B.returns(bars), "A", "R")
+    return information.paired(B.returns(bars), AR)
 
 
 def last_z(bars: DataFrame) -> DataFrame:
@@ -43,8 +47,8 @@ def last_z(bars: DataFrame) -> DataFrame:
 def ols_spread(bars: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    pair = statarb.log_pair(bars, "A", "R")
-    return statarb.ou(pair.select("rn", (F.col("y") - F.regr_slope("y", "x").over(Window.partitionBy()) * F.col("x")).alias("s")))
+    pair = statarb.log_pair(bars, AR)
+    return statarb.ou(pair.select(*B.PAIR, "rn", (F.col("y") - F.regr_slope("y", "x").over(Window.partitionBy(*B.PAIR)) * F.col("x")).alias("s")))
 
 
 def deflated(bars: DataFrame) -> DataFrame:
@@ -169,21 +173,23 @@ QUERIES: dict[str, Query] = {
     "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), keep=True),
     "higuchi": daily(fractal.curve_dimension),
     "fractal_gate": daily(fractal.report, keep=True, tail=500),
-    "transfer_entropy_rolling": daily(lambda b: information.transfer_series(pair_of(b))),
-    "cross_asset_edge": daily(lambda b: information.cross_edge(pair_of(b), "A", "R"), keep=True, tail=500, z=5, leader_return=9),
+    "transfer_entropy_rolling": daily(lambda b: information.transfer_series(pair_of(b)).drop(*B.PAIR)),
+    "cross_asset_edge": daily(lambda b: information.cross_edge(pair_of(b)).drop(*B.PAIR), keep=True, tail=500, z=5, leader_return=9),
     "permutation_entropy_rolling": daily(lambda b: information.permutation_series(B.returns(b))),
     "permutation_state": daily(lambda b: information.permutation(B.returns(b)), tail=500),
-    "mutual_info_rank": daily(lambda b: information.mutual(information.information_features(b, pair_of(b), "R")), keep=True, tail=500),
+    "mutual_info_rank": daily(lambda b: information.mutual(information.information_features(b, pair_of(b))).drop(*B.PAIR), keep=True, tail=500),
     "bipower_jumps": daily(lambda b: volatility.jumps(B.returns(b)), z=4),
     "garch_fit": daily(garch_row, "symbol", "omega", "alpha", "beta", "log_lik", "vol", "long_run_vol", "regime", keep=True, omega=9, log_lik=4),
     "garch_regimes": daily(lambda b: volatility.garch_series(B.returns(b)), "symbol", "time", "vol", "regime", keep=True),
     "hmm_features": daily(volatility.hmm_features, "symbol", "time", "f0", "f1", "f2", "f3", digits=4),
     "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4),
     "vol_regime": daily(volatility.report, keep=True, tail=500),
-    "ou_fit": daily(ols_spread, z=5),
-    "cointegration": daily(lambda b: statarb.cointegration(statarb.log_pair(b, "A", "R")), t=5, trace=5),
-    "kalman_beta": daily(lambda b: statarb.kalman(statarb.log_pair(b, "A", "R")), kalman_z=5),
-    "statarb_gate": daily(lambda b: statarb.report(b, "A", "R"), "hedge_ratio", "kalman_z", "z", "half_life", "half_life_valid", "cointegrated", "composite", "gate", digits=5, keep=True, hedge_ratio=6),
+    "ou_fit": daily(lambda b: ols_spread(b).drop(*B.PAIR), z=5),
+    "cointegration": daily(lambda b: statarb.cointegration(statarb.log_pair(b, AR)).drop(*B.PAIR), t=5, trace=5),
+    "kalman_beta": daily(lambda b: statarb.kalman(statarb.log_pair(b, AR)).drop(*B.PAIR), kalman_z=5),
+    "pair_reversion": daily(lambda b: statarb.cointegration(statarb.log_pair(b, PAIRS)), t=5, trace=5),
+    "pair_information": daily(lambda b: information.report(b, PAIRS), *B.PAIR, "x_to_y", "y_to_x", "leader", "z", "edge", "x_pe", "y_pe", "y_pe_state", "top_feature", "top_mi", "informative", "rationale", tail=500, keep=True, z=5),
+    "statarb_gate": daily(lambda b: statarb.report(b, AR), "hedge_ratio", "kalman_z", "z", "half_life", "half_life_valid", "cointegrated", "composite", "gate", digits=5, keep=True, hedge_ratio=6),
     "zscore_mr_signal": daily(lambda b: strategies.signals(b, "zscore-mr"), "symbol", "time", "action", "strength", "stop", digits=5),
     "decay_mom_signal": daily(lambda b: strategies.signals(b, "decay-mom"), "symbol", "time", "action", "strength", "stop", digits=5, stop=6),
     "vol_breakout_signal": daily(lambda b: strategies.signals(b, "vol-breakout"), "symbol", "time", "action", "strength", "stop", digits=5),
@@ -208,8 +214,8 @@ QUERIES: dict[str, Query] = {
     "ml_report": daily(ml.report, tail=2000, keep=True),
     "dispatch_context": daily(live.context, tail=500, keep=True),
     "live_base": daily(live.base_signals, "strategy", "symbol", "time", "direction", "confidence", tail=500, keep=True, digits=4),
-    "te_injection": daily(lambda b: live.te_signals(information.cross_edge(pair_of(b), "A", "R")), "symbol", "direction", "confidence", tail=500, keep=True, digits=4),
-    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, "A", "R"), "A", "R"), "symbol", "direction", "confidence", keep=True, digits=4),
+    "te_injection": daily(lambda b: live.te_signals(information.cross_edge(pair_of(b))), "symbol", "direction", "confidence", tail=500, keep=True, digits=4),
+    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, AR)), "symbol", "direction", "confidence", keep=True, digits=4),
     "live_signals": daily(lambda b: live.live_signals(b, "A", "R"), tail=2000, keep=True),
     "declared_trades": daily(lambda b: declared.trades(backtest.ledger(b, None, CFG)).drop("created_at"), keep=True),
     "symbol_config": lambda s, d: B.symbol_config(s),

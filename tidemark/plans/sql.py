@@ -215,6 +215,21 @@ SQL["cointegration"] = f"WITH {LP}, {COI} SELECT {r6('alpha', 'beta')}, round(t,
 SQL["statarb_gate"] = f"""WITH RECURSIVE {LP_TAIL}, {KAL}, {COI}, sp AS (SELECT rn, y - ((SELECT alpha FROM coi) + (SELECT hedge_ratio FROM ks) * x) AS s FROM pr), {OU}
 SELECT round(hedge_ratio, 6) AS hedge_ratio, round(kalman_z, 5) AS kalman_z, round(z, 5) AS z, round(half_life, 5) AS half_life, half_life_valid, cointegrated,
   CASE WHEN signal <> 'none' AND {KSIG} <> 'none' AND (signal = 'long-spread') = ({KSIG} = 'long-residual') THEN signal ELSE 'none' END AS composite, CASE WHEN half_life_valid AND cointegrated THEN 'open' ELSE 'closed' END AS gate FROM ks, coi, ou"""
+
+
+def each_pair(sql: str) -> str:
+    """A statement over the pair A, R for all three pairs, with the pair's key."""
+    one = lambda x, y: f"SELECT '{x}' AS x_symbol, '{y}' AS y_symbol, * FROM ({sql.replace("'A'", f"'{x}'").replace("'R'", f"'{y}'")})"
+    return " UNION ALL ".join(one(x, y) for x, y in (("A", "N"), ("A", "R"), ("N", "R")))
+
+
+SQL["pair_reversion"] = each_pair(SQL["cointegration"])
+SQL["pair_information"] = each_pair(f"""WITH {TAIL}, {TE}, {EDGE}, {PE}, mf AS{MI.split(", mf AS", 1)[1]},
+pl AS (SELECT *, CASE WHEN percentile < 0.2 THEN 'predictable' WHEN percentile > 0.8 THEN 'random' ELSE 'normal' END AS state FROM {latest('pe', 'pe', 'end_at', 100)}),
+er AS (SELECT *, CASE WHEN spike AND leader <> 'balanced' THEN CASE WHEN CASE WHEN leader = 'x' THEN lx ELSE ly END > 0 THEN 'long' ELSE 'short' END ELSE 'none' END AS side FROM edge)
+SELECT {r6('x_to_y', 'y_to_x')}, leader, round(z, 5) AS z, side AS edge, (SELECT round(value, 6) FROM pl WHERE symbol = 'A') AS x_pe, (SELECT round(value, 6) FROM pl WHERE symbol = 'R') AS y_pe, (SELECT state FROM pl WHERE symbol = 'R') AS y_pe_state,
+  (SELECT first(feature ORDER BY mi DESC, feature) FROM mi) AS top_feature, (SELECT round(max(mi), 6) FROM mi) AS top_mi, (SELECT count(*) FILTER (mi > 0.05) FROM mi) AS informative,
+  CASE WHEN side = 'none' THEN 'neither symbol leads' ELSE CASE WHEN leader = 'x' THEN 'A' ELSE 'R' END || ' leads (z ' || printf('%.2f', z) || ') and went ' || CASE WHEN side = 'long' THEN 'up' ELSE 'down' END || ': ' || side || ' ' || CASE WHEN leader = 'x' THEN 'R' ELSE 'A' END END AS rationale FROM er""")
 ZS = f"s0 AS (SELECT *, avg(close) OVER {last(48)} AS mean, stddev_samp(close) OVER {last(48)} AS sd, coalesce(regr_slope(close - prev, prev) OVER {last(47)}, 0) AS slope FROM b), s1 AS (SELECT *, {life('slope')} AS hl, CASE WHEN rn >= 58 AND sd > 0 THEN (close - mean) / sd END AS z FROM s0), s2 AS (SELECT *, CASE WHEN hl > 0 AND hl < 60 THEN z END AS zz FROM s1)"
 SQL["zscore_mr_signal"] = f"WITH {BARS}, {ZS} SELECT symbol, time, CASE WHEN zz > 1.8 THEN 'enter-short' WHEN zz < -1.8 THEN 'enter-long' ELSE 'hold' END AS action, round(CASE WHEN abs(zz) > 1.8 THEN least(1, (abs(zz) - 1.8::DOUBLE) / 1.5) ELSE 0 END, 5) AS strength, round(CASE WHEN abs(zz) > 1.8 THEN 3.5 * sd END, 5) AS stop FROM s2"
 SQL["decay_mom_signal"] = f"WITH {BARS}, {MOM}, s AS (SELECT *, CASE WHEN rn >= 34 THEN weighted / nullif(rv, 0) END AS sg FROM mom) SELECT symbol, time, CASE WHEN sg > 0.7 THEN 'enter-long' WHEN sg < -0.7 THEN 'enter-short' ELSE 'hold' END AS action, round(CASE WHEN abs(sg) > 0.7 THEN least(1, (abs(sg) - 0.7::DOUBLE) / 1.3) ELSE 0 END, 5) AS strength, round(CASE WHEN abs(sg) > 0.7 THEN rv * 2.5 END, 6) AS stop FROM s"

@@ -78,6 +78,25 @@ def tail(bars: DataFrame, n: int, *keys: str) -> DataFrame:
     return bars.withColumn("_rd", F.row_number().over(w)).where(F.col("_rd") <= n).drop("_rd")
 
 
+#: the key of a pair of symbols
+PAIR = ("x_symbol", "y_symbol")
+
+
+def side_by_side(rows: DataFrame, value: Column, pairs: list[tuple[str, str]]) -> DataFrame:
+    """x_symbol, y_symbol, time, x, y: a value of both symbols of each pair at the times that both have. One aggregate serves all pairs."""
+    named = F.array(*[F.struct(F.lit(x).alias("x_symbol"), F.lit(y).alias("y_symbol")) for x, y in pairs])
+    of = F.filter(named, lambda p: (p["x_symbol"] == F.col("symbol")) | (p["y_symbol"] == F.col("symbol")))
+    rows = rows.select("symbol", "time", value.alias("v"), F.explode(of).alias("p")).select("symbol", "time", "v", "p.*")
+    both = rows.groupBy(*PAIR, "time").agg(*[F.max(F.when(F.col("symbol") == F.col(s), F.col("v"))).alias(c) for s, c in zip(PAIR, "xy")])
+    return both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def in_pair_order(rows: DataFrame) -> DataFrame:
+    """Rows of pairs with rn (0 for the first of a pair) and n, the pair's rows."""
+    own = Window.partitionBy(*PAIR)
+    return rows.withColumn("rn", F.row_number().over(own.orderBy("time")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+
+
 def returns(bars: DataFrame, *keys: str) -> DataFrame:
     """Bars from the second of each symbol, with r = ln(close / prev), rn from 0, and n, the number of returns."""
     rows = numbered(bars, *keys).where(F.col("prev").isNotNull()).withColumn("r", F.ln(F.col("close") / F.col("prev"))).withColumn("rn", F.col("rn") - 1)
