@@ -309,3 +309,58 @@ def test_model_report(spark, made):
     assert len(rows) == len(range(200, 2999, 100)) and all(abs(v) < 8 for r in rows for v in r.x)
     x = pd.DataFrame([r.x for r in rows])
     assert np.allclose(x.mean(), 0, atol=1e-9) and np.allclose(x.std()[x.std() > 0], 1)
+
+
+def test_volume_buckets_by_a_plain_loop(spark):
+    """Overshoot stays in the bucket that it closes; a rest without volume is no bucket; equal volumes fill one bucket a bar; only zeros give none."""
+    from tidemark.operators import microstructure
+
+    start = datetime(2024, 1, 1)
+    series = {"mixed": [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 0.0], "equal": [2.0] * 5, "rest": [4.0, 4.0, 4.0, 0.0, 0.0], "zeros": [0.0] * 3, "short": [1.0, 5.0, 6.0, 1.0]}
+    rows = [(s, start + timedelta(hours=i), v * 0.25, v * 0.75, v) for s, vs in series.items() for i, v in enumerate(vs)]
+    flow = spark.createDataFrame(rows, "symbol string, time timestamp_ntz, buy double, sell double, volume double")
+    expected = []
+    for s, vs in series.items():
+        size, bucket, held, opened = sorted(vs)[len(vs) // 2] or 1000.0, 0, 0.0, 0
+        for i, v in enumerate(vs):
+            held += v
+            if held >= size:
+                expected.append((s, bucket, start + timedelta(hours=opened), held))
+                bucket, held, opened = bucket + 1, 0.0, i
+        if held > 0:
+            expected.append((s, bucket, start + timedelta(hours=opened), held))
+    found = microstructure.volume_buckets(flow).collect()
+    assert sorted((r["symbol"], r["bucket"], r["time"], r["vol"]) for r in found) == sorted(expected)
+    assert all(r["buy"] == r["vol"] * 0.25 and r["sell"] == r["vol"] * 0.75 for r in found)
+    assert microstructure.volume_buckets(flow.where("false")).collect() == []
+
+
+def test_garch_series_ends_where_the_fit_does(spark):
+    """The last bar has the fit's volatility, the mean and deviation are those of all bars, and keys without a fit have no rows."""
+    from tidemark.sources.bars import BAR, returns
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for s, n in (("long", 90), ("short", 20)):
+        for i, c in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))):
+            rows.append((s, datetime(2024, 1, 1) + timedelta(hours=i), float(c), float(c), float(c), float(c), 1.0))
+    rets = returns(spark.createDataFrame(rows, BAR))
+    fit = volatility.garch(rets).collect()
+    series = volatility.garch_series(rets).orderBy("rn").collect()
+    assert [r["symbol"] for r in fit] == ["long"] and {r["symbol"] for r in series} == {"long"} and len(series) == 89
+    vols = [r["vol"] for r in series]
+    assert np.isclose(vols[-1], fit[0]["vol"], rtol=1e-12) and np.isclose(np.mean(vols), fit[0]["mean_vol"], rtol=1e-12) and np.isclose(np.std(vols, ddof=1), fit[0]["std_vol"], rtol=1e-9)
+
+
+def test_pairs_side_by_side_give_what_each_gives_alone(spark):
+    """Pairs that share symbols, in both directions; a symbol that is missing gives no rows."""
+    from tidemark.operators import information, statarb
+    from tidemark.sources import bars as B
+
+    bars = B.daily_bars(spark, "/root/testdata/sf0.001", 200)
+    pairs = [("A", "N"), ("N", "A"), ("A", "R"), ("A", "none")]
+    rets = B.returns(bars)
+    near = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    for run in (lambda p: information.cross_edge(information.paired(rets, p)), lambda p: statarb.report(bars, p), lambda p: information.report(bars, p)):
+        together, alone = near(run(pairs).drop("target").collect()), near(r for p in pairs for r in run([p]).drop("target").collect())
+        assert together == alone and len(together) == 3

@@ -110,7 +110,9 @@ def ledger(bars: DataFrame, codes: list[str] | None = None, cfg: Config = Config
         rows = rows.select(*base, *packed, F.struct(F.lit(code).alias("strategy"), "action", F.col("strength").cast("double").alias("strength"), F.col("stop").cast("double").alias("stop"), *values).alias(f"_s{k}"))
         packed.append(f"_s{k}")
     rows = rows.select("symbol", "time", "open", "close", F.explode(F.array(*packed)).alias("s")).select("symbol", "time", "open", "close", "s.*")
-    return rows.groupBy("strategy", "symbol").applyInPandas(runner(cfg), LEDGER)
+    # a number of partitions of its own: by size alone all pairs would be merged into few tasks, but the loops over bars take the time
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "strategy", "symbol").groupBy("strategy", "symbol").applyInPandas(runner(cfg), LEDGER)
 
 
 def trade_stats(trades: DataFrame, cfg: Config = Config()) -> DataFrame:
