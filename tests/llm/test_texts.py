@@ -131,6 +131,32 @@ def test_secret_ownership(spark):
     assert texts[0] == rows[0][1] and texts[10] == "mine [SECRET]" and texts[11] == texts[12] == "[SECRET]" and texts[13] is None
 
 
+def test_secrets_of_one_text_by_thousands(spark):
+    """Work grows with the number of matches: 30,000 in one text, some overlapping, are found and redacted as a plain walk does."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    parts = [f"{rng.getrandbits(128):032x}" + ("" if i % 3 else f" Zk3aB9xaB9xaB9xaB9xaB9xaB9xaB9xé{i}") + (" token=Zk3aB9xaB9xaB9xaB9xaB9xaB9xaB9x" if i % 7 == 0 else "") for i in range(20_000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text, "a"), (2, "plain", "b")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    row = secrets.scan_secrets(docs).where("doc_id = 1").first()
+    spans = [(m.start(), m.end()) for p in (secrets.HEX, r"token=[A-Za-z0-9+/_.=-]+") for m in re.finditer(p, text)]
+    owned = [m.span() for m in re.finditer(secrets.TOKEN, text) if all(re.search(c, m[0]) for c in secrets.MIXED)]
+    base = {p for a, b in spans for p in range(a, b)}
+    assert sorted((s.start, s.end) for s in row.spans) == sorted(spans + [(a, b) for a, b in owned if not base & {*range(a, b)}])
+    found = secrets.redact(docs).where("doc_id = 1").first().text
+    covered = sorted((s.start, s.end) for s in row.live)
+    want, at = [], 0
+    for a, b in covered:
+        if a >= at:
+            want.append(text[at:a] + "[SECRET]")
+        at = max(at, b)
+    assert found == "".join(want) + text[at:]
+    assert time.perf_counter() - began < 60
+
+
 def test_op6_token_files(spark, folder):
     from tokenizers import Tokenizer
 
