@@ -94,6 +94,18 @@ def test_op3_edges(spark):
     assert found[1].rejected[span.start : span.end] == "b<|end|>"
 
 
+def test_op3_pairs_share_turns(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    big = (1 << 53) + 1  # ids beyond what a double can hold
+    rows = [(c, t, r, f"{c} {t}") for c in (1, 2, big, big + 1) for t, r in enumerate(("system", "user", "assistant", "user", "assistant"))] + [(3, 0, "user", "alone"), (None, 0, "assistant", "x"), (1, None, "user", None), ((1 << 63) - 1, 0, "assistant", "last"), (-(1 << 63), 0, "assistant", "first")]
+    found = {r.pair_id: r for r in preferences.format_preferences(preferences.answered_pairs(spark.createDataFrame(rows, schema))).collect()}
+    assert set(found) == {c for c, *_ in rows} - {None}
+    one = found[1]
+    assert one.n_shared == 0 and "1 4" in one.chosen and "2 4" in one.rejected  # the turn without a number stands first, on one side alone
+    assert found[big].n_shared == 4 and found[big].usable and found[big].rejected == f"<|assistant|>\n{big + 1} 4<|end|>\n"
+    assert not found[2].usable and not found[3].usable and not found[(1 << 63) - 1].usable
+
+
 def test_op3_empty_repeats_long_and_clashing_columns(spark):
     """No rows give none; repeated turns stay; a very long text is rendered whole; columns with names of its own don't matter."""
     schema = "pair_id long, side string, turn long, role string, text string"
@@ -162,6 +174,13 @@ def test_op4_model(spark, tmp_path):
         assert r.perplexity == pytest.approx(want[r.doc_id], rel=1e-3)
 
 
+def test_op4_small_probabilities():
+    """Logs travel in steps of 1/2048; those below -32 as they are."""
+    logs = np.array([0.0, -0.3, -31.99, -32.0, -700.0, -5.0, -40.25])
+    back = perplexity.logs_unpacked(perplexity.logs_packed(logs), len(logs))
+    assert np.abs(back - logs).max() <= 1 / 4096 and (back[[4, 6]] == [-700.0, -40.25]).all()
+
+
 def test_op4_accuracy(spark, data):
     """Held-out labels: good documents stay, most bad ones go; the threshold is the held-out fold's quantile by language."""
     sf = os.path.join(os.path.dirname(data), "sf0.1")

@@ -53,16 +53,35 @@ def mask_text(mask: str) -> Column:
     return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def answered_pairs(turns: DataFrame) -> DataFrame:
+    """pair_id, side, turn, role, text: each conversation (conv_id, turn, role, text) is chosen; rejected are its own turns before its last answer, with the last answer of the next conversation in that place.
+
+    Answers are turns of role assistant; the last one is that of the largest turn (and text, among equal turns). The next conversation is that of conv_id + 1.
+    A conversation without an answer, or whose next one has none, has no rejected side. Null conv_ids and turns aren't paired.
+    """
+    said = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    other = said.where(F.col("conv_id") > -(1 << 63)).select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("text"))
+    swaps = said.select("conv_id", F.col("last.turn").alias("at")).join(other, "conv_id")
+    own = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    before = own.join(swaps.select(F.col("conv_id").alias("pair_id"), "at"), "pair_id").where(F.col("turn") < F.col("at")).drop("at")
+    swapped = before.unionByName(swaps.select(F.col("conv_id").alias("pair_id"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), "text"))
+    return own.withColumn("side", F.lit("chosen")).unionByName(swapped.withColumn("side", F.lit("rejected")))
+
+
 def op3_preferences(spark, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) make pair k, as the table holds no preferences."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    sided = turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
-    return format_preferences(sided).withColumn("chosen_mask", mask_text("chosen_mask")).withColumn("rejected_mask", mask_text("rejected_mask"))
+    """The table holds no preferences: each conversation stands against itself with another's last answer (see answered_pairs), so both sides share their turns before."""
+    pairs = answered_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    return format_preferences(pairs).withColumn("chosen_mask", mask_text("chosen_mask")).withColumn("rejected_mask", mask_text("rejected_mask"))
 
 
 OP3_SQL = """
-WITH t AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+WITH a AS (SELECT conv_id, max(turn) AS place, max_by(coalesce(text, ''), (turn, coalesce(text, ''))) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant' GROUP BY conv_id),
+v AS (SELECT a.conv_id, a.place, b.text FROM a JOIN a b ON b.conv_id = a.conv_id + 1),
+s AS (SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, 'rejected', turn, role, c.text FROM conversations c JOIN v USING (conv_id) WHERE turn < place
+  UNION ALL SELECT conv_id, 'rejected', place, 'assistant', text FROM v),
+t AS (SELECT pair_id, side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos FROM s),
 c AS (SELECT * FROM t WHERE side = 'chosen'), r AS (SELECT * FROM t WHERE side = 'rejected'),
 d AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.pos, r.pos) AS pos, coalesce(c.role = r.role AND c.text = r.text, false) AS same
   FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.pos = r.pos),
