@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import keyed_stream, materialise, pack_texts, row_key, row_keys, stream_groups, text_chunks, unpack_texts
 
 ORDER = 5
-#: a natural log of a probability travels as -log(p) in steps of 1 / STEPS, two bytes each; it ends at 32
+#: a natural log of a probability travels as -log(p) in steps of 1 / STEPS, two bytes each; from 32 on as a double after them
 STEPS = 2048
 #: characters a batch of texts has: what a worker holds at once follows from it
 CHUNK = 1_500_000
@@ -154,6 +154,18 @@ class Backoff:
         self.two = interpolate(pairs, table[pairs], of(table[pairs]), every, single)
 
 
+def logs_packed(logs: np.ndarray) -> bytes:
+    steps = np.minimum(np.rint(logs * -STEPS), 65535).astype("<u2")
+    return steps.tobytes() + logs[steps == 65535].astype("<f8").tobytes()
+
+
+def logs_unpacked(body: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(body, "<u2", n)
+    out = steps / -STEPS
+    out[steps == 65535] = np.frombuffer(body, "<f8", -1, 2 * n)
+    return out
+
+
 def _answer_rows(backoff: Backoff) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In each key the counts come first (kind 0), then requests (kind 1), answered one at a time."""
@@ -171,7 +183,7 @@ def _answer_rows(backoff: Backoff) -> Callable[[Iterable[pa.RecordBatch]], Itera
                 for n in range(3, ORDER + 1):
                     if levels:
                         p = interpolate(*levels[ORDER - n], backoff.d[n], asked & ((1 << 8 * n) - 1), p)
-                out.append((batch, shard, np.minimum(np.rint(np.log(p) * -STEPS), 65535).astype("<u2").tobytes()))
+                out.append((batch, shard, logs_packed(np.log(p))))
             if out:
                 yield pa.record_batch({"key": pa.array([r[0] for r in out], pa.int64()), "shard": pa.array([r[1] for r in out], pa.int64()), "body": pa.array([r[2] for r in out], pa.binary())})
 
@@ -210,7 +222,8 @@ def _score_rows(shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
                 codes, place = distinct(grams)
                 shard, logs = shard_of(codes, shards), np.full(len(codes), np.nan)
                 for k, v in answers.items():
-                    logs[shard == k] = np.frombuffer(v, "<u2") / -STEPS
+                    mine = shard == k
+                    logs[mine] = logs_unpacked(v, int(mine.sum()))
                 if np.isnan(logs).any():
                     raise RuntimeError("a batch of texts differs from the one that was asked for: read docs from a table")
                 sums = np.add.reduceat(logs[place], np.cumsum(counts) - counts)
