@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.bars import numbered, returns
+from ..sources.series import FOLD, blocks_of, pooled, scanned
+from ..sources.tables import written
 from .microstructure import latest
 
 
@@ -28,28 +30,67 @@ GRID = [(a, b) for a in _steps(0.02, 0.3, 0.04) for b in _steps(0.7, 0.97, 0.03)
 LOG_2PI = 1.8378770664
 
 
-def garch(rets: DataFrame, *keys: str) -> DataFrame:
+BETAS = sorted({b for _, b in GRID})
+
+
+def _garch_blocks(rets: DataFrame, keys: tuple[str, ...], size: int, most: int | None) -> DataFrame:
+    """Blocks of squared returns x with var, n (the key's) and before: for each of BETAS what all blocks before make of the variance.
+
+    A block turns a variance s into w * s + a * q + omega * (1 - w) / (1 - b) with w = b^n and q its squares weighted by powers of b: maps that compose,
+    and that hold for every alpha and omega at once.
+    """
+    square = F.col("r") * F.col("r")
+    sizes = rets.groupBy(*keys).agg(F.greatest(F.avg(square), F.lit(1e-12)).alias("var"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 30)
+    if most is None:
+        most = blocks_of(rets, "rn", size) * size
+    x = F.transform(F.array_sort(F.collect_list(F.struct("rn", square.alias("v")))), lambda s: s["v"])
+    cut = rets.groupBy(*keys, F.floor(F.col("rn") / size).alias("block")).agg(x.alias("x"))
+    if most <= size:
+        return cut.join(sizes, list(keys)).withColumn("before", F.lit(None).cast("array<struct<w:double,q:double>>"))
+    betas = F.array(*map(F.lit, BETAS))
+    maps = cut.withColumn("map", F.transform(betas, lambda b: F.struct(F.pow(b, F.size("x")).alias("w"), F.aggregate("x", F.lit(0.0), lambda q, v: q * b + v).alias("q"))))
+    both = lambda e, l: F.zip_with(e, l, lambda m, k: F.struct((m["w"] * k["w"]).alias("w"), (m["q"] * k["w"] + k["q"]).alias("q")))  # noqa: E731, E741
+    known = scanned(maps.select(*keys, "block", "map"), "map", both, -(-most // size), *keys).drop("map")
+    return written(cut, "squares").join(known, [*keys, "block"]).join(sizes, list(keys))
+
+
+def garch(rets: DataFrame, *keys: str, size: int = FOLD, most: int | None = None) -> DataFrame:
     """GARCH(1,1) with targeted variance by key, the best of GRID by likelihood (the first of equal ones); null for fewer than 30 returns.
 
     Columns: omega, alpha, beta, log_lik, persistence, long_run_vol, var0 (the variance before the first return), vol, mean_vol, std_vol (the last
-    conditional deviation, mean and deviation of all). The variance of a return uses its own square. A key's squared returns are one
-    array; each grid point folds over it on its own row into a few numbers, so the work is linear in the number of returns.
+    conditional deviation, mean and deviation of all). The variance of a return uses its own square. A series is cut into blocks of `size`
+    returns; the variance before each block follows from a scan over the blocks' maps, so all blocks fold side by side. `most`
+    is the number of returns of the longest key, if the caller knows it; it is counted otherwise.
     """
     keys = keys or ("symbol",)
-    r2 = F.transform(F.array_sort(F.collect_list(F.struct("rn", (F.col("r") * F.col("r")).alias("v")))), lambda s: s["v"])
-    series = rets.groupBy(*keys).agg(r2.alias("r2"), F.greatest(F.avg(F.col("r") * F.col("r")), F.lit(1e-12)).alias("var")).where(F.size("r2") >= 30)
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(GRID)])
-    tried = series.select("*", F.explode(grid).alias("g")).withColumn("omega", F.greatest((1 - F.col("g.a") - F.col("g.b")) * F.col("var"), F.lit(1e-8)))
+    return _garch_walk(rets, keys, size, most)[0]
+
+
+def _start(g: Column, beta: Column) -> Column:
+    """The variance before a block at a grid point, from `before` at the place of its beta."""
+    m = F.col("before")[beta]
+    return F.when(F.col("before").isNull(), F.col("var")).otherwise(m["w"] * F.col("var") + g["a"] * m["q"] + g["omega"] * (1 - m["w"]) / (1 - g["b"]))
+
+
+def _garch_walk(rets: DataFrame, keys: tuple[str, ...], size: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(a row a key as garch() gives, the blocks of each key with the fitted numbers and `s2`, the variance before the block)."""
+    blocks = _garch_blocks(rets, keys, size, most)
+    omega = lambda a, b: F.greatest((1 - a - b) * F.col("var"), F.lit(1e-8))
+    point = lambda i, a, b: F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), omega(F.lit(a), F.lit(b)).alias("omega"), F.lit(BETAS.index(b)).alias("place"))
+    grid = F.array(*[point(i, a, b) for i, (a, b) in enumerate(GRID)])
+
+    def tried(g: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            s2 = g["omega"] + g["a"] * x + g["b"] * acc["s2"]
+            return F.struct(s2.alias("s2"), (acc["ll"] - 0.5 * (LOG_2PI + F.ln(s2) + x / s2)).alias("ll"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s2 = F.col("omega") + F.col("g.a") * x + F.col("g.b") * acc["s2"]
-        return F.struct(s2.alias("s2"), (acc["ll"] - 0.5 * (LOG_2PI + F.ln(s2) + x / s2)).alias("ll"))
+        return F.struct(g["i"].alias("i"), g["a"].alias("alpha"), g["b"].alias("beta"), g["omega"].alias("omega"), g["place"].alias("place"), F.aggregate("x", F.struct(_start(g, g["place"]).alias("s2"), F.lit(0.0).alias("ll")), step, lambda acc: acc["ll"]).alias("ll"))
 
-    tried = tried.withColumn("ll", F.aggregate("r2", F.struct(F.col("var").alias("s2"), F.lit(0.0).alias("ll")), step, lambda acc: acc["ll"]))
-    best = tried.groupBy(*keys).agg(F.max_by(F.struct("omega", F.col("g.a").alias("alpha"), F.col("g.b").alias("beta"), F.col("ll").alias("log_lik")), F.struct("ll", -F.col("g.i"))).alias("b"))
-    fit = series.join(best.select(*keys, "b.*"), list(keys)).withColumn("persistence", F.col("alpha") + F.col("beta"))
-    fit = fit.withColumn("long_run_vol", F.sqrt(F.col("omega") / F.greatest(1 - F.col("persistence"), F.lit(1e-4))))
-    start = F.struct(F.col("var").alias("s2"), F.lit(0.0).alias("k"), F.lit(0.0).alias("vol"), F.lit(0.0).alias("m"), F.lit(0.0).alias("ss"))
+    each = blocks.select(*keys, F.inline(F.transform(grid, tried)))
+    sums = each.groupBy(*keys, "i", "alpha", "beta", "place").agg(F.max("omega").alias("omega"), F.sum("ll").alias("log_lik"))
+    best = sums.groupBy(*keys).agg(F.max_by(F.struct("omega", "alpha", "beta", "log_lik", "place"), F.struct("log_lik", -F.col("i"))).alias("g")).select(*keys, "g.*")
+    fitted = blocks.join(best, list(keys))
+    fitted = fitted.withColumn("s2", _start(F.struct(F.col("alpha").alias("a"), F.col("beta").alias("b"), "omega"), F.col("place")))
 
     def walk(acc: Column, x: Column) -> Column:
         s2, k = F.col("omega") + F.col("alpha") * x + F.col("beta") * acc["s2"], acc["k"] + 1
@@ -57,27 +98,31 @@ def garch(rets: DataFrame, *keys: str) -> DataFrame:
         m = acc["m"] + (vol - acc["m"]) / k
         return F.struct(s2.alias("s2"), k.alias("k"), vol.alias("vol"), m.alias("m"), (acc["ss"] + (vol - acc["m"]) * (vol - m)).alias("ss"))
 
-    fit = fit.withColumn("w", F.aggregate("r2", start, walk)).withColumn("vol", F.col("w.vol")).withColumn("mean_vol", F.col("w.m"))
-    return fit.withColumn("std_vol", F.sqrt(F.col("w.ss") / (F.col("w.k") - 1))).withColumnRenamed("var", "var0").drop("r2", "w")
+    begin = F.struct(F.col("s2").alias("s2"), F.lit(0.0).alias("k"), F.lit(0.0).alias("vol"), F.lit(0.0).alias("m"), F.lit(0.0).alias("ss"))
+    walked = fitted.select(*keys, "block", "omega", "alpha", "beta", "log_lik", "var", F.aggregate("x", begin, walk).alias("w"))
+    parts = walked.groupBy(*keys, "omega", "alpha", "beta", "log_lik", F.col("var").alias("var0")).agg(F.max_by("w.vol", "block").alias("vol"), *pooled("w"))
+    out = parts.withColumn("persistence", F.col("alpha") + F.col("beta")).withColumn("mean_vol", F.col("mean"))
+    out = out.withColumn("long_run_vol", F.sqrt(F.col("omega") / F.greatest(1 - F.col("persistence"), F.lit(1e-4)))).withColumn("std_vol", F.sqrt(F.col("ss") / (F.col("k") - 1)))
+    return out.drop("mean", "ss", "k"), fitted.join(out.select(*keys, "long_run_vol"), list(keys))
 
 
-def garch_series(rets: DataFrame, *keys: str) -> DataFrame:
-    """time, rn, vol and regime of each return under its key's GARCH fit; none for keys that have no fit. One pass over a key's returns in Arrow batches."""
+def garch_series(rets: DataFrame, *keys: str, size: int = FOLD, most: int | None = None) -> DataFrame:
+    """time, rn, vol and regime of each return under its key's GARCH fit; none for keys that have no fit. Blocks are walked side by side, each from the variance before it, in Arrow batches."""
     keys = keys or ("symbol",)
-    fit = garch(rets, *keys).select(*keys, "omega", "alpha", "beta", "var0", "long_run_vol")
-    rows = rets.select(*keys, "time", "rn", "r").join(fit, list(keys))
+    starts = _garch_walk(rets, keys, size, most)[1].select(*keys, "block", "omega", "alpha", "beta", "s2", "long_run_vol")
+    rows = rets.select(*keys, "time", "rn", "r", F.floor(F.col("rn") / size).alias("block")).join(starts, [*keys, "block"])
     types = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in (*keys, "time", "rn"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", ignore_index=True)
-        omega, alpha, beta, s2 = (float(pdf[c].iloc[0]) for c in ("omega", "alpha", "beta", "var0"))
+        omega, alpha, beta, s2 = (float(pdf[c].iloc[0]) for c in ("omega", "alpha", "beta", "s2"))
         out = []
         for r in pdf["r"].tolist():
             s2 = omega + alpha * (r * r) + beta * s2
             out.append(s2)
         return pdf[[*keys, "time", "rn"]].assign(vol=np.sqrt(np.maximum(out, 1e-12)), long_run_vol=pdf["long_run_vol"])
 
-    walked = rows.groupBy(*keys).applyInPandas(walk, f"{types}, vol double, long_run_vol double")
+    walked = rows.groupBy(*keys, "block").applyInPandas(walk, f"{types}, vol double, long_run_vol double")
     return walked.withColumn("regime", vol_regime(F.col("vol"), F.col("long_run_vol")))
 
 
@@ -86,10 +131,10 @@ def vol_regime(vol: Column, long_run: Column) -> Column:
     return F.when(ratio < 0.7, "low-vol").when(ratio > 1.4, "high-vol").otherwise("transitional")
 
 
-def garch_report(rets: DataFrame, *keys: str) -> DataFrame:
+def garch_report(rets: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
     """Current and long-run volatility with regime and its probability; series too short for a fit use their own deviation."""
     keys = keys or ("symbol",)
-    fit = garch(rets, *keys)
+    fit = garch(rets, *keys, most=most)
     plain = rets.groupBy(*keys).agg(C.std0(F.col("r")).alias("_sd"))
     fit = fit.withColumn("_m", F.col("mean_vol")).withColumn("_s", C.or_tiny(F.col("std_vol")))
     out = plain.join(fit, list(keys), "left").withColumn("vol", F.coalesce("vol", "_sd")).withColumn("long_run_vol", F.coalesce("long_run_vol", "_sd"))
@@ -237,11 +282,11 @@ def hmm(bars: DataFrame, *keys: str, states: int = 3, rounds: int = 25, warmup:
     return feats.groupBy(*keys).applyInPandas(fit, f"{types}, state int, probability double, log_lik double, rounds int, means array<array<double>>, deviations array<array<double>>")
 
 
-def report(bars: DataFrame, *keys: str) -> DataFrame:
+def report(bars: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
     """GARCH, jumps and hidden state of each key's look back, with the family of strategies they call for; the GARCH regime stands in where no state could be fitted."""
     keys = keys or ("symbol",)
     rets = returns(bars, *keys)
-    g = garch_report(rets, *keys).withColumnRenamed("regime", "vol_regime").withColumnRenamed("probability", "vol_probability").drop("log_lik")
+    g = garch_report(rets, *keys, most=most).withColumnRenamed("regime", "vol_regime").withColumnRenamed("probability", "vol_probability").drop("log_lik")
     j = jumps(rets, *keys).select(*keys, F.col("jump").alias("jump_component"), F.col("ratio").alias("jump_ratio"), F.col("z").alias("jump_z"), F.col("detected").alias("jump_detected"))
     out = bars.groupBy(*keys).agg(F.max("time").alias("time")).join(g, list(keys), "left").join(j, list(keys), "left").join(hmm(bars, *keys), list(keys), "left")
     stand_in = F.when(F.col("vol_regime") == "low-vol", 0).when(F.col("vol_regime") == "high-vol", 2).otherwise(1)

@@ -20,11 +20,11 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     return df.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def daily(f: Callable[[DataFrame], DataFrame], *columns: str, digits: int = 6, tail: int | None = None, keep: bool = False, **other: int) -> Query:
-    """A query over daily bars, or the last `tail` of each symbol. What reads its bars many times starts from a table of them."""
+def daily(f: Callable[[DataFrame], DataFrame], *columns: str, digits: int = 6, tail: int | None = None, pairs: list | None = None, keep: bool = False, **other: int) -> Query:
+    """A query over daily bars, or the last `tail` of each symbol or pair. What reads its bars many times starts from a table of them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = B.daily_bars(spark, sf_dir, tail)
+        bars = B.daily_bars(spark, sf_dir, tail, pairs)
         out = f(kept(bars, "bars") if keep else bars)
         return rounded(out.select(*columns) if columns else out, digits, **other)
 
@@ -143,16 +143,16 @@ CFG = backtest.Config(pip=0.01, spread=0.05)
 QUERIES: dict[str, Query] = {
     "bars_daily": daily(lambda b: b, digits=9),
     "bars_hourly": lambda s, d: rounded(B.event_bars(s, d)),
-    "zscore_rolling": daily(rolling.zscore, "symbol", "time", "mean", "std", "z"),
+    "zscore_rolling": daily(rolling.whole(rolling.zscore, 48), "symbol", "time", "mean", "std", "z"),
     "zscore_latest": daily(last_z),
     "log_returns": daily(B.returns, "symbol", "time", "r", digits=9),
     "simple_returns": daily(lambda b: B.numbered(b).where("prev is not null").select("symbol", "time", (F.col("close") / F.col("prev") - 1).alias("r")), digits=9),
-    "sma20": daily(lambda b: rolling.sma(b, 20), "symbol", "time", "sma"),
-    "rolling_std20": daily(lambda b: rolling.rolling_std(b, 20), "symbol", "time", "std"),
-    "atr14": daily(rolling.atr, "symbol", "time", "atr"),
-    "ewma24": daily(rolling.ewma_momentum, "symbol", "time", "weighted", "rv", "momentum", digits=9, momentum=6),
-    "percentile_rank50": daily(rolling.volume_rank, "symbol", "time", "rank"),
-    "rolling_half_life48": daily(rolling.rolling_half_life, "symbol", "time", "half_life", digits=4),
+    "sma20": daily(rolling.whole(rolling.sma, 20), "symbol", "time", "sma"),
+    "rolling_std20": daily(rolling.whole(rolling.rolling_std, 20), "symbol", "time", "std"),
+    "atr14": daily(rolling.whole(rolling.atr, 14), "symbol", "time", "atr"),
+    "ewma24": daily(rolling.whole(rolling.ewma_momentum, 24), "symbol", "time", "weighted", "rv", "momentum", digits=9, momentum=6),
+    "percentile_rank50": daily(rolling.whole(rolling.volume_rank, 50), "symbol", "time", "rank"),
+    "rolling_half_life48": daily(rolling.whole(rolling.rolling_half_life, 48), "symbol", "time", "half_life", digits=4),
     "resample_4": daily(lambda b: B.resample(b, 4)),
     "half_life": daily(rolling.half_life),
     "return_stats": daily(rolling.return_stats),
@@ -183,13 +183,13 @@ QUERIES: dict[str, Query] = {
     "garch_regimes": daily(lambda b: volatility.garch_series(B.returns(b)), "symbol", "time", "vol", "regime", keep=True),
     "hmm_features": daily(volatility.hmm_features, "symbol", "time", "f0", "f1", "f2", "f3", digits=4),
     "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4),
-    "vol_regime": daily(volatility.report, keep=True, tail=500),
+    "vol_regime": daily(lambda b: volatility.report(b, most=500), keep=True, tail=500),
     "ou_fit": daily(lambda b: ols_spread(b).drop(*B.PAIR), z=5),
     "cointegration": daily(lambda b: statarb.cointegration(statarb.log_pair(b, AR)).drop(*B.PAIR), t=5, trace=5),
     "kalman_beta": daily(lambda b: statarb.kalman(statarb.log_pair(b, AR)).drop(*B.PAIR), kalman_z=5),
     "pair_reversion": daily(lambda b: statarb.cointegration(statarb.log_pair(b, PAIRS)), t=5, trace=5),
     "pair_information": daily(lambda b: information.report(b, PAIRS), *B.PAIR, "x_to_y", "y_to_x", "leader", "z", "edge", "x_pe", "y_pe", "y_pe_state", "top_feature", "top_mi", "informative", "rationale", tail=500, keep=True, z=5),
-    "statarb_gate": daily(lambda b: statarb.report(b, AR), "hedge_ratio", "kalman_z", "z", "half_life", "half_life_valid", "cointegrated", "composite", "gate", digits=5, keep=True, hedge_ratio=6),
+    "statarb_gate": daily(lambda b: statarb.report(b, AR), "hedge_ratio", "kalman_z", "z", "half_life", "half_life_valid", "cointegrated", "composite", "gate", digits=5, keep=True, tail=500, pairs=AR, hedge_ratio=6),
     "zscore_mr_signal": daily(lambda b: strategies.signals(b, "zscore-mr"), "symbol", "time", "action", "strength", "stop", digits=5),
     "decay_mom_signal": daily(lambda b: strategies.signals(b, "decay-mom"), "symbol", "time", "action", "strength", "stop", digits=5, stop=6),
     "vol_breakout_signal": daily(lambda b: strategies.signals(b, "vol-breakout"), "symbol", "time", "action", "strength", "stop", digits=5),
@@ -215,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "dispatch_context": daily(live.context, tail=500, keep=True),
     "live_base": daily(live.base_signals, "strategy", "symbol", "time", "direction", "confidence", tail=500, keep=True, digits=4),
     "te_injection": daily(lambda b: live.te_signals(information.cross_edge(pair_of(b))), "symbol", "direction", "confidence", tail=500, keep=True, digits=4),
-    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, AR)), "symbol", "direction", "confidence", keep=True, digits=4),
+    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, AR)), "symbol", "direction", "confidence", tail=500, pairs=AR, keep=True, digits=4),
     "live_signals": daily(lambda b: live.live_signals(b, "A", "R"), tail=2000, keep=True),
     "declared_trades": daily(lambda b: declared.trades(backtest.ledger(b, None, CFG)).drop("created_at"), keep=True),
     "symbol_config": lambda s, d: B.symbol_config(s),

@@ -42,16 +42,18 @@ def bars_of(rows: DataFrame, symbol: Column, time: Column, price: Column, volume
     return rows.groupBy(symbol.alias("symbol"), time.alias("time")).agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum(volume).cast("double").alias("volume"))
 
 
-def daily_bars(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
-    """lineitem by return flag and ship date: price per unit, quantity as volume; with `last` the last so many bars of each symbol.
+def daily_bars(spark: SparkSession, sf_dir: str, last: int | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """lineitem by return flag and ship date: price per unit, quantity as volume; with `last` the last so many bars of each symbol, or of the times that both symbols of a pair have.
 
     For a look back the dates come first: the earliest one needed is found from two columns, and is a filter of the scan that builds the bars.
     """
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") > 0)
     if last:
-        days = tail(rows.select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("time")).distinct(), last)
+        days = rows.select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("time")).distinct()
+        days = tail(side_by_side(days, F.lit(0), pairs), last, *PAIR) if pairs else tail(days, last)
         since = days.agg(F.min("time")).first()[0]
-        return tail(daily_bars_of(rows.where(F.col("l_shipdate") >= F.lit(since)) if since is not None else rows), last)
+        bars = daily_bars_of(rows.where(F.col("l_shipdate") >= F.lit(since)) if since is not None else rows)
+        return bars if pairs else tail(bars, last)
     return daily_bars_of(rows)
 
 

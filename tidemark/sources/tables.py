@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: rows up to which a table is read as one partition
 SMALL = 50_000
 
@@ -31,10 +38,7 @@ def kept(df: DataFrame, label: str, small: int = SMALL) -> DataFrame:
     A table of at most `small` rows (counted) is read as one partition, so that windows and groups over it need no shuffle; a larger one
     is read and shuffled as any other.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = written(df, label)
     return table.coalesce(1) if table.count() <= small else table
 
 
