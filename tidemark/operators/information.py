@@ -35,19 +35,54 @@ def entropy_of_triples(triples: DataFrame, key: list[str]) -> DataFrame:
     return terms.groupBy(*key).agg(F.greatest(F.sum(bits), F.lit(0.0)).alias("te"))
 
 
+def sliding_sums(events: DataFrame, first: Column, last: Column, keys: tuple[str, ...]) -> DataFrame:
+    """keys, end_at, total: for every end of a window the signed sum of count * log2(count) over the symbols inside, from events (keys, kind, symbol, sign).
+
+    An event lies in the windows that end at `first` to `last` (columns). It adds one to its symbol's count where it enters and takes one off where it has left, so
+    a count is a running sum of two rows an event, and its change of count * log2(count) is exact from whole numbers; totals are running sums of
+    these changes. Windows themselves are never built: rows don't grow with the window. Ends at which nothing changes have no row.
+    """
+    weigh = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
+    # what enters and leaves at one end counts as one step
+    moves = events.select(*keys, "kind", "symbol_", "sign", F.explode(F.array(F.struct(first.alias("end_at"), F.lit(1).alias("step")), F.struct((last + 1).alias("end_at"), F.lit(-1).alias("step")))).alias("m")).groupBy(*keys, "kind", "symbol_", "sign", F.col("m.end_at").alias("end_at")).agg(F.sum("m.step").alias("step")).where("step <> 0")
+    w = Window.partitionBy(*keys, "kind", "symbol_").orderBy("end_at").rowsBetween(Window.unboundedPreceding, 0)
+    moves = moves.withColumn("_c", F.sum("step").over(w)).withColumn("_d", F.col("sign") * (weigh(F.col("_c")) - weigh(F.col("_c") - F.col("step"))))
+    at = moves.groupBy(*keys, "end_at").agg(F.sum("_d").alias("_d"))
+    return at.select(*keys, "end_at", F.sum("_d").over(Window.partitionBy(*keys).orderBy("end_at").rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+
+
+def _every_end(rows: DataFrame, sums: DataFrame, first: Column, keys: tuple[str, ...], names: list[str]) -> DataFrame:
+    """rows (keys, end_at) that are ends of windows, each with the last total of sums at or before it."""
+    ends = rows.where(F.col("end_at") >= first).select(*keys, "end_at").join(sums, [*keys, "end_at"], "left")
+    w = Window.partitionBy(*keys).orderBy("end_at").rowsBetween(Window.unboundedPreceding, 0)
+    return ends.select(*keys, "end_at", *[F.last(c, True).over(w).alias(c) for c in names])
+
+
 def transfer_series(pair: DataFrame, bins: int = 4, n: int = 120) -> DataFrame:
     """Transfer entropy x to y and y to x of the n pairs before each end (n to the last but one): the key of the pair, end_at, x_to_y, y_to_x.
 
-    Each row is sent to the windows it lies in, at most n of them: windows are keys, so they are counted side by side.
+    The entropy is a signed sum of count * log2(count) over triples (+), source with target (-), target with its next (-) and target (+), over n: sliding_sums()
+    keeps these counts by what enters and leaves.
     """
     rows = binned(pair, ["x", "y"], bins)
     w = Window.partitionBy(*PAIR).orderBy("rn")
     rows = rows.withColumn("xn", F.lead("xq").over(w)).withColumn("yn", F.lead("yq").over(w)).where(F.col("xn").isNotNull())
+    # the triple at rn is in windows that end at rn + 2 to rn + n, and counts from the first whole one on
     low, high = F.greatest(F.lit(n), F.col("rn") + 2), F.least(F.col("rn") + n, F.col("n") - 1)
-    rows = rows.where(low <= high).withColumn("end_at", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    forth = entropy_of_triples(rows.select(*PAIR, "end_at", F.col("yn").alias("a"), F.col("yq").alias("b"), F.col("xq").alias("c")), [*PAIR, "end_at"])
-    back = entropy_of_triples(rows.select(*PAIR, "end_at", F.col("xn").alias("a"), F.col("xq").alias("b"), F.col("yq").alias("c")), [*PAIR, "end_at"])
-    return forth.withColumnRenamed("te", "x_to_y").join(back.withColumnRenamed("te", "y_to_x"), [*PAIR, "end_at"])
+    code = lambda *cs: sum((F.col(c) * bins**i for i, c in enumerate(cs)), F.lit(0)).cast("int")
+    event = lambda kind, sign, *cs: F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"), code(*cs).alias("symbol_"))
+
+    def way(to: str, a: str, b: str, c: str) -> list[Column]:
+        return [event(f"{to}3", 1, a, b, c), event(f"{to}s", -1, b, c), event(f"{to}n", -1, a, b), event(f"{to}1", 1, b)]
+
+    events = rows.where(low <= high).select(*PAIR, low.alias("_low"), high.alias("_high"), F.inline(F.array(*way("f", "yn", "yq", "xq"), *way("b", "xn", "xq", "yq"))))
+    sums = sliding_sums(events.withColumn("way", F.substring("kind", 1, 1)), F.col("_low"), F.col("_high"), (*PAIR, "way"))
+    side = lambda k: F.max(F.when(F.col("way") == k, F.col("total")))
+    both = sums.groupBy(*PAIR, "end_at").agg(side("f").alias("f"), side("b").alias("b"))
+    # an end at which one direction stays as it was has a null there: the last value holds
+    ends = _every_end(pair.select(*PAIR, F.col("rn").cast("int").alias("end_at")), both.withColumn("end_at", F.col("end_at").cast("int")), F.lit(n), PAIR, ["f", "b"])
+    bits = lambda c: F.greatest(F.col(c) / (n - 1), F.lit(0.0))
+    return ends.select(*PAIR, "end_at", bits("f").alias("x_to_y"), bits("b").alias("y_to_x"))
 
 
 def transfer(pair: DataFrame, bins: int = 4, n: int = 120) -> DataFrame:
@@ -67,16 +102,18 @@ def pattern(values: Column, m: int) -> Column:
 
 
 def permutation_series(rets: DataFrame, *keys: str, m: int = 4, n: int = 100) -> DataFrame:
-    """Normalised permutation entropy of the n returns before each end (n to all): key, end, pe. Series shorter than n + m have none."""
+    """Normalised permutation entropy of the n returns before each end (n to all): key, end, pe. Series shorter than n + m have none. Pattern counts follow by what enters and leaves (sliding_sums)."""
     keys = keys or ("symbol",)
     w = Window.partitionBy(*keys).orderBy("rn")
     rows = rets.select(*keys, "rn", "n", pattern(F.array("r", *[F.lead("r", i).over(w) for i in range(1, m)]), m).alias("p"), F.lead("r", m - 1).over(w).alias("_l"))
     rows = rows.where(F.col("_l").isNotNull() & (F.col("n") >= n + m))
     low, high = F.greatest(F.lit(n), F.col("rn") + m), F.least(F.col("rn") + n, F.col("n"))
-    rows = rows.where(low <= high).withColumn("end_at", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    counts = rows.groupBy(*keys, "end_at", "p").agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.lit(float(n - m + 1))
-    return counts.groupBy(*keys, "end_at").agg((-F.sum(share * F.log2(share)) / math.log2(math.factorial(m))).alias("pe"))
+    events = rows.where(low <= high).select(*keys, F.lit("p").alias("kind"), F.col("p").alias("symbol_"), F.lit(1).alias("sign"), low.alias("_low"), high.alias("_high"))
+    sums = sliding_sums(events, F.col("_low"), F.col("_high"), keys).withColumn("end_at", F.col("end_at").cast("int"))
+    ends = _every_end(rets.where(F.col("n") >= n + m).select(*keys, (F.col("rn") + 1).cast("int").alias("end_at")), sums, F.lit(n), keys, ["total"])
+    # -sum of share * log2(share), with counts that add up to the patterns of a window
+    patterns = n - m + 1
+    return ends.select(*keys, "end_at", ((math.log2(patterns) - F.col("total") / patterns) / math.log2(math.factorial(m))).alias("pe"))
 
 
 def permutation(rets: DataFrame, *keys: str, m: int = 4, n: int = 100) -> DataFrame:
