@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..sources.bars import numbered, returns
 from ..sources.series import FOLD, blocks_of, pooled, scanned
 from ..sources.tables import written
+from .hidden import fit_in_blocks
 from .microstructure import latest
 
 
@@ -260,13 +261,23 @@ def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 30) -> dict | None:
 LABELS = ("Low-Vol Compression", "Transitional", "High-Vol Trending")
 
 
-def hmm(bars: DataFrame, *keys: str, states: int = 3, rounds: int = 25, warmup: int = 50) -> DataFrame:
+#: bars up to which a key's model is fitted in one group
+ONE_GROUP = 50_000
+
+
+def hmm(bars: DataFrame, *keys: str, states: int = 3, rounds: int = 25, warmup: int = 50, most: int | None = None, size: int | None = None) -> DataFrame:
     """Last state by key with its probability, likelihood, rounds and the means and deviations of all states' features.
 
-    The features are window columns; only they go to Python, a key (a bounded look back) at a time, as the fit is iterative.
+    The features are window columns; only they go to Python, as the fit is iterative: a key at a time where the longest has at most ONE_GROUP bars (`most`,
+    counted if not given), else, or where a block `size` is given, all keys in blocks (hidden.fit_in_blocks), with the same result.
     Keys with fewer than ten usable bars a state have no row.
     """
     keys = keys or ("symbol",)
+    if size is None and most is None:
+        most = blocks_of(bars.groupBy(*keys).count(), "count", 1)
+    if size is not None or most > ONE_GROUP:
+        feats = written(hmm_features(bars, *keys).select(*keys, "rn", "f0", "f1", "f2", "f3"), "hmm-features")
+        return fit_in_blocks(feats.where(F.col("rn") >= warmup), *keys, states=states, rounds=rounds, size=size or FOLD)
     feats = hmm_features(bars, *keys).select(*keys, "rn", "f0", "f1", "f2", "f3")
     types = ", ".join(f"{k} {t}" for k, t in feats.dtypes if k in keys)
 
@@ -288,7 +299,7 @@ def report(bars: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
     rets = returns(bars, *keys)
     g = garch_report(rets, *keys, most=most).withColumnRenamed("regime", "vol_regime").withColumnRenamed("probability", "vol_probability").drop("log_lik")
     j = jumps(rets, *keys).select(*keys, F.col("jump").alias("jump_component"), F.col("ratio").alias("jump_ratio"), F.col("z").alias("jump_z"), F.col("detected").alias("jump_detected"))
-    out = bars.groupBy(*keys).agg(F.max("time").alias("time")).join(g, list(keys), "left").join(j, list(keys), "left").join(hmm(bars, *keys), list(keys), "left")
+    out = bars.groupBy(*keys).agg(F.max("time").alias("time")).join(g, list(keys), "left").join(j, list(keys), "left").join(hmm(bars, *keys, most=most), list(keys), "left")
     stand_in = F.when(F.col("vol_regime") == "low-vol", 0).when(F.col("vol_regime") == "high-vol", 2).otherwise(1)
     out = out.withColumn("state", F.coalesce("state", stand_in)).withColumn("probability", F.coalesce("probability", "vol_probability")).withColumn("label", F.element_at(F.array(*map(F.lit, LABELS)), F.col("state") + 1))
     return out.withColumn("dispatch", F.when(F.col("state") == 0, "mean-reversion").when(F.col("state") == 2, "momentum").otherwise("breakout-prep")).fillna(0.0, ["jump_component", "jump_ratio", "jump_z"]).fillna(False, ["jump_detected"])

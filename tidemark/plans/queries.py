@@ -182,7 +182,7 @@ QUERIES: dict[str, Query] = {
     "garch_fit": daily(garch_row, "symbol", "omega", "alpha", "beta", "log_lik", "vol", "long_run_vol", "regime", keep=True, omega=9, log_lik=4),
     "garch_regimes": daily(lambda b: volatility.garch_series(B.returns(b)), "symbol", "time", "vol", "regime", keep=True),
     "hmm_features": daily(volatility.hmm_features, "symbol", "time", "f0", "f1", "f2", "f3", digits=4),
-    "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4),
+    "hmm_states": daily(volatility.hmm, "symbol", "state", "probability", "log_lik", digits=4, keep=True),
     "vol_regime": daily(lambda b: volatility.report(b, most=500), keep=True, tail=500),
     "ou_fit": daily(lambda b: ols_spread(b).drop(*B.PAIR), z=5),
     "cointegration": daily(lambda b: statarb.cointegration(statarb.log_pair(b, AR)).drop(*B.PAIR), t=5, trace=5),
