@@ -167,7 +167,7 @@ QUERIES: dict[str, Query] = {
     "ofi_divergence": daily(lambda b: microstructure.divergence(microstructure.classify_volume(b))),
     "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)).withColumn("bucket", F.col("bucket").cast("long")), "symbol", "bucket", "time", "buy", "sell", "vol"),
     "vpin": daily(lambda b: microstructure.vpin(microstructure.classify_volume(b)), z=4),
-    "toxicity": daily(microstructure.report, "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, keep=True, tail=500),
+    "toxicity": daily(lambda b: microstructure.report(b, most=500), "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, keep=True, tail=500),
     "hurst_rs": daily(lambda b: fractal.rescaled_range(B.returns(b))),
     "hurst_dfa": daily(lambda b: fractal.detrended(B.returns(b))),
     "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), keep=True),
