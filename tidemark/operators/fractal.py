@@ -21,13 +21,14 @@ def scales(top: int, first: int = 8, growth: float = 1.4) -> list[int]:
     return out
 
 
-#: enough for 2**20 returns; those above half a series are left out by row
-SCALES = scales(1 << 19)
+#: for series of any length; those above half a series are left out by row
+SCALES = scales(1 << 62)
 
 
 def blocks(rets: DataFrame, *keys: str) -> DataFrame:
     """Returns (rn, r, n) with tau and block for each block size up to n / 2; rows after the last whole block are left out."""
-    tau = F.explode(F.filter(F.array(*map(F.lit, SCALES)), lambda t: t <= F.floor(F.col("n") / 2)))
+    fit = lambda top: F.filter(F.array(*[F.lit(t).cast("long") for t in SCALES if t <= top]), lambda t: t <= F.floor(F.col("n") / 2))
+    tau = F.explode(F.when(F.col("n") <= 1 << 20, fit(1 << 19)).otherwise(fit(1 << 62)))  # a short list for most
     return rets.select(*keys, "rn", "r", "n", tau.alias("tau")).withColumn("block", F.floor(F.col("rn") / F.col("tau"))).where((F.col("block") + 1) * F.col("tau") <= F.col("n"))
 
 

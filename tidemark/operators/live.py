@@ -11,6 +11,17 @@ from ..sources.tables import kept
 from . import fractal, information, ml, statarb, volatility
 from .strategies import FAMILY, STRATEGIES, signals
 
+# The wording of the notes, as results are compared by it.
+ALWAYS = "carry · regime-agnostic"
+MATCHES = "matches %s regime"
+SUPPRESSED = "suppressed — %s regime active"
+SHUT = "HMM ok · fractal gate CLOSED (D=%s contradicts %s)"
+CAUTION = " · fractal caution"
+CONFIRMED = " · fractal confirmed"
+PE_RANDOM = " · PE random (×%s) → exposure eliminated"
+PE_STATE = " · PE %s (×%s)"
+BYPASS = {"cross-asset": "cross-asset edge · HMM bypass", "stat-arb": "stat-arb · HMM bypass", "ml-ensemble": "ML ensemble · HMM-gated (bypass)"}
+
 LOOKBACK = 500
 LEAST_BARS = 205
 COLUMNS = ("strategy", "name", "kind", "symbol", "direction", "confidence", "price", "time", "dispatch", "regime_active", "regime_note", "fractal_gate", "status", "status_note", "pe_multiplier", "pe_state", "effective_confidence", "cross_asset")
@@ -32,7 +43,7 @@ def base_signals(bars: DataFrame) -> DataFrame:
 
 def context(bars: DataFrame) -> DataFrame:
     """A row per symbol: dispatch, regime label, probability and volatility regime, fractal gate, dimension and dispatch, entropy state and multiplier, last price."""
-    vol = volatility.report(bars).select("symbol", "dispatch", F.col("label").alias("regime_label"), F.col("probability").alias("regime_probability"), "vol_regime")
+    vol = volatility.report(bars, most=LOOKBACK).select("symbol", "dispatch", F.col("label").alias("regime_label"), F.col("probability").alias("regime_probability"), "vol_regime")
     frac = fractal.report(bars).select("symbol", F.col("gate").alias("fractal_gate"), "dimension", F.col("dispatch").alias("fractal_dispatch"))
     pe = information.permutation(returns(bars)).select("symbol", F.col("state").alias("pe_state"), F.col("multiplier").alias("pe_multiplier"))
     last = bars.groupBy("symbol").agg(F.max("time").alias("last_time"), F.max_by("close", "time").alias("last_price"))
@@ -43,20 +54,18 @@ def context(bars: DataFrame) -> DataFrame:
 def gated(base: DataFrame, ctx: DataFrame) -> DataFrame:
     """Base signals with both gates: suppressed where the regime calls for another family, on hold where the fractal gate is closed, else
     active; entropy scales the confidence, and a random series with little of it goes on hold.
-
-    # The wording of the notes.
     """
     rows = base.join(ctx, "symbol", "left")
     always = F.col("family") == "always"
     active = always | F.coalesce(F.col("family") == F.col("dispatch"), F.lit(False))
-    note = F.when(always, "carry · regime-agnostic").when(active, F.concat(F.lit("matches "), F.col("dispatch"), F.lit(" regime"))).otherwise(F.concat(F.lit("suppressed — "), F.col("dispatch"), F.lit(" regime active")))
+    note = F.when(always, ALWAYS).when(active, F.format_string(MATCHES, "dispatch")).otherwise(F.format_string(SUPPRESSED, "dispatch"))
     rows = rows.withColumn("regime_active", active).withColumn("regime_note", note).withColumn("effective_confidence", F.col("confidence") * F.col("pe_multiplier"))
     closed = F.col("fractal_gate") == "closed"
     rows = rows.withColumn("status", F.when(~F.col("regime_active"), "suppressed").when(closed, "hold").otherwise("active"))
-    why = F.when(F.col("status") == "suppressed", F.col("regime_note")).when(F.col("status") == "hold", F.concat(F.lit("HMM ok · fractal gate CLOSED (D="), C.fixed(F.col("dimension")), F.lit(" contradicts "), F.col("fractal_dispatch"), F.lit(")")))
-    rows = rows.withColumn("status_note", why.otherwise(F.concat("regime_note", F.when(F.col("fractal_gate") == "caution", " · fractal caution").otherwise(" · fractal confirmed"))))
+    why = F.when(F.col("status") == "suppressed", F.col("regime_note")).when(F.col("status") == "hold", F.format_string(SHUT, C.fixed(F.col("dimension")), "fractal_dispatch"))
+    rows = rows.withColumn("status_note", why.otherwise(F.concat("regime_note", F.when(F.col("fractal_gate") == "caution", CAUTION).otherwise(CONFIRMED))))
     live, random = F.col("status") == "active", (F.col("pe_state") == "random") & (F.col("effective_confidence") < 0.15)
-    more = F.when(live & random, F.concat(F.lit(" · PE random (×"), F.format_string("%.1f", "pe_multiplier"), F.lit(") → exposure eliminated"))).when(live & (F.col("pe_state") != "normal"), F.concat(F.lit(" · PE "), F.col("pe_state"), F.lit(" (×"), C.fixed(F.col("pe_multiplier")), F.lit(")"))).otherwise("")
+    more = F.when(live & random, F.format_string(PE_RANDOM, C.fixed(F.col("pe_multiplier"), 1))).when(live & (F.col("pe_state") != "normal"), F.format_string(PE_STATE, "pe_state", C.fixed(F.col("pe_multiplier")))).otherwise("")
     return rows.withColumn("status_note", F.concat("status_note", more)).withColumn("status", F.when(live & random, "hold").otherwise(F.col("status"))).withColumn("cross_asset", F.lit(False)).select(*COLUMNS)
 
 
@@ -65,10 +74,9 @@ def injected(rows: DataFrame, ctx: DataFrame, code: str, name: str, kind: str, c
     rows = rows.withColumn("confidence", confidence).withColumn("_note", note).join(ctx, "symbol")
     rows = rows.withColumn("effective_confidence", F.col("confidence") * F.col("pe_multiplier"))
     closed, random = F.col("fractal_gate") == "closed", (F.col("pe_state") == "random") & (F.col("effective_confidence") < 0.15)
-    bypass = {"cross-asset": "cross-asset edge · HMM bypass", "stat-arb": "stat-arb · HMM bypass", "ml-ensemble": "ML ensemble · HMM-gated (bypass)"}[kind]
     shut = F.concat(F.lit(f"{subject} · fractal gate CLOSED"), *([] if kind == "ml-ensemble" else [F.lit(" for "), F.col("symbol")]))
     out = rows.withColumn("status", F.when(closed | random, "hold").otherwise("active")).withColumn("status_note", F.when(closed, shut).when(random, F.lit(f"{subject} · PE random → exposure eliminated")).otherwise(F.col("_note")))
-    fixed = {"strategy": code, "name": name, "kind": kind, "dispatch": "mean-reversion", "regime_active": True, "regime_note": bypass, "cross_asset": cross}
+    fixed = {"strategy": code, "name": name, "kind": kind, "dispatch": "mean-reversion", "regime_active": True, "regime_note": BYPASS[kind], "cross_asset": cross}
     for c, v in fixed.items():
         out = out.withColumn(c, F.lit(v))
     return out.withColumn("price", F.col("last_price")).withColumn("time", F.col("last_time")).select(*COLUMNS)
@@ -96,10 +104,7 @@ def ml_signals(rep: DataFrame, symbol: str) -> DataFrame:
 
 
 def live_signals(bars: DataFrame, x: str, y: str, with_model: bool = True) -> DataFrame:
-    """All signals of the last bar: every strategy on every symbol, the pair's transfer-entropy edge and spread, and the model of symbol x.
-
-    # Codes, names and wording.
-    """
+    """All signals of the last bar: every strategy on every symbol, the pair's transfer-entropy edge and spread, and the model of symbol x."""
     recent = kept(tail(bars, LOOKBACK), "recent")
     ctx = kept(context(recent), "context")
     out = gated(base_signals(recent), ctx)

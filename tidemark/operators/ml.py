@@ -78,10 +78,10 @@ def raw_features(bars: DataFrame, size: int = 200, step: int = 20) -> DataFrame:
     own, w = returns(rows, *keys), list(keys)
     flow = microstructure.classify_volume(rows, *keys)
     side = F.when(F.col("divergence") == "bullish", 1).when(F.col("divergence") == "bearish", -1).otherwise(0)
-    vol = volatility.report(rows, *keys)
+    vol = volatility.report(rows, *keys, most=size)
     frames = fractal.timeframes(rows, *keys).groupBy(*keys).agg(F.avg("h").alias("_h"))
     parts = (
-        microstructure.vpin(flow, *keys).select(*keys, F.col("z").alias("_vpin")), microstructure.divergence(flow, *keys).select(*keys, (side * F.col("strength")).alias("_ofi")), microstructure.amihud(rows, *keys).select(*keys, F.col("illiq").alias("_illiq")),
+        microstructure.vpin(flow, *keys, most=size).select(*keys, F.col("z").alias("_vpin")), microstructure.divergence(flow, *keys).select(*keys, (side * F.col("strength")).alias("_ofi")), microstructure.amihud(rows, *keys).select(*keys, F.col("illiq").alias("_illiq")),
         vol.select(*keys, F.col("probability").alias("_hmm"), F.col("vol").alias("_garch"), F.col("jump_component").alias("_jump")),
         frames, fractal.curve_dimension(rows, *keys).select(*keys, F.col("dimension").alias("_dim")), own_flow(own, *keys).select(*keys, F.col("te").alias("_te")), order_entropy(own, *keys).select(*keys, F.col("pe").alias("_pe")), last_residual(rows, *keys).select(*keys, F.col("residual").alias("_res")),
     )
@@ -321,7 +321,7 @@ def report(bars: DataFrame, lookback: int = 2000) -> DataFrame:
     """One row per symbol: the ensemble and its validation on all features, and again on the stable ones if at least three are and some aren't."""
     bars = kept(tail(bars, lookback), "lookback")
     rows = kept(samples(raw_features(bars)), "samples")
-    regimes = kept(regime_weights(volatility.report(tail(bars, 500))), "regimes")
+    regimes = kept(regime_weights(volatility.report(tail(bars, 500), most=500)), "regimes")
     models = kept(specialists(rows), "specialists")
     shap = importance(models)
     stable = kept(shap.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "stable"))), lambda s: s["stable"]).alias("keep")), "stable")

@@ -119,6 +119,15 @@ def price_change(bars: DataFrame) -> DataFrame:
     return last.select("symbol", "time", "close", change.alias("change"), C.over(change * 100, F.coalesce("prev", F.lit(0.0))).alias("change_pct"))
 
 
+def market_data(bars: DataFrame, symbol: str, n: int = 100) -> DataFrame:
+    """The last n bars of a symbol (10 to 1000, whatever is asked) with change and change_pct of its last close; KeyError for a symbol without bars."""
+    mine = bars.where(F.col("symbol") == symbol)
+    if mine.limit(1).count() == 0:
+        raise KeyError(symbol)
+    n = max(10, min(1000, n))
+    return tail(mine, n).join(price_change(mine).select("symbol", "change", "change_pct"), "symbol")
+
+
 def downsample(bars: DataFrame, points: int = 300) -> DataFrame:
     """Every k-th bar of a symbol, k = max(1, floor(n / points))."""
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))

@@ -21,8 +21,8 @@ def log_pair(bars: DataFrame, pairs: list[tuple[str, str]], n: int | None = None
     return in_pair_order(tail(both, n, *PAIR)) if n else placed(both, *PAIR).withColumnRenamed("place", "rn")
 
 
-def kalman(pair: DataFrame, q: float = 1e-4, r: float = 1e-3, warmup: int = 30, size: int = FOLD, most: int | None = None) -> DataFrame:
-    """A row a pair: hedge ratio of y on x after the last bar, its variance, last innovation with mean, deviation and z, signal.
+def kalman(pair: DataFrame, q: float = 1e-4, r: float = 1e-3, warmup: int = 30, size: int = FOLD, most: int | None = None, entry: float = 2.0) -> DataFrame:
+    """A row a pair: hedge ratio of y on x after the last bar, its variance, last innovation with mean, deviation and z, signal (where z is beyond `entry`).
 
     Both series are demeaned; the ratio starts at the least-squares slope of the first `warmup` bars and then walks. Fewer than 40 bars
     give the slope alone. A pair is cut into blocks of `size` bars (by rn): a bar takes the variance p to (r p + r q) / (x^2 p + x^2 q + r), so a
@@ -59,7 +59,7 @@ def kalman(pair: DataFrame, q: float = 1e-4, r: float = 1e-3, warmup: int = 30,
     last = F.col("e")
     enough = F.col("n") >= 40
     z = F.when(enough, (last - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return k.select(*PAIR, F.when(enough, F.col("b")).otherwise(F.col("slope")).alias("hedge_ratio"), F.when(enough, F.col("p")).otherwise(0.0).alias("variance"), F.when(enough, last).otherwise(0.0).alias("residual"), z.alias("kalman_z"), F.when(z > 2, "short-residual").when(z < -2, "long-residual").otherwise("none").alias("kalman_signal"))
+    return k.select(*PAIR, F.when(enough, F.col("b")).otherwise(F.col("slope")).alias("hedge_ratio"), F.when(enough, F.col("p")).otherwise(0.0).alias("variance"), F.when(enough, last).otherwise(0.0).alias("residual"), z.alias("kalman_z"), F.when(z > entry, "short-residual").when(z < -entry, "long-residual").otherwise("none").alias("kalman_signal"))
 
 
 def _gain(p: Column, x: Column, q: float, r: float) -> tuple[Column, Column]:
@@ -100,7 +100,7 @@ def _with_ratio(blocks: DataFrame, q: float, r: float, most: int) -> DataFrame:
     return blocks.join(known, [*PAIR, "block"]).withColumn("b0", F.when(F.col("before").isNull(), F.col("b0")).otherwise(F.col("before.f") * F.col("b0") + F.col("before.g"))).drop("before")
 
 
-def ou(spread: DataFrame, max_holding: int = 48) -> DataFrame:
+def ou(spread: DataFrame, max_holding: int = 48, entry: float = 2.0, shortest: float = 1.0) -> DataFrame:
     """A row a pair from rows (x_symbol, y_symbol, rn, s): theta, mu, sigma, half_life, z of the last value, whether the half-life suits the holding, signal."""
     rows = spread.withColumn("p", F.lag("s").over(Window.partitionBy(*PAIR).orderBy("rn")))
     fit = rows.groupBy(*PAIR).agg(F.coalesce(F.regr_slope("s", "p"), F.lit(0.0)).alias("b"), F.coalesce(F.regr_intercept("s", "p"), F.avg("s")).alias("a"), F.count(F.lit(1)).alias("n"), F.avg("s").alias("m"), C.std0(F.col("s")).alias("sd"), F.max_by("s", "rn").alias("last"), F.regr_syy("s", "p").alias("syy"), F.regr_sxy("s", "p").alias("sxy"))
@@ -112,8 +112,8 @@ def ou(spread: DataFrame, max_holding: int = 48) -> DataFrame:
     mu = F.when(enough & (F.col("b") != 1), F.try_divide(F.col("a"), 1 - F.col("b"))).otherwise(F.col("m"))
     resid = F.greatest(F.sqrt(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1))), F.lit(1e-9))
     out = fit.select(*PAIR, theta.alias("theta"), mu.alias("mu"), F.when(enough, resid).otherwise(F.col("sd")).alias("sigma"), life.alias("half_life"), "last", enough.alias("_ok"))
-    out = out.withColumn("z", F.when(F.col("_ok"), (F.col("last") - F.col("mu")) / F.col("sigma")).otherwise(0.0)).withColumn("half_life_valid", F.col("_ok") & (F.col("theta") > 0) & (F.col("half_life") >= 1) & (F.col("half_life") <= max_holding))
-    return out.withColumn("signal", F.when(F.col("half_life_valid") & (F.col("z") > 2), "short-spread").when(F.col("half_life_valid") & (F.col("z") < -2), "long-spread").otherwise("none")).drop("_ok")
+    out = out.withColumn("z", F.when(F.col("_ok"), (F.col("last") - F.col("mu")) / F.col("sigma")).otherwise(0.0)).withColumn("half_life_valid", F.col("_ok") & (F.col("theta") > 0) & (F.col("half_life") >= shortest) & (F.col("half_life") <= max_holding))
+    return out.withColumn("signal", F.when(F.col("half_life_valid") & (F.col("z") > entry), "short-spread").when(F.col("half_life_valid") & (F.col("z") < -entry), "long-spread").otherwise("none")).drop("_ok")
 
 
 def cointegration(pair: DataFrame) -> DataFrame:
@@ -129,14 +129,14 @@ def cointegration(pair: DataFrame) -> DataFrame:
     return out.select(*PAIR, "alpha", "beta", F.coalesce("t", F.lit(0.0)).alias("t"), F.greatest(F.lit(0.0), F.coalesce(-F.col("t") * 3, F.lit(0.0))).alias("trace"), F.coalesce(C.normal_cdf(F.col("t")), F.lit(1.0)).alias("p"), F.coalesce((-F.col("t") * 3 > 12.25) & (F.col("t") < -2.86), F.lit(False)).alias("cointegrated"))
 
 
-def report(bars: DataFrame, pairs: list[tuple[str, str]], n: int = 500, max_holding: int = 48) -> DataFrame:
+def report(bars: DataFrame, pairs: list[tuple[str, str]], n: int = 500, max_holding: int = 48, entry: float = 2.0, shortest: float = 1.0) -> DataFrame:
     """A row a pair: hedge ratio, spread fit, cointegration, the signal that spread and residual agree on, and whether it may trade.
 
     The spread takes the intercept of the least-squares line and the Kalman ratio.
     """
     pair, key = log_pair(bars, pairs, n), list(PAIR)
-    params = kalman(pair, most=n).join(cointegration(pair), key)
+    params = kalman(pair, most=n, entry=entry).join(cointegration(pair), key)
     spread = pair.join(params.select(*key, "alpha", "hedge_ratio"), key).select(*key, "rn", (F.col("y") - (F.col("alpha") + F.col("hedge_ratio") * F.col("x"))).alias("s"))
-    out = params.join(ou(spread, max_holding), key)
+    out = params.join(ou(spread, max_holding, entry, shortest), key)
     agree = (F.col("signal") != "none") & (F.col("kalman_signal") != "none") & ((F.col("signal") == "long-spread") == (F.col("kalman_signal") == "long-residual"))
     return out.withColumn("composite", F.when(agree, F.col("signal")).otherwise("none")).withColumn("gate", F.when(F.col("half_life_valid") & F.col("cointegrated"), "open").otherwise("closed")).withColumnRenamed("p", "p_value")

@@ -167,7 +167,7 @@ QUERIES: dict[str, Query] = {
     "ofi_divergence": daily(lambda b: microstructure.divergence(microstructure.classify_volume(b))),
     "volume_buckets": daily(lambda b: microstructure.volume_buckets(microstructure.classify_volume(b)).withColumn("bucket", F.col("bucket").cast("long")), "symbol", "bucket", "time", "buy", "sell", "vol"),
     "vpin": daily(lambda b: microstructure.vpin(microstructure.classify_volume(b)), z=4),
-    "toxicity": daily(lambda b: microstructure.report(b, most=500), "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", digits=5, keep=True, tail=500),
+    "toxicity": daily(lambda b: microstructure.report(b, most=500), "symbol", "toxicity", "toxicity_label", "liquidity", "liquidity_label", "vpin_z", "vpin_toxic", "kyle_z", "kyle_trend", "amihud_percentile", "flow_divergence", "interpretation", digits=5, keep=True, tail=500, vpin_z=4, kyle_z=4),
     "hurst_rs": daily(lambda b: fractal.rescaled_range(B.returns(b))),
     "hurst_dfa": daily(lambda b: fractal.detrended(B.returns(b))),
     "mfdfa_spectrum": daily(lambda b: fractal.spectrum(B.returns(b)), keep=True),
@@ -214,8 +214,12 @@ QUERIES: dict[str, Query] = {
     "ml_report": daily(ml.report, tail=2000, keep=True),
     "dispatch_context": daily(live.context, tail=500, keep=True),
     "live_base": daily(live.base_signals, "strategy", "symbol", "time", "direction", "confidence", tail=500, keep=True, digits=4),
-    "te_injection": daily(lambda b: live.te_signals(information.cross_edge(pair_of(b))), "symbol", "direction", "confidence", tail=500, keep=True, digits=4),
-    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, AR)), "symbol", "direction", "confidence", tail=500, pairs=AR, keep=True, digits=4),
+    "te_injection": daily(lambda b: live.te_signals(information.cross_edge(information.paired(B.returns(b), PAIRS))), "symbol", "direction", "confidence", tail=500, keep=True, digits=4),
+    "statarb_injection": daily(lambda b: live.statarb_signals(statarb.report(b, AR, entry=0.5, shortest=0.05)), "symbol", "direction", "confidence", tail=500, pairs=AR, keep=True, digits=4),
+    "signal_report": daily(lambda b: live.signal_report(live.live_signals(b, "A", "R", with_model=False)), tail=500, keep=True),
+    "market_data": daily(lambda b: rolling.market_data(b, "A", 5000), tail=1000, keep=True),
+    "declared_signals": daily(lambda b: declared.signals(live.live_signals(b, "A", "R", with_model=False)).drop("created_at"), tail=500, keep=True, digits=4),
+    "declared_runs": daily(lambda b: declared.runs(backtest.suite(b, CFG), b).drop("created_at"), keep=True),
     "live_signals": daily(lambda b: live.live_signals(b, "A", "R"), tail=2000, keep=True),
     "declared_trades": daily(lambda b: declared.trades(backtest.ledger(b, None, CFG)).drop("created_at"), keep=True),
     "symbol_config": lambda s, d: B.symbol_config(s),

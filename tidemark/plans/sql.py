@@ -103,12 +103,17 @@ VPIN = """vp AS (SELECT symbol, bucket, sum(abs(buy - sell)) OVER w / sum(vol) O
 SQL["vpin"] = f"WITH RECURSIVE {BARS}, {FLOW}, {BUCKETS}, {VPIN} SELECT symbol, round(value, 6) AS vpin, {r6('mean', 'std')}, round((value - mean) / std, 4) AS z, (value - mean) / std > 2 AS toxic FROM {latest('vp', 'vpin', 'bucket', 100)}"
 AM = "am AS (SELECT symbol, time, abs(close / prev - 1) / greatest(volume, 1) AS illiq FROM b WHERE prev IS NOT NULL)"
 CL = "greatest(0, least(1, ({} + 2) / 4))"
-SQL["toxicity"] = f"""WITH RECURSIVE {TAIL}, {FLOW}, {BUCKETS}, {VPIN}, {KYLE}, {OFI}, {AM},
-t AS (SELECT v.symbol, 0.35::DOUBLE * {CL.format('(v.value - v.mean) / v.std')} + 0.25::DOUBLE * {CL.format('(k.value - k.mean) / k.std')} + 0.2::DOUBLE * a.percentile + 0.2::DOUBLE * o.strength AS tox,
-  0.6::DOUBLE * (1 - a.percentile) + 0.4::DOUBLE * (1 - {CL.format('(k.value - k.mean) / k.std')}) AS liq
-  FROM {latest('vp', 'vpin', 'bucket', 100)} v JOIN {latest('kyle', 'impact', 'time', 50)} k USING (symbol) JOIN {latest('am', 'illiq', 'time', 100)} a USING (symbol) JOIN ofi o USING (symbol))
-SELECT symbol, round(tox, 5) AS toxicity, CASE WHEN tox > 0.75 THEN 'extreme' WHEN tox > 0.6 THEN 'toxic' WHEN tox > 0.4 THEN 'elevated' ELSE 'calm' END AS toxicity_label,
-  round(liq, 5) AS liquidity, CASE WHEN liq > 0.66 THEN 'deep' WHEN liq > 0.33 THEN 'normal' ELSE 'thin' END AS liquidity_label FROM t"""
+TOXIC = f"""{TAIL}, {FLOW}, {BUCKETS}, {VPIN}, {KYLE}, {OFI}, {AM},
+t AS (SELECT v.symbol, (v.value - v.mean) / v.std AS vz, (k.value - k.mean) / k.std AS kz, {TREND.replace('h1', 'k.h1').replace('h2', 'k.h2')} AS trend, a.percentile AS ap, o.divergence AS dv, o.strength AS os
+  FROM {latest('vp', 'vpin', 'bucket', 100)} v JOIN {latest('kyle', 'impact', 'time', 50)} k USING (symbol) JOIN {latest('am', 'illiq', 'time', 100)} a USING (symbol) JOIN ofi o USING (symbol)),
+u AS (SELECT *, 0.35::DOUBLE * {CL.format('vz')} + 0.25::DOUBLE * {CL.format('kz')} + 0.2::DOUBLE * ap + 0.2::DOUBLE * os AS tox, 0.6::DOUBLE * (1 - ap) + 0.4::DOUBLE * (1 - {CL.format('kz')}) AS liq FROM t),
+l AS (SELECT *, CASE WHEN tox > 0.75 THEN 'extreme' WHEN tox > 0.6 THEN 'toxic' WHEN tox > 0.4 THEN 'elevated' ELSE 'calm' END AS tl, CASE WHEN liq > 0.66 THEN 'deep' WHEN liq > 0.33 THEN 'normal' ELSE 'thin' END AS ll,
+  concat_ws('; ', CASE WHEN vz > 2 THEN 'one-sided volume ' || printf('%.2f', vz) || ' deviations above its norm' END,
+    CASE trend WHEN 'rising' THEN 'each unit of flow moves the price more than before' WHEN 'falling' THEN 'each unit of flow moves the price less than before' END,
+    CASE WHEN ap > 0.8 THEN 'less liquid than in ' || printf('%.0f', ap * 100) || ' of 100 recent bars' END,
+    CASE dv WHEN 'bearish' THEN 'sellers behind a rising price' WHEN 'bullish' THEN 'buyers behind a falling price' END) AS said FROM u)"""
+SQL["toxicity"] = f"""WITH RECURSIVE {TOXIC} SELECT symbol, round(tox, 5) AS toxicity, tl AS toxicity_label, round(liq, 5) AS liquidity, ll AS liquidity_label, round(vz, 4) AS vpin_z, vz > 2 AS vpin_toxic, round(kz, 4) AS kyle_z, trend AS kyle_trend, round(ap, 5) AS amihud_percentile, dv AS flow_divergence,
+  CASE WHEN said = '' THEN 'nothing unusual: toxicity ' || tl || ', liquidity ' || ll ELSE said END AS interpretation FROM l"""
 TAUS = "SELECT unnest([{}]) AS tau"
 
 
@@ -273,8 +278,10 @@ SELECT symbol, split, count(*) FILTER (rn < split) AS train, count(*) FILTER (rn
 
 DECIDED = " UNION ALL ".join(f"(SELECT '{code}' AS strategy, symbol, time, action, strength FROM ({SQL[name]}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1)" for code, name in (("zscore-mr", "zscore_mr_signal"), ("decay-mom", "decay_mom_signal"), ("vol-breakout", "vol_breakout_signal"), ("carry-proxy", "carry_signal")))
 SQL["live_base"] = f"SELECT strategy, symbol, time, CASE action WHEN 'enter-long' THEN 'long' WHEN 'enter-short' THEN 'short' ELSE 'flat' END AS direction, round(strength, 4) AS confidence FROM ({DECIDED})"
-SQL["te_injection"] = f"SELECT target AS symbol, edge AS direction, round(least(1, greatest(0.5, (z - 1) / 3)), 4) AS confidence FROM ({SQL['cross_asset_edge']}) WHERE edge <> 'none'"
-SQL["statarb_injection"] = f"SELECT CASE WHEN composite = 'long-spread' THEN 'R' ELSE 'A' END AS symbol, CASE WHEN composite = 'long-spread' THEN 'long' ELSE 'short' END AS direction, round(least(1, greatest(0.5, (abs(z) - 1) / 3)), 4) AS confidence FROM ({SQL['statarb_gate']}) WHERE composite <> 'none' AND gate = 'open'"
+SQL["te_injection"] = f"SELECT CASE leader WHEN 'x' THEN y_symbol ELSE x_symbol END AS symbol, edge AS direction, round(least(1, greatest(0.5, (z - 1) / 3)), 4) AS confidence FROM ({SQL['pair_information']}) WHERE edge <> 'none'"
+SQL["statarb_injection"] = f"SELECT CASE WHEN z < 0 THEN 'R' ELSE 'A' END AS symbol, CASE WHEN z < 0 THEN 'long' ELSE 'short' END AS direction, round(least(1, greatest(0.5, (abs(z) - 1) / 3)), 4) AS confidence FROM ({SQL['statarb_gate']}) WHERE half_life BETWEEN 0.05 AND 48 AND cointegrated AND abs(z) > 0.5 AND abs(kalman_z) > 0.5 AND sign(z) = sign(kalman_z)"
+SQL["market_data"] = f"""WITH {BARS}, m AS (SELECT * FROM bars WHERE symbol = 'A' QUALIFY row_number() OVER (ORDER BY time DESC) <= 1000), c AS (SELECT close, prev FROM b WHERE symbol = 'A' ORDER BY time DESC LIMIT 1)
+SELECT symbol, time, {', '.join(f'round(m.{c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))}, round(c.close - c.prev, 6) AS change, round((c.close - c.prev) * 100 / c.prev, 6) AS change_pct FROM m, c"""
 SQL["stream_bars_hourly"] = SQL["bars_hourly"]
 SQL["trade_stats"] = f"""WITH {BARS}, t AS (SELECT symbol, close - prev AS pnl, (close - prev) / 100000 AS r FROM b WHERE prev IS NOT NULL),
 g AS (SELECT symbol, count(*) AS trades, avg(r) / stddev_samp(r) * sqrt(1638) AS sharpe, avg(r) / sqrt(avg(r * r) FILTER (r < 0)) * sqrt(1638) AS sortino, avg(CASE WHEN pnl > 0 THEN 1::DOUBLE ELSE 0 END) AS hit_rate, sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl <= 0)) AS profit_factor,
