@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, fractal, information, live, microstructure, ml, rolling, statarb, strategies, volatility
 from ..sources import bars as B
-from ..sources import declared, generator
-from ..sources.tables import kept
+from ..sources import declared, generator, supplied
+from ..sources.tables import kept, shared_folder
 from ..streaming.bars import bars_table
+from ..streaming.signals import scores_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +123,22 @@ def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars_table(spark, sf_dir, f"stream-{uuid.uuid4().hex}", pattern="events.parquet"))
 
 
+def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    rows = scores_table(spark, sf_dir, f"stream-{uuid.uuid4().hex}", pattern="events.parquet")
+    return rounded(rows.withColumn("time", F.col("time").cast("timestamp_ntz")), mean=9)
+
+
+def from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol's last 500 bars through the pluggable source: daily bars laid out by symbol and year, of which only the last years are opened."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    supplied.save_bars(B.daily_bars(spark, sf_dir), path)
+    return rounded(B.tail(supplied.supplied_bars(spark, path, 500).where(F.col("symbol") == "R"), 500))
+
+
 def strategy_suite(bars: DataFrame) -> DataFrame:
     """The catalogue with each strategy's figures by symbol."""
     names = strategies.catalogue(bars.sparkSession)
@@ -202,6 +219,8 @@ QUERIES: dict[str, Query] = {
     "regime_matrix": lambda s, d: B.transition_matrix(s),
     "regime_distribution": lambda s, d: backtest.regime_counts(generated(s)),
     "stream_bars_hourly": hourly_stream,
+    "stream_zscores": scored_stream,
+    "bars_from_source": from_source,
     "trade_stats": daily(each_bar_a_trade, expectancy=9, avg_win=9, avg_loss=9),
     "strategy_suite": daily(strategy_suite, keep=True),
     "backtest_report": daily(backtest_report, keep=True),

@@ -283,6 +283,10 @@ SQL["statarb_injection"] = f"SELECT CASE WHEN z < 0 THEN 'R' ELSE 'A' END AS sym
 SQL["market_data"] = f"""WITH {BARS}, m AS (SELECT * FROM bars WHERE symbol = 'A' QUALIFY row_number() OVER (ORDER BY time DESC) <= 1000), c AS (SELECT close, prev FROM b WHERE symbol = 'A' ORDER BY time DESC LIMIT 1)
 SELECT symbol, time, {', '.join(f'round(m.{c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))}, round(c.close - c.prev, 6) AS change, round((c.close - c.prev) * 100 / c.prev, 6) AS change_pct FROM m, c"""
 SQL["stream_bars_hourly"] = SQL["bars_hourly"]
+SQL["bars_from_source"] = f"WITH {BARS} SELECT symbol, time, {r6('open', 'high', 'low', 'close', 'volume')} FROM bars WHERE symbol = 'R' QUALIFY row_number() OVER (ORDER BY time DESC) <= 500"
+SQL["stream_zscores"] = """WITH e AS (SELECT event_type AS symbol, ts AS time, event_id, value AS price, count(*) OVER w AS held, avg(value) OVER w AS mean, coalesce(stddev_samp(value) OVER w, 0) AS std FROM events WHERE value > 0
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 47 PRECEDING)), z AS (SELECT *, CASE WHEN std = 0 THEN 0 ELSE (price - mean) / std END AS z FROM e)
+SELECT symbol, time, event_id, round(price, 6) AS price, held::INT AS held, round(mean, 9) AS mean, round(std, 6) AS std, round(z, 6) AS z, CASE WHEN z > 1.8 THEN 'short' WHEN z < -1.8 THEN 'long' ELSE 'none' END AS signal FROM z"""
 SQL["trade_stats"] = f"""WITH {BARS}, t AS (SELECT symbol, close - prev AS pnl, (close - prev) / 100000 AS r FROM b WHERE prev IS NOT NULL),
 g AS (SELECT symbol, count(*) AS trades, avg(r) / stddev_samp(r) * sqrt(1638) AS sharpe, avg(r) / sqrt(avg(r * r) FILTER (r < 0)) * sqrt(1638) AS sortino, avg(CASE WHEN pnl > 0 THEN 1::DOUBLE ELSE 0 END) AS hit_rate, sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl <= 0)) AS profit_factor,
   avg(r) * sqrt(count(*)) / stddev_samp(r) AS t, avg(r) AS expectancy, avg(r) FILTER (pnl > 0) AS avg_win, avg(r) FILTER (pnl <= 0) AS avg_loss FROM t GROUP BY 1)
