@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..sources.tables import shared_folder
 from .bars import event_stream
 
+# the driver's own worker, which starts a stateful stream, hasn't the package on its path: what this module defines goes along by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SCORED = "symbol string, time timestamp, event_id long, price double, held int, mean double, std double, z double, signal string"
