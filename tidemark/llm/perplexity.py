@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
@@ -266,7 +267,7 @@ def perplexities(docs: DataFrame, fitted: DataFrame, shards: int = 64, chunk: in
     return keyed_stream(texts.unionByName(answers), "key").mapInArrow(_score_rows(shards), "row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, shards: int = 64) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, shards: int = 64) -> DataFrame:
     """row (row_key()), doc_id, lang, n_bytes, perplexity, threshold, kept for every row of docs, judged by its language's threshold.
 
     The model is fitted on all trusted rows of four folds in five, so it grows with the corpus; thresholds come from the fifth, whose texts
@@ -284,6 +285,23 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, shards
     return judged.withColumn("kept", F.coalesce((F.col("n_bytes") == 0) | (F.col("perplexity") <= F.col("threshold")), F.lit(True)))
 
 
+def error_rates(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, ...] = (0.95, 0.98, 0.99, 0.995, 0.998), shards: int = 64) -> DataFrame:
+    """quantile, good_kept, bad_kept: what each quantile would keep of trusted rows that neither model nor threshold has seen, and of rows labelled bad.
+
+    As classify(), but half of the held-out fold (by a hash) sets the thresholds and the other half is judged. Rows of a language without threshold count as kept.
+    """
+    known = materialise(trusted(labels), "trusted")
+    scores = materialise(perplexities(docs, known.where("fold < 4"), shards).where("n_bytes > 0"), "scores")
+    bad = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 0").select("doc_id")
+    held = known.where("fold = 4").select("doc_id", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == 0).alias("sets"))
+    rows = scores.join(held, "doc_id").select("lang", "perplexity", "sets", F.lit(True).alias("good"))
+    cuts = rows.where("sets").groupBy("lang").agg(F.percentile_approx("perplexity", F.array(*map(F.lit, quantiles)), F.lit(100_000)).alias("cuts")).select(F.col("lang").alias("_lang"), "cuts")
+    judged = rows.where("not sets").drop("sets").unionByName(scores.join(bad, "doc_id", "left_semi").select("lang", "perplexity", F.lit(False).alias("good")))
+    each = judged.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("good", "perplexity", F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.coalesce("cuts", F.array(*[F.lit(math.inf)] * len(quantiles))).alias("cut"))).alias("c"))
+    share = lambda good: F.avg(F.when(F.col("good") == good, (F.col("perplexity") <= F.col("c.cut")).cast("double")))
+    return each.groupBy(F.col("c.quantile").alias("quantile")).agg(share(True).alias("good_kept"), share(False).alias("bad_kept"))
+
+
 def op4_kneser_ney(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")
 
