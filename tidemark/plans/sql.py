@@ -143,6 +143,30 @@ hig AS (SELECT symbol, greatest(1, least(2, regr_slope(ln(l), ln(1 / k::DOUBLE))
 SQL["higuchi"] = f"WITH {BARS}, {HIG} SELECT symbol, round(dimension, 6) AS dimension, round(r2, 6) AS r2, CASE WHEN dimension < 1.4 THEN 'high' WHEN dimension > 1.7 THEN 'low' ELSE 'medium' END AS quality FROM hig"
 
 
+def exponent(points: str, y: str, keys: str = "symbol", name: str = "h") -> str:
+    """fit() before it is rounded."""
+    return f"SELECT {keys}, greatest(0, least(1, regr_slope(ln({y}), ln(tau)))) AS {name} FROM {points} GROUP BY {keys}"
+
+
+# a timeframe's series is a symbol of its own here, so the parts above serve it
+FRAMES = f"""fr AS (SELECT symbol || '|' || tf AS symbol, min(time) AS time, last(close ORDER BY time) AS close FROM b, (VALUES ('1H', 1), ('4H', 4), ('1D', 24)) f(tf, factor) GROUP BY b.symbol, tf, rn // factor),
+fp AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS prev FROM fr),
+fx AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS rn, ln(close / prev) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM fp WHERE prev IS NOT NULL QUALIFY n >= 32),
+hr AS (WITH rets AS (SELECT * FROM fx), {RS} {exponent('pts', 'f', name='rs')}), hd AS (WITH rets AS (SELECT * FROM fx), {PROFILE}, pts AS (SELECT symbol, tau, avg(sqrt(f2)) AS f FROM f2 GROUP BY 1, 2) {exponent('pts', 'f', name='dfa')}),
+frames AS (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS timeframe, list_position(['1H', '4H', '1D'], split_part(symbol, '|', 2)) - 1 AS place, rs, dfa, (rs + dfa) / 2 AS h FROM hr JOIN hd USING (symbol))"""
+SQL["timeframe_hurst"] = f"""WITH {TAIL}, {FRAMES} SELECT symbol, timeframe, place::INT AS place, {r6('rs', 'dfa', 'h')}, CASE WHEN h > 0.55 THEN 'persistent' WHEN h < 0.45 THEN 'anti-persistent' ELSE 'random-walk' END AS regime,
+  round(abs(h - first(h) OVER (PARTITION BY symbol ORDER BY place)), 6) AS dislocation FROM frames"""
+SQL["fractal_gate"] = f"""WITH {TAIL}, {FRAMES}, {HIG}, sq AS (WITH {MF} {exponent('pts', 'f', 'symbol, q')}),
+cx AS (SELECT symbol, max(h) - min(h) AS delta_h, max(h) FILTER (q = 2) AS h2 FROM sq GROUP BY 1), mh AS (SELECT symbol, avg(h) AS mean_h FROM frames GROUP BY 1), lt AS (SELECT symbol, max(time) AS time FROM bars GROUP BY 1),
+wd AS (SELECT a.symbol, abs(a.h - c.h) AS far, a.timeframe || ' vs ' || c.timeframe AS label FROM frames a JOIN frames c ON a.symbol = c.symbol AND a.place < c.place QUALIFY row_number() OVER (PARTITION BY a.symbol ORDER BY far DESC, a.place, c.place) = 1),
+ga AS (SELECT symbol, time, mean_h, coalesce(far, 0) AS far, CASE WHEN far > 0 THEN label ELSE '-' END AS label, delta_h, h2, CASE WHEN delta_h < 0.15 THEN 'simple' WHEN delta_h > 0.4 THEN 'complex' ELSE 'moderate' END AS complexity, dimension,
+  CASE WHEN dimension < 1.4 THEN 'high' WHEN dimension > 1.7 THEN 'low' ELSE 'medium' END AS quality, CASE WHEN mean_h > 0.55 THEN 'momentum' WHEN mean_h < 0.45 THEN 'mean-reversion' ELSE 'reduce-exposure' END AS dispatch
+  FROM lt JOIN mh USING (symbol) JOIN cx USING (symbol) JOIN hig USING (symbol) LEFT JOIN wd USING (symbol)),
+gb AS (SELECT *, CASE WHEN dispatch = 'reduce-exposure' THEN 'closed' WHEN quality = 'medium' THEN 'caution' WHEN (mean_h > 0.55 AND dimension < 1.4) OR (mean_h < 0.45 AND dimension > 1.7) THEN 'open' ELSE 'closed' END AS plain FROM ga)
+SELECT symbol, time, round(mean_h, 6) AS mean_h, round(far, 6) AS max_dislocation, label AS dislocated, {r6('delta_h', 'h2')}, complexity, {r6('dimension')}, quality, dispatch,
+  CASE WHEN delta_h > 0.5 THEN 'closed' WHEN delta_h > 0.4 AND plain = 'open' THEN 'caution' ELSE plain END AS gate FROM gb"""
+
+
 def pair(x: str, y: str, table: str = "rets", value: str = "r") -> str:
     return f"pr AS (SELECT a.time, a.{value} AS x, c.{value} AS y, row_number() OVER (ORDER BY a.time) - 1 AS rn, count(*) OVER () AS n FROM {table} a JOIN {table} c ON a.time = c.time AND a.symbol = '{x}' AND c.symbol = '{y}')"
 
