@@ -215,6 +215,21 @@ def test_stream_scores_go_on(spark, tmp_path):
         signals.scores_table(spark, str(tmp_path), "idle", idle_ms=1000)
 
 
+def test_streams_by_interval(spark, tmp_path):
+    """A stream that looks for files again and again ends after its seconds, with what came; silent symbols may be forgotten."""
+    from tidemark.streaming import bars as stream
+    from tidemark.streaming import signals
+
+    events = [(i, START + timedelta(minutes=i), 1, "x", float(i + 1), "{}") for i in range(50)]
+    spark.createDataFrame(events, stream.EVENT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for p in (tmp_path / "in").glob("*.parquet"):
+        p.rename(tmp_path / "events0.parquet")
+    rows = stream.bars_table(spark, str(tmp_path), f"bars-{tmp_path.name}", interval="1 second", seconds=4).collect()
+    assert [(r["open"], r["close"]) for r in rows] == [(1.0, 50.0)]
+    rows = signals.scores_table(spark, str(tmp_path), f"idle-{tmp_path.name}", n=5, idle_ms=3_600_000, interval="1 second", seconds=4).collect()
+    assert sorted(r["event_id"] for r in rows) == list(range(50))
+
+
 def test_supplied_bars_read_what_they_need(spark, bars, tmp_path):
     from tidemark.sources import supplied
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources.tables import shared_folder
 
@@ -27,9 +28,23 @@ def stream_bars(events: DataFrame, unit: str = "1 hour", late: str = "2 hours")
     return bars.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "volume")
 
 
-def bars_table(spark: SparkSession, folder: str, name: str, unit: str = "1 hour", late: str = "2 hours", pattern: str = "events*.parquet", files_per_batch: int = 8) -> DataFrame:
+def run_stream(writer: DataStreamWriter, interval: str | None, seconds: float | None) -> None:
+    """Start a stream: over what has arrived, or every `interval` for `seconds` and one batch at least (or until it is stopped from elsewhere)."""
+    query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    if interval and seconds:
+        query.awaitTermination(seconds)
+        while query.isActive and query.lastProgress is None:
+            query.awaitTermination(1)
+        query.stop()
+    else:
+        query.awaitTermination()
+
+
+def bars_table(spark: SparkSession, folder: str, name: str, unit: str = "1 hour", late: str = "2 hours", pattern: str = "events*.parquet", files_per_batch: int = 8, interval: str | None = None, seconds: float | None = None) -> DataFrame:
     """Run the stream over what has arrived, from where the query `name` stopped last, and read the bars: the newest version of each.
 
+    With an `interval` ('15 seconds') it looks for new files that often, for `seconds` or until stopped.
+
     Each micro-batch writes the windows it changed to its own folder, so a batch that runs twice leaves one version.
     """
     root = f"{shared_folder(spark)}/{name}"
@@ -37,8 +52,8 @@ def bars_table(spark: SparkSession, folder: str, name: str, unit: str = "1 hour"
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/bars/batch={number}")
 
-    query = stream_bars(event_stream(spark, folder, pattern, files_per_batch), unit, late).writeStream.outputMode("update").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    query = stream_bars(event_stream(spark, folder, pattern, files_per_batch), unit, late).writeStream.outputMode("update").option("checkpointLocation", f"{root}/progress").foreachBatch(write)
+    run_stream(query, interval, seconds)
     versions = spark.read.parquet(f"{root}/bars")
     columns = ["open", "high", "low", "close", "volume"]
     return versions.groupBy("symbol", "time").agg(F.max_by(F.struct(*columns), "batch").alias("b")).select("symbol", "time", "b.*")

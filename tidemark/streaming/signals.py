@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.tables import shared_folder
-from .bars import event_stream
+from .bars import event_stream, run_stream
 
 # the driver's own worker, which starts a stateful stream, hasn't the package on its path: what this module defines goes along by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -85,12 +85,7 @@ def scores_table(spark: SparkSession, folder: str, name: str, n: int = 48, entry
     spark.conf.set(PROVIDER, ROCKS)
     try:
         writer = stream_scores(event_stream(spark, folder, pattern, files_per_batch), n, entry, idle_ms).writeStream.outputMode("append").option("checkpointLocation", f"{root}/progress").foreachBatch(write)
-        query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+        run_stream(writer, interval, seconds)
     finally:
         spark.conf.set(PROVIDER, before)
-    if interval:
-        query.awaitTermination(seconds) if seconds else query.awaitTermination()
-        query.stop()
-    else:
-        query.awaitTermination()
     return spark.read.schema(f"{SCORED}, batch int").parquet(f"{root}/scores").drop("batch")
