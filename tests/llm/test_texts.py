@@ -66,6 +66,18 @@ def test_op1_small_groups_and_batches(spark, tmp_path):
     assert look() == look(chars_per_group=600, chunk=2000) == look(chars_per_group=600, chunk=2000, most_groups=3)
 
 
+def test_op1_plan_counts_every_row(spark):
+    """A prefix of 600 suffixes is above the limit of 512 only if none of its rows is left out, whatever the corpus' size (400 million characters here)."""
+    import numpy as np
+
+    blank = spark.range(0, 20, 1, 20).selectExpr("id AS doc_id", "repeat(' ', 20000000 + int(id % 2)) AS text")
+    rows = spark.range(100, 700, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', 'frequent', transform(sequence(1, 12), i -> concat('w', id * 20 + i))) AS text")
+    plan = substring_dedup.make_plan(blank.union(rows), 13, 1_500_000, 4_000_000, most_groups=1)
+    word = substring_dedup.Words([b"frequent"])
+    slot = int(word.prefix(np.zeros(1, np.int64), 1)[0] % np.uint64(substring_dedup.SLOTS))
+    assert plan.hot[1].tolist() == [slot]
+
+
 def test_op1_long_words_of_two_letters(spark, tmp_path):
     """Words on which polynomial hashes modulo a power of two agree, and words beyond the table's length."""
     thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))

@@ -142,13 +142,12 @@ def _count_rows(window: int, chunk: int) -> Callable[[Iterable[pa.RecordBatch]],
     return run
 
 
-def make_plan(docs: DataFrame, window: int, chars_per_group: int, chunk: int, most_groups: int = MOST_GROUPS, sample_chars: int = 200_000_000) -> Plan:
-    """Prefixes are counted on a seeded sample of rows of about `sample_chars` characters: the plan decides where suffixes go, never what is found."""
+def make_plan(docs: DataFrame, window: int, chars_per_group: int, chunk: int, most_groups: int = MOST_GROUPS) -> Plan:
+    """Prefixes are counted on all rows, in tables of SLOTS counts a task and length; the plan decides where suffixes go, never what is found."""
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     memory_sized = max(1, -(-chars // chars_per_group))
     groups = min(most_groups, memory_sized)
-    sampled = docs.select("text").sample(min(1.0, sample_chars / max(chars, 1)), seed=1)
-    counts = sampled.mapInArrow(_count_rows(window, chunk), "length long, slot long, n long").groupBy("length", "slot").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_count_rows(window, chunk), "length long, slot long, n long").groupBy("length", "slot").agg(F.sum("n").alias("n"))
     hot: dict[int, list[int]] = {}
     rows = counts.collect()  # at most SLOTS rows a length
     total = sum(r["n"] for r in rows if r["length"] == LENGTHS[0])
