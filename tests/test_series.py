@@ -215,6 +215,29 @@ def test_stream_scores_go_on(spark, tmp_path):
         signals.scores_table(spark, str(tmp_path), "idle", idle_ms=1000)
 
 
+def test_stream_scores_in_blocks(spark, tmp_path):
+    """A micro-batch's rows of a symbol are dealt over blocks, and no Python process gets them; each batch goes on from the one before."""
+    from tidemark.streaming import signals
+    from tidemark.streaming.bars import EVENT
+
+    rng = random.Random(8)
+    events = [(i, START + timedelta(seconds=i), 1, "x" if i % 5 else "y", float(rng.randrange(1, 50)), "{}") for i in range(900)]
+    for k, part in enumerate((events[:500], events[500:])):
+        spark.createDataFrame(rng.sample(part, len(part)), EVENT).repartition(3).write.parquet(f"{tmp_path}/in{k}")
+        for i, p in enumerate((tmp_path / f"in{k}").glob("*.parquet")):
+            p.rename(tmp_path / f"events{k}-{i}.parquet")
+        found = {size: signals.scores_table(spark, str(tmp_path), f"blocks-{size}-{tmp_path.name}", n=7, size=size).collect() for size in (8, 65, 4096)}
+    for rows in found.values():
+        want = []
+        for s in "xy":
+            own = [e for e in events if e[3] == s]
+            for i, e in enumerate(own):
+                last = [v[4] for v in own[max(0, i - 6) : i + 1]]
+                sd = float(np.std(last, ddof=1)) if len(last) > 1 else 0.0
+                want.append((s, e[0], len(last), (e[4] - sum(last) / len(last)) / sd if sd else 0.0))
+        close_to([(r["symbol"], r["event_id"], r["held"], r["z"]) for r in rows], want)
+
+
 def test_streams_by_interval(spark, tmp_path):
     """A stream that looks for files again and again ends after its seconds, with what came; silent symbols may be forgotten."""
     from tidemark.streaming import bars as stream

@@ -41,10 +41,14 @@ def in_blocks(rows: DataFrame, f: Callable[..., DataFrame], halo: int, *keys: st
     """
     if halo >= size:
         raise ValueError("a block must be longer than what is looked back over")
-    keys = keys or ("symbol",)
+    return blocked(placed(rows, *keys), f, halo, *keys, size=size)
+
+
+def blocked(rows: DataFrame, f: Callable[..., DataFrame], halo: int, *keys: str, size: int = BLOCK) -> DataFrame:
+    """in_blocks() of rows that have their places."""
     own = F.floor(F.col("place") / size)
     to = F.when(F.col("place") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
-    out = f(placed(rows, *keys).withColumn("block", F.explode(to)), *keys, "block").where(F.col("place") >= F.col("block") * size)
+    out = f(rows.withColumn("block", F.explode(to)), *(keys or ("symbol",)), "block").where(F.col("place") >= F.col("block") * size)
     return (out.withColumn("rn", F.col("place")) if "rn" in out.columns else out).drop("block", "place", "n")
 
 

@@ -2,90 +2,60 @@
 
 from __future__ import annotations
 
-import math
-import sys
-from collections import deque
-from collections.abc import Iterator
+import time
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.series import BLOCK, blocked, placed
 from ..sources.tables import shared_folder
 from .bars import event_stream, run_stream
 
-# the driver's own worker, which starts a stateful stream, hasn't the package on its path: what this module defines goes along by value
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SCORED = "symbol string, time timestamp, event_id long, price double, held int, mean double, std double, z double, signal string"
+STATE = "symbol string, time timestamp, event_id long, price double, nth long, seen double"
 
 
-def scores(last: list[float], prices: list[float], n: int, entry: float) -> Iterator[tuple[int, float, float, float, str]]:
-    """(values held, mean, deviation, z, signal) at each price, the last n values being known; a z beyond `entry` is a signal against it."""
-    held = deque(last, maxlen=n)
-    for p in prices:
-        held.append(p)
-        k = len(held)
-        mean = math.fsum(held) / k
-        std = math.sqrt(math.fsum((v - mean) ** 2 for v in held) / (k - 1)) if k > 1 else 0.0
-        z = (p - mean) / std if std else 0.0
-        yield k, mean, std, z, "short" if z > entry else "long" if z < -entry else "none"
-
-
-class LastPrices(StatefulProcessor):
-    """Keeps the last n prices of each symbol as a list; a symbol that is silent for `idle_ms` is forgotten."""
+def scores(rows: DataFrame, n: int, entry: float, size: int) -> DataFrame:
+    """Rows with their places: each with mean, deviation, z and signal of the last n prices of its symbol; a z beyond `entry` is a signal against it."""
 
-    def __init__(self, n: int, entry: float, idle_ms: int | None):
-        self.n, self.entry, self.idle_ms = n, entry, idle_ms
+    def score(blocks: DataFrame, *keys: str) -> DataFrame:
+        last = Window.partitionBy(*keys).orderBy("place").rowsBetween(1 - n, 0)
+        out = blocks.withColumn("held", F.least(F.col("place") + 1, F.lit(n)).cast("int"))
+        out = out.withColumn("mean", F.avg("price").over(last)).withColumn("std", F.coalesce(F.stddev_samp("price").over(last), F.lit(0.0)))
+        return out.withColumn("z", F.when(F.col("std") == 0, 0.0).otherwise((F.col("price") - F.col("mean")) / F.col("std")))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.prices = handle.getListState("prices", "price double", ttlDurationMs=self.idle_ms)
+    signal = F.when(F.col("z") > entry, "short").when(F.col("z") < -entry, "long").otherwise("none")
+    return blocked(rows, score, n - 1, "symbol", size=max(size, n)).withColumn("signal", signal)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = [p for (p,) in self.prices.get()] if self.prices.exists() else []
-        new = pd.concat(list(rows)).sort_values(["time", "event_id"], ignore_index=True)
-        prices = new["price"].tolist()
-        held, mean, std, z, signal = zip(*scores(last, prices, self.n, self.entry))
-        self.prices.put([(p,) for p in (last + prices)[-self.n :]])
-        yield pd.DataFrame({"symbol": key[0], "time": new["time"], "event_id": new["event_id"], "price": prices, "held": list(held), "mean": mean, "std": std, "z": z, "signal": signal})[[c.split()[0] for c in SCORED.split(", ")]]
 
-    def close(self) -> None:
-        pass
+def scores_table(spark: SparkSession, folder: str, name: str, n: int = 48, entry: float = 1.8, idle_ms: int | None = None, interval: str | None = None, seconds: float | None = None, pattern: str = "events*.parquet", files_per_batch: int = 8, size: int = BLOCK) -> DataFrame:
+    """Run the stream of events (event_id, ts, event_type, value) from where the query `name` stopped last and read all its rows: each event with mean, deviation, z and signal of the last n values of its type.
 
-
-def stream_scores(events: DataFrame, n: int = 48, entry: float = 1.8, idle_ms: int | None = None) -> DataFrame:
-    """For a stream of events (event_id, ts, event_type, value): each one with mean, deviation, z and signal of the last n values of its type.
+    Without `interval` it takes what has arrived and ends; with one ('15 seconds') it looks for new files that often, for `seconds` or until stopped.
 
     Events of a micro-batch are put in order of ts and event_id; one that comes in a later batch than its successors stands after them. Values of zero have
-    no price. State is at most n numbers a type; with `idle_ms` that of a type that was silent so long goes, which needs a clock: such a stream never
-    runs out of batches, so it goes with an interval and not with what has arrived.
-    """
-    rows = events.where(F.col("value") > 0).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), "event_id", F.col("value").alias("price"))
-    return rows.groupBy("symbol").transformWithStateInPandas(LastPrices(n, entry, idle_ms), outputStructType=SCORED, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
-
-
-def scores_table(spark: SparkSession, folder: str, name: str, n: int = 48, entry: float = 1.8, idle_ms: int | None = None, interval: str | None = None, seconds: float | None = None, pattern: str = "events*.parquet", files_per_batch: int = 8) -> DataFrame:
-    """Run the stream from where the query `name` stopped last and read all its rows.
-
-    Without `interval` it takes what has arrived and ends; with one ('15 seconds') it looks for new files that often, for `seconds` or until stopped. A
-    micro-batch writes its rows to its own folder, so one that runs twice leaves one version. State and progress are in the shared folder.
+    no price. A micro-batch's rows follow the n last ones of each symbol that the batch before left, in blocks of `size` rows with n - 1 rows before each, so no task holds a symbol.
+    It writes its rows, and the n last ones of each symbol, to folders of its own, so a batch that runs twice leaves one version. With `idle_ms` a symbol
+    that was silent so long is forgotten. Rows, state and progress are in the shared folder.
     """
     if idle_ms and not interval:
         raise ValueError("idle_ms goes with an interval")
     root = f"{shared_folder(spark)}/{name}"
-    before = spark.conf.get(PROVIDER)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/scores/batch={number}")
-
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        writer = stream_scores(event_stream(spark, folder, pattern, files_per_batch), n, entry, idle_ms).writeStream.outputMode("append").option("checkpointLocation", f"{root}/progress").foreachBatch(write)
-        run_stream(writer, interval, seconds)
-    finally:
-        spark.conf.set(PROVIDER, before)
+        now = time.time()
+        at = lambda new, nth: F.struct(F.lit(new).alias("new"), nth.cast("long").alias("nth"), "time", "event_id").alias("at")
+        rows = batch.where(F.col("value") > 0).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), "event_id", F.col("value").alias("price"))
+        rows = rows.select("*", F.lit(now).alias("seen"), at(1, F.lit(0)))
+        if number:
+            state = batch.sparkSession.read.schema(STATE).parquet(f"{root}/state/batch={number - 1}")
+            state = state.where(F.col("seen") >= now - idle_ms / 1000) if idle_ms else state
+            rows = rows.unionByName(state.select("symbol", "time", "event_id", "price", "seen", at(0, F.col("nth"))))
+        table = placed(rows, order="at")
+        scores(table, n, entry, size).where("at.new = 1").select(*[c.split()[0] for c in SCORED.split(", ")]).write.mode("overwrite").parquet(f"{root}/scores/batch={number}")
+        last = table.where(F.col("place") >= F.col("n") - n)
+        last.select("symbol", "time", "event_id", "price", F.col("place").alias("nth"), F.max("seen").over(Window.partitionBy("symbol")).alias("seen")).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    writer = event_stream(spark, folder, pattern, files_per_batch).writeStream.outputMode("append").option("checkpointLocation", f"{root}/progress").foreachBatch(write)
+    run_stream(writer, interval, seconds)
     return spark.read.schema(f"{SCORED}, batch int").parquet(f"{root}/scores").drop("batch")
