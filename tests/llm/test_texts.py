@@ -218,6 +218,25 @@ def test_op6_encoder():
     assert not token_files.cuts_at_words(json.loads(tokenizer.to_str()))
 
 
+def test_op6_letters_alone():
+    """Words of letters, whatever their case and marks, never reach the tokenizer with all its rules, and have the library's ids beside words that do."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    tokenizer, path, seen = Tokenizer.from_file(token_files.model_path()), token_files.model_path(), []
+    rules = lambda texts, **o: seen.extend(texts) or tokenizer.encode_batch(texts, **o)
+    encode = token_files._word_encoder(tokenizer, rules, token_files.letters_alone(tokenizer))
+    rng = random.Random(9)
+    letters = ["".join(rng.choice("abcXYZéÉßÿÞøØ") for _ in range(rng.randrange(1, 14))) + rng.choice(["", ",", "!)", "'s"[:1]]) for _ in range(3000)]
+    other = ["7a", "a7", "×a", "e\u0301", "漢字", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "J\u030c", "a\u00a0b", "\u0130"]
+    words = [w.encode() for w in rng.sample(letters + other, 3000 + len(other))]
+    flat, lengths = encode(words)
+    want = [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert lengths.tolist() == list(map(len, want)) and flat.tolist() == [i for r in want for i in r]
+    assert not {w.rstrip(",!)'").lower() for w in letters} & set(seen) and set(other) <= set(seen)
+
+
 def test_op6_random_access(spark, tmp_path):
     import numpy as np
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import keyed_stream, materialise, ragged, shared_dir, text_chunks
-from .word_cache import WordCache
+from .word_cache import Numbers, WordCache
 
 MAGIC = b"DACF0001"
 BLOCK = 512  # bits a rank directory entry stands for
@@ -123,8 +123,8 @@ NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-#: a word of Latin-1 letters alone (in UTF-8), and the ASCII marks behind it
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: for each line: the letters and the ASCII marks behind them of a word of Latin-1 letters (in UTF-8, where no other character has bytes of these alone), or else the whole line
+PARTS = re.compile(rb"^(?:([A-Za-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]++)([!-/:-@\[-`{-~]*+)$|(.*))", re.MULTILINE)
 
 
 def cuts_at_words(spec: dict) -> bool:
@@ -132,7 +132,7 @@ def cuts_at_words(spec: dict) -> bool:
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     first = parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": CUTS} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
     rest = [p.get("type") for p in parts[1:]] == ["ByteLevel"] and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
-    # an added token must lie within one word, and in none that PLAIN takes apart
+    # an added token must lie within one word, and in none that PARTS takes apart
     added = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) and re.match(r"[!-/:-@\[-`{-~]+[A-Za-z]", t["content"]) for t in spec.get("added_tokens", []))
     model = spec.get("model", {})
     return bool(spec.get("normalizer") == NORMALIZER and first and rest and added and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout"))
@@ -166,44 +166,41 @@ def encoder(path: str) -> ByWords | WholeTexts:
 
     tokenizer = Tokenizer.from_file(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return ByWords(_word_encoder(tokenizer, batch)) if cuts_at_words(json.loads(tokenizer.to_str())) else WholeTexts(batch)
+    return ByWords(_word_encoder(tokenizer, batch, letters_alone(tokenizer))) if cuts_at_words(json.loads(tokenizer.to_str())) else WholeTexts(batch)
 
 
-def _word_encoder(tokenizer, batch: Callable) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+def letters_alone(tokenizer) -> Callable:
+    """Batches of words of lower-case Latin-1 letters through the tokenizer's model: they need neither its normaliser nor the cuts of CUTS."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    letters = Tokenizer(tokenizer.model)
+    letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return getattr(letters, "encode_batch_fast", letters.encode_batch)
+
+
+def _word_encoder(tokenizer, batch: Callable, of_letters: Callable) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(WORD_END)]] = True
 
-    def one_by_one(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return WholeTexts(batch).encode_texts(words)
-
     def in_lines(words: list[bytes], width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters, many to a call: each is one run of pieces, of which the last alone is marked as a word's end."""
-        flat, lengths = one_by_one([b" ".join(words[i : i + width]) for i in range(0, len(words), width)])
+        """Words of lower-case letters, many to a call: each is one run of pieces, of which the last alone is marked as a word's end."""
+        flat, _ = WholeTexts(of_letters).encode_texts([b" ".join(words[i : i + width]) for i in range(0, len(words), width)])
         ends = np.flatnonzero(last[flat]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
-            return one_by_one(words)
+            return WholeTexts(batch).encode_texts(words)
         return flat, np.diff(ends, prepend=0)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of white-space-free words. A word of letters and closing marks has the ids of its letters, then those of its marks, as the
         tokenizer cuts there anyway; letters are folded first, as it does itself. So fewer strings reach the library."""
-        plain: dict[bytes, int] = {}
-        odd: dict[bytes, int] = {b"": 0}  # no mark: no ids
-        cores, marks, is_plain, match = [], [], [], PLAIN.fullmatch
-        for w in words:
-            m = match(w)
-            if m is None:
-                cores.append(odd.setdefault(w, len(odd)))
-                marks.append(0)
-            else:
-                core, mark = m.groups()
-                core = core.lower() if core.isascii() else core.decode().lower().encode()
-                cores.append(plain.setdefault(core, len(plain)))
-                marks.append(odd.setdefault(mark, len(odd)) if mark else 0)
-            is_plain.append(m is not None)
-        flat, lengths = map(np.concatenate, zip(one_by_one(list(odd)), in_lines(list(plain))))
+        cores, marks, rest = zip(*PARTS.findall(b"\n".join(words)))
+        plain, odd = Numbers({b"": 0}), Numbers({b"": 0})  # no letters, no mark: no ids
+        core = np.fromiter(map(plain.__getitem__, b"\n".join(cores).decode().lower().encode().split(b"\n")), np.int64, len(words))
+        # a word that isn't plain has neither letters nor marks: of mark and rest one is empty
+        mark = np.fromiter(map(odd.__getitem__, map(bytes.__add__, marks, rest)), np.int64, len(words))
+        flat, lengths = map(np.concatenate, zip(WholeTexts(batch).encode_texts(list(odd)), in_lines(list(plain)[1:])))
         starts = np.cumsum(lengths) - lengths
-        parts = np.stack([np.array(cores, np.int64) + np.where(is_plain, len(odd), 0), np.array(marks, np.int64)], axis=1)
+        parts = np.stack([np.where(core, core + len(odd) - 1, 0), mark], axis=1)
         return ragged(flat, starts[parts].ravel(), lengths[parts].ravel()), lengths[parts].sum(axis=1)
 
     return encode

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, compress
+from itertools import chain, compress, islice
 
 import numpy as np
 
 from .shared import ragged
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordCache:
     """Maps words to id runs. encode_new(words) gives (flat ids, lengths). Beyond `cap` words the less used half goes (bounded memory)."""
 
     def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], cap: int = 500_000):
         self.encode_new, self.cap = encode_new, cap
-        self.index: dict = {}
+        self.index = Numbers()
         self.flat, self.starts, self.lengths, self.uses = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
 
@@ -28,32 +36,37 @@ class WordCache:
         starts, lengths, uses = (a[:n][keep] for a in (self.starts, self.lengths, self.uses))
         self.flat = ragged(self.flat, starts, lengths)
         self.used, self.starts, self.lengths, self.uses = len(self.flat), np.cumsum(lengths) - lengths, lengths, uses // 2
-        self.index = dict(zip(words, range(len(words))))
+        self.index = Numbers(zip(words, range(len(words))))
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
     def _add(self, words: list) -> None:
+        """Ids of words that the index has just numbered."""
         flat, lengths = self.encode_new(words)
-        n, m = len(self.index), len(words)
+        m = len(words)
+        n = len(self.index) - m
         self.flat, self.starts, self.lengths, self.uses = self._room(self.flat, self.used + len(flat)), *(self._room(a, n + m) for a in (self.starts, self.lengths, self.uses))
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + m] = lengths
         self.uses[n : n + m] = 0
         self.used += len(flat)
-        self.index.update(zip(words, range(n, n + m)))
 
     def encode(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all docs one after the other, number of ids of each doc) for docs given as lists of words."""
         if len(self.index) > self.cap:
             self._shrink()
         words = list(chain.from_iterable(docs))
-        index = self.index
-        if new := [w for w in dict.fromkeys(words) if w not in index]:
-            self._add(new)
+        index, known = self.index, len(self.index)
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        if len(index) > known:
+            try:
+                self._add(list(islice(index, known, None)))
+            except BaseException:  # words without ids must not stay known
+                self.index = Numbers(islice(index.items(), known))
+                raise
         self.uses[: len(index)] += np.bincount(at, minlength=len(index))
         lengths = self.lengths[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
