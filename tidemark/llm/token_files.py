@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -123,8 +124,35 @@ NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-#: for each line: the letters and the ASCII marks behind them of a word of Latin-1 letters (in UTF-8, where no other character has bytes of these alone), or else the whole line
-PARTS = re.compile(rb"^(?:([A-Za-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]++)([!-/:-@\[-`{-~]*+)$|(.*))", re.MULTILINE)
+# kinds of bytes in UTF-8: ASCII letters, ASCII marks, the first and the second byte of Latin-1 letters beyond ASCII
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _spans in enumerate((b"AZaz", b"!/:@[`{~", b"\xc3\xc3", b"\x80\x96\x98\xb6\xb8\xbf"), 1):
+    for _first, _last in zip(_spans[::2], _spans[1::2]):
+        _KINDS[_first : _last + 1] = _kind
+
+
+def parts(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Each word as (letters, marks behind them) if it is a run of Latin-1 letters and ASCII marks behind it, else as (nothing, the word). No word has a line feed."""
+    if not words:
+        return [], []
+    raw = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+    kind = _KINDS[raw]
+    pair = (kind[:-1] == 3) & (kind[1:] == 4)  # the last byte is a line feed
+    letter = kind == 1
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    mark = kind == 2
+    ends = np.flatnonzero(raw == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    bad = ~(letter | mark)
+    bad[ends] = False
+    bad[1:] |= mark[:-1] & letter[1:]
+    plain = letter[starts]
+    plain[np.searchsorted(ends, np.flatnonzero(bad))] = False
+    before = np.cumsum(letter)
+    cut = starts + np.where(plain, before[ends] - before[starts] + 1, 0)  # a plain word begins with a letter
+    both = np.insert(raw, cut, 10).tobytes().split(b"\n")
+    return both[:-1:2], both[1::2]
 
 
 def cuts_at_words(spec: dict) -> bool:
@@ -132,7 +160,7 @@ def cuts_at_words(spec: dict) -> bool:
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     first = parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": CUTS} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
     rest = [p.get("type") for p in parts[1:]] == ["ByteLevel"] and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
-    # an added token must lie within one word, and in none that PARTS takes apart
+    # an added token must lie within one word, and in none that parts() takes apart
     added = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) and re.match(r"[!-/:-@\[-`{-~]+[A-Za-z]", t["content"]) for t in spec.get("added_tokens", []))
     model = spec.get("model", {})
     return bool(spec.get("normalizer") == NORMALIZER and first and rest and added and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout"))
@@ -170,19 +198,27 @@ def encoder(path: str) -> ByWords | WholeTexts:
 
 
 def letters_alone(tokenizer) -> Callable:
-    """Batches of words of lower-case Latin-1 letters through the tokenizer's model: they need neither its normaliser nor the cuts of CUTS."""
+    """Batches of words of lower-case Latin-1 letters, between spaces, through the tokenizer's model: they need neither its normaliser nor the cuts
+    of CUTS. Letters are spelt byte by byte here, by the library's own table, as that costs the library more for each word."""
     from tokenizers import Tokenizer, pre_tokenizers
 
+    spelling = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    spelt = list(map(chr, range(256)))
+    for c in map(chr, range(0xC0, 0x100)):
+        for byte, char in zip(c.encode(), "".join(piece for piece, _ in spelling.pre_tokenize_str(c)), strict=True):
+            spelt[byte] = char
+    table = "".join(spelt)
     letters = Tokenizer(tokenizer.model)
-    letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return getattr(letters, "encode_batch_fast", letters.encode_batch)
+    letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    batch = getattr(letters, "encode_batch_fast", letters.encode_batch)
+    return lambda texts, **options: batch([codecs.charmap_decode(t.encode(), "strict", table)[0] for t in texts], **options)
 
 
 def _word_encoder(tokenizer, batch: Callable, of_letters: Callable) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(WORD_END)]] = True
 
-    def in_lines(words: list[bytes], width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def in_lines(words: list[bytes], width: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Words of lower-case letters, many to a call: each is one run of pieces, of which the last alone is marked as a word's end."""
         flat, _ = WholeTexts(of_letters).encode_texts([b" ".join(words[i : i + width]) for i in range(0, len(words), width)])
         ends = np.flatnonzero(last[flat]) + 1
@@ -193,15 +229,14 @@ def _word_encoder(tokenizer, batch: Callable, of_letters: Callable) -> Callable[
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of white-space-free words. A word of letters and closing marks has the ids of its letters, then those of its marks, as the
         tokenizer cuts there anyway; letters are folded first, as it does itself. So fewer strings reach the library."""
-        cores, marks, rest = zip(*PARTS.findall(b"\n".join(words)))
+        cores, marks = parts(words)
         plain, odd = Numbers({b"": 0}), Numbers({b"": 0})  # no letters, no mark: no ids
         core = np.fromiter(map(plain.__getitem__, b"\n".join(cores).decode().lower().encode().split(b"\n")), np.int64, len(words))
-        # a word that isn't plain has neither letters nor marks: of mark and rest one is empty
-        mark = np.fromiter(map(odd.__getitem__, map(bytes.__add__, marks, rest)), np.int64, len(words))
+        mark = np.fromiter(map(odd.__getitem__, marks), np.int64, len(words))
         flat, lengths = map(np.concatenate, zip(WholeTexts(batch).encode_texts(list(odd)), in_lines(list(plain)[1:])))
         starts = np.cumsum(lengths) - lengths
-        parts = np.stack([np.where(core, core + len(odd) - 1, 0), mark], axis=1)
-        return ragged(flat, starts[parts].ravel(), lengths[parts].ravel()), lengths[parts].sum(axis=1)
+        two = np.stack([np.where(core, core + len(odd) - 1, 0), mark], axis=1)
+        return ragged(flat, starts[two].ravel(), lengths[two].ravel()), lengths[two].sum(axis=1)
 
     return encode
 
