@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are similar (Jaccard 0.8 or more, and chains of such pairs) the one with the smallest doc_id stays."""
+    """Of documents whose five-word shingles are similar (Jaccard 0.8 or more, and chains of such pairs) the one with the smallest doc_id stays: SimHash by multi-index hashing, then the sets themselves."""
     return simhash.drop_near_copies(docs)
 
 

@@ -395,6 +395,45 @@ def test_near_copies_by_similarity(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root))
 
 
+def test_near_copies_go_through_simhash(spark):
+    """Pairs at 0.8 share a segment and lie within the radius, at every number of texts; a bucket is joined up as all pairs in it say."""
+    import numpy as np
+
+    from tidemark.llm import similar
+
+    rng = np.random.default_rng(8)
+    assert [similar.segments(n)[1] for n in (0, 2_000_000, 12_000_000, 1 << 30)] == [8, 8, 11, 18]
+    for n in (200_000, 12_000_000):
+        count, bits = similar.segments(n)
+        assert (1 - (1 - similar.APART) ** bits) ** count <= similar.MISSED
+        for both, one, other in [(4, 0, 1), (8, 1, 1), (12, 0, 3), (40, 5, 5), (400, 0, 100)] * 40:
+            values = rng.integers(0, 1 << 64, both + one + other, np.uint64)
+            apart = similar.sketch(values[: both + one], 19) != similar.sketch(np.concatenate([values[:both], values[both + one :]]), 19)
+            assert (~apart[: count * bits].reshape(count, bits).any(axis=1)).any()
+            assert apart[:192].sum() <= similar.RADIUS and apart[:128].sum() <= similar.FIRST_RADIUS
+
+    def names(a, b, n):
+        low = list(range(n))
+        for _ in range(n):
+            for i, j in zip(a, b):
+                low[i] = low[j] = min(low[i], low[j])
+        return low
+
+    for _ in range(8):
+        n = int(rng.integers(1, 60))
+        flat = rng.integers(0, 2, (4, 192), np.uint8)[rng.integers(0, 4, n)] ^ (rng.random((n, 192)) < rng.choice([0.02, 0.15, 0.2])).astype(np.uint8)
+        words = list(np.packbits(flat, axis=1).view(np.uint64).T.copy())
+        apart = flat[:, None] != flat[None]
+        want = names(*np.nonzero((apart.sum(axis=2) <= similar.RADIUS) & (apart[:, :, :128].sum(axis=2) <= similar.FIRST_RADIUS)), n)
+        for options in ({}, {"area": 300}, {"most": 5, "area": 100}, {"held": 10, "area": 200}):
+            assert names(*similar.near(words, **options), n) == want
+
+    # texts of 8 and 9 words: 4 and 5 shingles, the pair at 0.8 that fingerprints tell apart most
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(8 + k))) for i in range(300) for k in (0, 1)]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in left) == list(range(0, 600, 2))
+
+
 def test_pipeline_decodes(spark):
     """The last stage gives the text of the ids back, for every row."""
     import sentencepiece

@@ -1,7 +1,8 @@
-"""Groups of texts with similar sets of word shingles: min-hash bands propose, the sets themselves decide."""
+"""Groups of texts with similar sets of word shingles: SimHash segments and Hamming balls propose, the sets themselves decide."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,48 +15,141 @@ from .components import components
 from .shared import keyed_stream, materialise, row_key, stream_groups
 from .simhash import shingles
 
-#: 22 bands of 4 hashes: a pair with similarity 0.8 shares no band with odds of (1 - 0.8**4)**22 = 9e-6, a closer one with less
-BANDS, DEPTH = 22, 4
+# Two sets with similarity 0.8 differ in a bit of their fingerprints with odds of 0.15 to 0.161, and of 0.1875 if they have 4 and 5
+# shingles (ties make the difference). All odds below are for 0.1875; a closer pair is missed less often.
+APART = 0.1875
+#: a pair at 0.8 shares none of the segments with odds of at most this
+MISSED = 1e-5
+#: words of a fingerprint that are compared whole, and the radius: a pair at 0.8 is farther apart with odds of 1e-5, texts with nothing in common are as near with odds of 2e-7
+WORDS, RADIUS = 3, 60
+#: and the radius in the first two words alone, which spares most pairs the third (odds of 6e-6 and 3e-4)
+FIRST_RADIUS = 44
+
 _rng = np.random.default_rng(29)
-FLIP, TIMES = (_rng.integers(0, 1 << 63, (BANDS * DEPTH, 1), dtype=np.uint64) for _ in range(2))
+FLIP, TIMES = (_rng.integers(0, 1 << 63, 64, dtype=np.uint64) for _ in range(2))
 TIMES = TIMES * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def segments(n: int) -> tuple[int, int]:
+    """(number of segments, bits of each) for n texts: as n doubles, a segment gets a bit more beyond two million, so that buckets stay near 8192."""
+    bits = max(8, n.bit_length() - 13)
+    return math.ceil(math.log(MISSED) / math.log1p(-((1 - APART) ** bits))), bits
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The distinct 64-bit hashes of a text's word shingles, in order; a text of fewer words has one, a wordless one none."""
     return np.unique(shingles(text, width))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set: sets share a key if they agree in the DEPTH smallest values behind it."""
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
-        least = np.minimum(least, ((hashes[k : k + (1 << 12)] ^ FLIP) * TIMES).min(axis=1))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, DEPTH).T:
-        out = (out ^ column) * MIX
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set in 64 * words bits (as bytes of 0 and 1): a bit is set if it is in over half of what its word makes of the hashes."""
+    ones = np.zeros(64 * words, np.int64)
+    for k in range(0, len(hashes), 255):  # sums of bytes
+        x = (hashes[k : k + 255, None] ^ FLIP[:words]) * TIMES[:words]
+        x = (x ^ (x >> np.uint64(32))) * MIX
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (ones * 2 > len(hashes)).view(np.uint8)
 
 
-def _band_rows(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _print_rows(width: int, words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, keys = [], []
+            node, name, bits = [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, width)
+                raw = np.packbits(sketch(found, words)).tobytes() if len(found) else None  # wordless texts are one node, near no other
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63))
-                keys.append(bands(found) if len(found) else [])  # wordless texts are one node, near no other
-            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id").cast(pa.int64()), "node": pa.array(node, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+                name.append(xxhash.xxh64_intdigest(raw or b"", 8) - (1 << 63))
+                bits.append(raw)
+            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id").cast(pa.int64()), "node": pa.array(node, pa.int64()), "name": pa.array(name, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
+def _segment_rows(count: int, bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                raw = np.array([np.frombuffer(b, np.uint8) for b in rows.column("bits").to_pylist()])
+                cut = np.unpackbits(raw, axis=1)[:, : count * bits].reshape(len(raw), count, bits)
+                key = (cut @ (1 << np.arange(bits))) + (np.arange(count) << bits)
+                words = np.ascontiguousarray(raw[:, : 8 * WORDS]).view(np.int64)
+                yield pa.record_batch({"key": key.ravel(), "name": np.repeat(rows.column("name").to_numpy(), count), **{f"w{i}": np.repeat(words[:, i], count) for i in range(WORDS)}})
+
+    return run
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, smallest that i is joined to) that join up just what the pairs (a, b) of numbers below n do."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        for side in (a, b):
+            np.minimum.at(low, before[side], least)
+            np.minimum.at(low, side, least)
+        low = low[low]
+        if np.array_equal(low, before):
+            i = np.flatnonzero(low != np.arange(n))
+            return i, low[i]
+
+
+def near(words: list[np.ndarray], area: int = 1 << 16, most: int = 1 << 15, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that join up just what all pairs of fingerprints (as WORDS arrays of words) within RADIUS would.
+
+    Up to `most` fingerprints all pairs are compared, some rows at a time. Beyond it each is compared with those that
+    nothing has reached yet, so that a large group of like texts costs little more than one pass.
+    """
+    n = len(words[0])
+
+    def hits(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(words[0][rows, None] ^ words[0][others])
+        apart += np.bitwise_count(words[1][rows, None] ^ words[1][others])
+        i, j = np.divmod(np.flatnonzero(apart <= FIRST_RADIUS), len(others))
+        i, j = rows[i], others[j]
+        good = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words) <= RADIUS
+        return i[good], j[good]
+
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > most:
+        left, out = np.arange(n), []
+        while len(left):
+            queue, left = left[:1], left[1:]
+            while len(queue) and len(left):
+                at, queue = queue[: max(1, area // len(left))], queue[max(1, area // len(left)) :]
+                i, j = hits(at, left)
+                reached, first = np.unique(j, return_index=True)
+                out.append((i[first], reached))
+                queue = np.concatenate([queue, reached])
+                left = np.setdiff1d(left, reached, assume_unique=True)
+        return tuple(map(np.concatenate, zip(*out))) if out else (a, b)
+    at = 0
+    while at < n - 1:
+        step = max(1, area // (n - at))
+        i, j = hits(np.arange(at, min(n, at + step)), np.arange(at + 1, n))
+        a, b = np.concatenate([a, i[i < j]]), np.concatenate([b, j[i < j]])
+        if len(a) > held:
+            a, b = forest(a, b, n)
+        at += step
+    return forest(a, b, n) if len(a) > n else (a, b)
+
+
+def _near_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, table in stream_groups(batches):
+        if table.num_rows > 1:
+            name = table.column("name").to_numpy()
+            i, j = near([table.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WORDS)])
+            if len(i):
+                yield pa.record_batch({"a": pa.array(name[i]), "b": pa.array(name[j])})
+
+
 def _set_rows(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"node": batch.column("node"), "body": pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
+            yield pa.record_batch({"key": batch.column("key"), "node": batch.column("node"), "body": pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
 
     return run
 
@@ -95,33 +189,40 @@ def links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 def _link_rows(least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in stream_groups(batches):
-            node = table.column("node").to_pylist()
-            found = links([np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()], least)
+            # equal rows are there more than once
+            sets = dict(zip(table.column("node").to_pylist(), table.column("body").to_pylist()))
+            node = sorted(sets)
+            found = links([np.frombuffer(sets[k], np.uint64) for k in node], least)
             if found:
-                yield pa.record_batch({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+                i, low = forest(*np.array(found).T, len(node))
+                yield pa.record_batch({"node": pa.array([node[k] for k in i.tolist()], pa.int64()), "component": pa.array([node[k] for k in low.tolist()], pa.int64())})
 
     return run
 
 
 def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(row, doc_id, component) for every row of docs (doc_id, text); row is row_key().
+    """(row, doc_id, component) for every row of docs (doc_id, text); row is row_key(). Serves `least` of 0.8 and above.
 
-    Rows with one set of `width`-word shingles are one node, whatever their number. Nodes that share a band key meet in a
-    bucket; a bucket with the members of another is left out. In each bucket the sets decide: a pair is linked if its
-    Jaccard similarity is `least` or more, and linked nodes are joined into components. Wordless texts are one node.
+    Rows with one set of `width`-word shingles are one node, whatever their number. Sets have SimHash fingerprints, looked up by
+    multi-index hashing: each is entered under the value of each of its segments, and in a bucket of one segment value
+    those within RADIUS of one another are joined. What is joined so, directly or by others, comes together once, and there
+    the sets decide: a pair is linked if its Jaccard similarity is `least` or more. Wordless texts are one node.
     """
+    if least < 0.8:
+        raise ValueError("segments and radius are for similarities of 0.8 and above")
     rows = docs.select(row_key().alias("row"), "doc_id", "text")
-    prints = materialise(rows.mapInArrow(_band_rows(width), "row long, doc_id long, node long, bands array<long>"), "bands")
-    keys = prints.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    live = materialise(keys.join(shared, "key").distinct(), "buckets")
-    alike = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("low"))
-    chosen = alike.groupBy("n", "mark", "low").agg(F.min("key").alias("key")).select("key")
-    members = live.join(chosen, "key")
-    one = prints.join(live.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row"))
+    count, bits = segments(rows.count())
+    words = max(WORDS, -(-count * bits // 64))
+    prints = materialise(rows.mapInArrow(_print_rows(width, words), "row long, doc_id long, node long, name long, bits binary"), "prints")
+    entries = prints.where("bits is not null").select("name", "bits").distinct()
+    columns = "key long, name long, " + ", ".join(f"w{i} long" for i in range(WORDS))
+    near_names = materialise(keyed_stream(entries.mapInArrow(_segment_rows(count, bits), columns), "key").mapInArrow(_near_rows, "a long, b long"), "near")
+    joined = components(near_names).withColumnRenamed("node", "name").withColumnRenamed("component", "key")
+    nodes = prints.groupBy("node").agg(F.min("row").alias("row"), F.min("name").alias("name"))
+    keyed = nodes.join(joined, "name", "left").select("row", "node", F.coalesce("key", "name").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    open_ = materialise(keyed.join(shared, "key"), "open")
     # equal rows have equal texts: any of them will do
-    texts = rows.select("row", "text").join(one, "row").select("node", "text")
-    sets = materialise(texts.mapInArrow(_set_rows(width), "node long, body binary"), "sets").dropDuplicates(["node"])
-    edges = keyed_stream(members.join(sets, "node"), "key").mapInArrow(_link_rows(least), "a long, b long")
-    found = components(edges)
+    sets = rows.select("row", "text").join(open_, "row").select("key", "node", "text").mapInArrow(_set_rows(width), "key long, node long, body binary")
+    found = materialise(keyed_stream(sets, "key").mapInArrow(_link_rows(least), "node long, component long"), "linked")
     return prints.select("row", "doc_id", "node").join(found, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
