@@ -434,6 +434,33 @@ def test_near_copies_go_through_simhash(spark):
     assert sorted(r.doc_id for r in left) == list(range(0, 600, 2))
 
 
+def test_near_copies_join_few_rows(spark, monkeypatch):
+    """A large group of near copies gives components() about one pair a text, not those of each bucket; the pairs join up what theirs did."""
+    import random
+
+    import numpy as np
+
+    from tidemark.llm import similar
+
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 64, (similar.WORDS, 200), np.uint64)
+    words[:, 50:62] = words[:, 50:51]
+    for options in ({}, {"most": 5}):
+        assert sorted(zip(*(x.tolist() for x in similar.near(list(words), **options)))) == [(i, 50) for i in range(51, 62)]
+
+    rng, seen = random.Random(6), []
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice([w] * 120 + [f"x{rng.randrange(10**9)}"]) for w in base) for _ in range(400)]
+    whole = similar.components
+    monkeypatch.setattr(similar, "components", lambda pairs: whole(seen.append(pairs) or pairs))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = len({r.component for r in similar.similar_groups(docs).collect()})
+    assert seen[0].count() <= 2 * len(texts)
+    monkeypatch.setattr(similar, "stars", lambda pairs: pairs)
+    assert before < 40 and before == len({r.component for r in similar.similar_groups(docs).collect()})
+    assert seen[1].distinct().count() > 3 * seen[0].count()
+
+
 def test_pipeline_decodes(spark):
     """The last stage gives the text of the ids back, for every row."""
     import sentencepiece

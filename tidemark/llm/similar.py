@@ -98,10 +98,10 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def near(words: list[np.ndarray], area: int = 1 << 16, most: int = 1 << 15, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) that join up just what all pairs of fingerprints (as WORDS arrays of words) within RADIUS would.
+    """Pairs (i, smallest that i is joined to) that join up just what all pairs of fingerprints (as WORDS arrays of words) within RADIUS would.
 
     Up to `most` fingerprints all pairs are compared, some rows at a time. Beyond it each is compared with those that
-    nothing has reached yet, so that a large group of like texts costs little more than one pass.
+    nothing has reached yet, so that a large group of like texts costs little more than one pass. A group of k has k - 1 pairs.
     """
     n = len(words[0])
 
@@ -125,7 +125,7 @@ def near(words: list[np.ndarray], area: int = 1 << 16, most: int = 1 << 15, held
                 out.append((i[first], reached))
                 queue = np.concatenate([queue, reached])
                 left = np.setdiff1d(left, reached, assume_unique=True)
-        return tuple(map(np.concatenate, zip(*out))) if out else (a, b)
+        return forest(*map(np.concatenate, zip(*out)), n) if out else (a, b)
     at = 0
     while at < n - 1:
         step = max(1, area // (n - at))
@@ -134,10 +134,11 @@ def near(words: list[np.ndarray], area: int = 1 << 16, most: int = 1 << 15, held
         if len(a) > held:
             a, b = forest(a, b, n)
         at += step
-    return forest(a, b, n) if len(a) > n else (a, b)
+    return forest(a, b, n) if len(a) else (a, b)
 
 
 def _near_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for each name of a bucket (in order of names) and the smallest name that it is joined to there."""
     for _, table in stream_groups(batches):
         if table.num_rows > 1:
             name = table.column("name").to_numpy()
@@ -146,6 +147,16 @@ def _near_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"a": pa.array(name[i]), "b": pa.array(name[j])})
 
 
+def stars(pairs: DataFrame) -> DataFrame:
+    """(a, b), each once, that join up just what `pairs` (a, smaller b) do: a name has one pair, with the smallest of its b, and so have those others of its b.
+
+    What a name is joined to differs from bucket to bucket, but these are few names in all, so about one pair a name is left.
+    A name has no more of them than there are segments.
+    """
+    least = pairs.groupBy("a").agg(F.collect_set("b").alias("near")).withColumn("b", F.array_min("near"))
+    return least.select("b", F.explode(F.transform("near", lambda x: F.when(x == F.col("b"), F.col("a")).otherwise(x))).alias("a")).select("a", "b").distinct()
+
+
 def _set_rows(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +227,8 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataF
     prints = materialise(rows.mapInArrow(_print_rows(width, words), "row long, doc_id long, node long, name long, bits binary"), "prints")
     entries = prints.where("bits is not null").select("name", "bits").distinct()
     columns = "key long, name long, " + ", ".join(f"w{i} long" for i in range(WORDS))
-    near_names = materialise(keyed_stream(entries.mapInArrow(_segment_rows(count, bits), columns), "key").mapInArrow(_near_rows, "a long, b long"), "near")
-    joined = components(near_names).withColumnRenamed("node", "name").withColumnRenamed("component", "key")
+    near_names = materialise(keyed_stream(entries.mapInArrow(_segment_rows(count, bits), columns), "key", "name").mapInArrow(_near_rows, "a long, b long"), "near")
+    joined = components(stars(near_names)).withColumnRenamed("node", "name").withColumnRenamed("component", "key")
     nodes = prints.groupBy("node").agg(F.min("row").alias("row"), F.min("name").alias("name"))
     keyed = nodes.join(joined, "name", "left").select("row", "node", F.coalesce("key", "name").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
