@@ -256,6 +256,40 @@ def test_op6_parts_of_words():
     assert [e.ids for e in spelt] == [tokenizer.encode(t, add_special_tokens=False).ids for t in lines]
 
 
+def test_op6_looks_up_each_word_once():
+    """A word is looked up once for all its places in a call, letters that came with other marks are known, and the ids are the library's."""
+    from tokenizers import Tokenizer
+
+    looked, sent = [], []
+
+    class Watched(dict):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+        def __missing__(self, word):
+            self[word] = n = len(self)
+            return n
+
+    tokenizer, by_words = Tokenizer.from_file(token_files.model_path()), token_files.encoder(token_files.model_path())
+    by_words.index = Watched()
+    texts = ["the cat, the cat. THE CAT!\x0b\x0cthe\x85cat\u2003x \x1f\x00 a\x00", "", " \t\r\n", "\ncat  the ", "naïve 漢字 don't 7a"] * 30
+    for some in (texts, texts[1:3], [], texts[3:4]):
+        looked.clear()
+        flat, counts = by_words.encode_texts([t.encode() for t in some])
+        runs = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == list(map(len, runs)) and flat.tolist() == [i for r in runs for i in r]
+        assert len(looked) == len(set(looked))
+
+    spelt = token_files.letters_alone(tokenizer)
+    encode = token_files._word_encoder(tokenizer, tokenizer.encode_batch, lambda lines, **o: sent.extend(lines) or spelt(lines, **o))
+    for words in ([b"cat,", b"dog"], [b"Cat.", b"x", b"."], [b"DOG!", b"cat"]):
+        flat, lengths = encode(words)
+        runs = [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+        assert lengths.tolist() == list(map(len, runs)) and flat.tolist() == [i for r in runs for i in r]
+    assert [w for line in sent for w in (line if isinstance(line, bytes) else line.encode()).split()] == [b"cat", b"dog", b"x"]
+
+
 def test_op6_random_access(spark, tmp_path):
     import numpy as np
 

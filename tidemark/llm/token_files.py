@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -181,10 +182,19 @@ class WholeTexts:
         return _flat([e.ids for e in self.batch([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)])
 
 
+def _lines(words: pa.Array) -> list[bytes]:
+    """Strings without line feeds (large_string) as bytes."""
+    whole = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar("\n", pa.large_string()))
+    return whole.view(pa.large_binary())[0].as_py().split(b"\n") if len(words) else []
+
+
 class ByWords(WordCache):
     def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # bytes.split() knows ASCII white space alone; other white space stays within words, for the tokenizer to drop
-        return self.encode([t.split() for t in texts])
+        # ASCII white space alone; other white space stays within words, for the tokenizer to drop. The empty words at a text's ends have no ids
+        docs = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        # each word once, so that few strings are looked up
+        coded = docs.flatten().dictionary_encode()
+        return self.encode_coded(_lines(coded.dictionary), coded.indices.to_numpy(), np.diff(docs.offsets.to_numpy()))
 
 
 def encoder(path: str) -> ByWords | WholeTexts:
@@ -226,16 +236,19 @@ def _word_encoder(tokenizer, batch: Callable, of_letters: Callable) -> Callable[
             return WholeTexts(batch).encode_texts(words)
         return flat, np.diff(ends, prepend=0)
 
+    letters = WordCache(in_lines)
+
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of white-space-free words. A word of letters and closing marks has the ids of its letters, then those of its marks, as the
-        tokenizer cuts there anyway; letters are folded first, as it does itself. So fewer strings reach the library."""
+        tokenizer cuts there anyway; letters are folded first, as it does itself, and kept for other words with them. So fewer strings reach the library."""
         cores, marks = parts(words)
-        plain, odd = Numbers({b"": 0}), Numbers({b"": 0})  # no letters, no mark: no ids
-        core = np.fromiter(map(plain.__getitem__, b"\n".join(cores).decode().lower().encode().split(b"\n")), np.int64, len(words))
+        odd = Numbers({b"": 0})  # no mark: no ids
         mark = np.fromiter(map(odd.__getitem__, marks), np.int64, len(words))
-        flat, lengths = map(np.concatenate, zip(WholeTexts(batch).encode_texts(list(odd)), in_lines(list(plain)[1:])))
+        some = np.fromiter(map(bool, cores), bool, len(words))
+        folded = list(filter(None, b"\n".join(cores).decode().lower().encode().split(b"\n")))
+        flat, lengths = map(np.concatenate, zip(WholeTexts(batch).encode_texts(list(odd)), letters.encode_words(folded, np.ones(len(folded), np.int64))))
         starts = np.cumsum(lengths) - lengths
-        two = np.stack([np.where(core, core + len(odd) - 1, 0), mark], axis=1)
+        two = np.stack([np.where(some, np.cumsum(some) + len(odd) - 1, 0), mark], axis=1)
         return ragged(flat, starts[two].ravel(), lengths[two].ravel()), lengths[two].sum(axis=1)
 
     return encode
@@ -253,7 +266,7 @@ def ranges_of(doc_ids: list[int | None], ties: np.ndarray, bounds: np.ndarray, n
     return np.where(known, nulls + low + spread(ties, np.maximum(high - low, 1)), spread(ties, max(nulls, 1)))
 
 
-def _token_rows(path: str, end_id: int, bounds: np.ndarray, nulls: int, chunk: int = 4_000_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _token_rows(path: str, end_id: int, bounds: np.ndarray, nulls: int, chunk: int = 8_000_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = encoder(path)

@@ -54,11 +54,10 @@ class WordCache:
         self.uses[n : n + m] = 0
         self.used += len(flat)
 
-    def encode(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all docs one after the other, number of ids of each doc) for docs given as lists of words."""
+    def _numbers(self, words: list) -> np.ndarray:
+        """Numbers of words; new ones get ids."""
         if len(self.index) > self.cap:
             self._shrink()
-        words = list(chain.from_iterable(docs))
         index, known = self.index, len(self.index)
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         if len(index) > known:
@@ -67,9 +66,27 @@ class WordCache:
             except BaseException:  # words without ids must not stay known
                 self.index = Numbers(islice(index.items(), known))
                 raise
-        self.uses[: len(index)] += np.bincount(at, minlength=len(index))
+        return at
+
+    def _runs(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers, and how many ids each of the docs has that they make up, `sizes` words a doc."""
         lengths = self.lengths[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
-        ends = np.cumsum([len(d) for d in docs]) if docs else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate(([0], before[ends.astype(np.int64)])))
+        counts = np.diff(np.concatenate(([0], before[np.cumsum(sizes)])))
         return ragged(self.flat, self.starts[at], lengths), counts
+
+    def encode_words(self, words: list, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), for the words of all docs one after the other, `sizes` of them a doc."""
+        at = self._numbers(words)
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+        return self._runs(at, sizes)
+
+    def encode(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all docs one after the other, number of ids of each doc) for docs given as lists of words."""
+        return self.encode_words(list(chain.from_iterable(docs)), np.fromiter(map(len, docs), np.int64, len(docs)))
+
+    def encode_coded(self, words: list, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), for docs given as places in `words` (each word once) one after the other, `sizes` of them a doc."""
+        at = self._numbers(words)
+        self.uses[at] += np.bincount(codes, minlength=len(words))
+        return self._runs(at[codes], sizes)
