@@ -461,6 +461,94 @@ def test_near_copies_join_few_rows(spark, monkeypatch):
     assert seen[1].distinct().count() > 3 * seen[0].count()
 
 
+def joined(pairs: list[tuple[int, int]], n: int) -> list[int]:
+    """The smallest number below n that each is joined to by the pairs, itself included."""
+    low = list(range(n))
+    moved = True
+    while moved:
+        moved = False
+        for i, j in pairs:
+            moved |= low[i] != low[j]
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+def test_near_copies_of_short_texts(spark, monkeypatch):
+    """Short texts with nothing in common, and sets whose sizes alone rule the similarity out, are not brought together; those of 4 and 5 shingles are."""
+    from tidemark.llm import similar
+
+    opened, whole = [], similar.materialise
+    monkeypatch.setattr(similar, "materialise", lambda df, label: (out := whole(df, label), label == "open" and opened.append(out.count()))[0])
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = [text(i, 5 + i % 3) for i in range(900)] + [text(0, 12), text(0, 13) + " end " + text(1, 12)]
+    left = similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len({r.component for r in left.collect()}) == len(texts)
+    assert opened == [0]  # hundreds of sets of 2 shingles were one group
+
+    left = similar.similar_groups(spark.createDataFrame([(0, text(0, 8)), (1, text(0, 9)), (2, text(1, 7)), (3, text(1, 8))], "doc_id long, text string"))
+    assert len({r.component for r in left.collect()}) == 3
+
+
+def test_near_copies_in_parts(spark, monkeypatch):
+    """A group too large for one task is compared in parts: whatever may be similar meets in one, none is much over the limit, and the groups stay as they were."""
+    import random
+
+    import numpy as np
+
+    from tidemark.llm import similar
+
+    rng = np.random.default_rng(2)
+    sizes = {i: int(n) for i, n in enumerate(rng.integers(4, 60, 250).tolist() + [4, 5, 8, 10, 16, 20] + [40] * 60)}
+    rows = spark.createDataFrame([(i, int(rng.integers(1 << 62)), 7, n) for i, n in sizes.items()], "row long, node long, key long, size int")
+    for most in (1000, 4000, 1 << 20):
+        of = {r.row: set(r.parts) for r in similar.parts(rows, 0.8, most).collect()}
+        assert set(of) == set(sizes) and all(of.values())
+        assert all(of[i] & of[j] for i in sizes for j in range(i) if similar.fit(sizes[i], sizes[j], 0.8))
+        held = {}
+        for i, parts in of.items():
+            for k in parts:
+                held[k] = held.get(k, 0) + sizes[i]
+        assert max(held.values()) < 2 * most
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice([w] * 110 + [f"x{rng.randrange(10**9)}"]) for w in base[: rng.choice([200, 195, 185])]) for _ in range(250)]
+    sets = [similar.shingle_set(t, 5) for t in texts]
+    low = joined([(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8], len(sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1 << 22, 3000):
+        monkeypatch.setattr(similar, "MOST_HELD", most)
+        groups = {}
+        for r in similar.similar_groups(docs).collect():
+            groups.setdefault(r.component, []).append(r.doc_id)
+        assert sorted(map(sorted, groups.values())) == sorted([i for i, x in enumerate(low) if x == k] for k in set(low))
+    assert 1 < len(groups) < 200
+
+
+def test_sets_with_a_common_passage(monkeypatch):
+    """Sets that share a passage, and no more, are not compared one with another; the pairs join up what all pairs at 0.8 do."""
+    import numpy as np
+
+    from tidemark.llm import similar
+
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    passage, gathered, whole = new(14), [], similar.ragged
+    monkeypatch.setattr(similar, "ragged", lambda values, starts, lengths: gathered.append(lengths.sum()) or whole(values, starts, lengths))
+    sets = [np.unique(np.concatenate([passage, new(10)])) for _ in range(1500)]
+    assert similar.links(sets, 0.8) == [] and sum(gathered) < 10 * 1500
+
+    pool = new(150)
+    for _ in range(60):
+        bases = [rng.choice(pool, int(rng.integers(4, 50)), replace=False) for _ in range(4)]
+        sets = []
+        for _ in range(int(rng.integers(2, 60))):
+            b = bases[int(rng.integers(4))]
+            sets.append(np.unique(np.concatenate([b[: len(b) - int(rng.integers(0, 1 + len(b) // 6))], rng.choice(pool, int(rng.integers(3))), passage[: int(rng.integers(5))]])))
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+        assert joined(similar.links(sets, 0.8), len(sets)) == joined(want, len(sets))
+
+
 def test_pipeline_decodes(spark):
     """The last stage gives the text of the ids back, for every row."""
     import sentencepiece
