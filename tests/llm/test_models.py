@@ -525,6 +525,25 @@ def test_near_copies_in_parts(spark, monkeypatch):
     assert 1 < len(groups) < 200
 
 
+def test_fingerprints_of_fitting_sizes():
+    """A bucket is joined up as all pairs within the radius and of sizes that fit say."""
+    import numpy as np
+
+    from tidemark.llm import similar
+
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(rng.integers(1, 200))
+        flat = rng.integers(0, 2, (4, 192), np.uint8)[rng.integers(0, 4, n)] ^ (rng.random((n, 192)) < rng.choice([0.02, 0.15, 0.2])).astype(np.uint8)
+        words = list(np.packbits(flat, axis=1).view(np.uint64).T.copy())
+        sizes = rng.integers(4, rng.choice([6, 30, 300]), n).astype(np.int32)
+        apart = flat[:, None] != flat[None]
+        good = (apart.sum(axis=2) <= similar.RADIUS) & (apart[:, :, :128].sum(axis=2) <= similar.FIRST_RADIUS) & (np.minimum.outer(sizes, sizes) >= 0.8 * np.maximum.outer(sizes, sizes) - 1e-6)
+        want = joined(list(zip(*np.nonzero(good))), n)
+        for options in ({}, {"area": 300}, {"most": 5, "area": 100}, {"held": 10, "area": 200}):
+            assert joined(list(zip(*similar.near(words, sizes=sizes, **options))), n) == want
+
+
 def test_sets_with_a_common_passage(monkeypatch):
     """Sets that share a passage, and no more, are not compared one with another; the pairs join up what all pairs at 0.8 do."""
     import numpy as np

@@ -112,7 +112,7 @@ def near(words: list[np.ndarray], area: int = 1 << 16, most: int = 1 << 15, held
     """Pairs (i, smallest that i is joined to) that join up just what all pairs of fingerprints (as WORDS arrays of words) within RADIUS would.
 
     With the sizes of their sets, pairs whose sizes alone rule out `least` are none.
-    Up to `most` fingerprints all pairs are compared, some rows at a time. Beyond it each is compared with those that
+    Up to `most` fingerprints all pairs (in order of size, all that may fit) are compared, some rows at a time. Beyond it each is compared with those that
     nothing has reached yet, so that a large group of like texts costs little more than one pass. A group of k has k - 1 pairs.
     """
     n = len(words[0])
@@ -140,14 +140,18 @@ def near(words: list[np.ndarray], area: int = 1 << 16, most: int = 1 << 15, held
                 queue = np.concatenate([queue, reached])
                 left = np.setdiff1d(left, reached, assume_unique=True)
         return forest(*map(np.concatenate, zip(*out)), n) if out else (a, b)
+    order = np.arange(n) if sizes is None else np.argsort(sizes, kind="stable")
+    ends = np.full(n, n) if sizes is None else np.searchsorted(sizes[order], sizes[order] / least + 1e-3, side="right")
     at = 0
     while at < n - 1:
-        step = max(1, area // (n - at))
-        i, j = hits(np.arange(at, min(n, at + step)), np.arange(at + 1, n))
-        a, b = np.concatenate([a, i[i < j]]), np.concatenate([b, j[i < j]])
+        # as many rows as `area` allows, and not many more than what the first may fit
+        wide = ends[at : at + max(128, ends[at] - at)] - at
+        to = at + max(1, int(np.searchsorted(np.arange(1, len(wide) + 1) * wide, area, side="right")))
+        i, j = hits(order[at:to], order[at + 1 : ends[to - 1]])
+        a, b = np.concatenate([a, np.maximum(i, j)[i != j]]), np.concatenate([b, np.minimum(i, j)[i != j]])
         if len(a) > held:
             a, b = forest(a, b, n)
-        at += step
+        at = to
     return forest(a, b, n) if len(a) else (a, b)
 
 
